@@ -46,10 +46,9 @@ def melt(
     ``column_id`` is the position in ``columns``; a small integer key hashes
     faster than a name. ``column_label`` turns it back at the end.
     """
-    pairs = []
-    for i, name in enumerate(columns):
-        pairs += [F.lit(i), F.col(name).cast(dtype)]
-    return df.select(*keep, F.stack(F.lit(len(columns)), *pairs).alias("column_id", "value"))
+    pairs = ", ".join(f"{i}, cast(`{name}` as {dtype})" for i, name in enumerate(columns))
+    stacked = F.expr(f"stack({len(columns)}, {pairs})").alias("column_id", "value")
+    return df.select(*keep, stacked)
 
 
 def column_label(columns: Sequence[str], column_id: str | Column = "column_id") -> Column:

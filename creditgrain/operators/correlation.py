@@ -26,17 +26,14 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> D
     k = len(columns)
     partners = [F.col(c).cast("double").alias(f"_y{j}") for j, c in enumerate(columns)]
     rows = melt(df.select(*columns, *partners), columns, "double", keep=[f"_y{j}" for j in range(k)])
-    x = F.col("value")
     sums = rows.groupBy("column_id").agg(
-        *[F.covar_pop(x, F.col(f"_y{j}")).alias(f"c{j}") for j in range(k)],
-        *[F.var_pop(F.when(F.col(f"_y{j}").isNotNull(), x)).alias(f"v{j}") for j in range(k)],
+        *[F.expr(f"covar_pop(value, _y{j})").alias(f"c{j}") for j in range(k)],
+        *[F.expr(f"var_pop(if(_y{j} is not null, value, null))").alias(f"v{j}") for j in range(k)],
     )
     # column i beside j: its covariance and its own variance where j is present
+    beside = ", ".join(f"struct(c{j} as c, v{j} as v)" for j in range(k))
     pairs = sums.select(
-        F.col("column_id").alias("i"),
-        F.posexplode(
-            F.array(*[F.struct(F.col(f"c{j}").alias("c"), F.col(f"v{j}").alias("v")) for j in range(k)])
-        ).alias("j", "m"),
+        F.col("column_id").alias("i"), F.expr(f"posexplode(array({beside}))").alias("j", "m")
     ).select("i", "j", "m.c", "m.v")
     mirrored = pairs.select(F.col("i").alias("j"), F.col("j").alias("i"), F.col("v").alias("w"))
     return pairs.join(mirrored, ["i", "j"]).select(

@@ -40,21 +40,20 @@ def quantiles(
     rows between the cuts around a wanted rank (about ``2 * BRACKET`` of all)
     are ordered. A rank that the sketch misses is found between other cuts.
     """
-    values = df.where(F.col(value).isNotNull()).select(*keys, value)
-    names, probs = list(probabilities), [float(p) for p in probabilities.values()]
+    values = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
+    probs = [float(p) for p in probabilities.values()]
     around = sorted({min(max(p + d, 0.0), 1.0) for p in probs for d in (-BRACKET, BRACKET)})
 
     pivots = values.groupBy(*keys).agg(
-        F.percentile_approx(value, around, SKETCH_ACCURACY).alias("_p")
-    )
-    pivots = pivots.select(*keys, *[F.get("_p", F.lit(i)).alias(f"_p{i}") for i in range(len(around))])
-    bin_number = sum(
-        ((F.col(value) > F.col(f"_p{i}")).cast("int") for i in range(len(around))), F.lit(0)
+        F.percentile_approx("_v", around, SKETCH_ACCURACY).alias("_p")
     )
+    cuts = range(len(around))
+    pivots = pivots.selectExpr(*keys, *[f"_p[{i}] as _p{i}" for i in cuts])
     counted = (
         values.join(F.broadcast(pivots), list(keys))
-        .groupBy(*keys, bin_number.alias("_bin"))
-        .agg(F.count(F.lit(1)).alias("rows"), F.max(value).alias("top"))
+        .withColumn("_bin", F.expr(" + ".join(f"cast(_v > _p{i} as int)" for i in cuts)))
+        .groupBy(*keys, "_bin")
+        .agg(F.count(F.lit(1)).alias("_rows"), F.max("_v").alias("_top"))
     )
 
     # Brackets in terms of real values and exact counts, which hold whatever
@@ -62,71 +61,64 @@ def quantiles(
     by_key = Window.partitionBy(*keys)
     up_to = by_key.orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
     running = counted.withColumns(
-        {"through": F.sum("rows").over(up_to), "n": F.sum("rows").over(by_key)}
+        {"_through": F.sum("_rows").over(up_to), "n": F.sum("_rows").over(by_key)}
     )
     brackets = running.groupBy(*keys).agg(
+        F.max("n").alias("n"),
         *[
-            F.struct(
-                F.lit(i).alias("p"),
-                F.max("n").alias("n"),
-                F.coalesce(
-                    F.max(F.when(F.col("through") < _rank(p, F.floor), F.col("top"))),
-                    F.lit(float("-inf")),
-                ).alias("low"),
-                F.min(F.when(F.col("through") >= _rank(p, F.ceil), F.col("top"))).alias("high"),
-                F.coalesce(
-                    F.max(F.when(F.col("through") < _rank(p, F.floor), F.col("through"))), F.lit(0)
-                ).alias("below"),
+            F.expr(
+                f"""struct(
+                    coalesce(max(if(_through < {_rank(p, 'floor')}, _top, null)), double('-infinity')) as low,
+                    min(if(_through >= {_rank(p, 'ceil')}, _top, null)) as high,
+                    coalesce(max(if(_through < {_rank(p, 'floor')}, _through, null)), 0L) as below)"""
             ).alias(f"_b{i}")
             for i, p in enumerate(probs)
-        ]
+        ],
     )
 
-    def inside(i: int) -> Column:
-        return (F.col(value) > F.col(f"_b{i}.low")) & (F.col(value) <= F.col(f"_b{i}.high"))
-
-    anywhere = inside(0)
-    for i in range(1, len(probs)):
-        anywhere = anywhere | inside(i)
-    near = values.join(F.broadcast(brackets), list(keys)).where(anywhere).select(
-        *keys,
-        value,
-        F.explode(
-            F.array_compact(F.array(*[F.when(inside(i), F.col(f"_b{i}")) for i in range(len(probs))]))
-        ).alias("_b"),
+    inside = [f"(_v > _b{i}.low and _v <= _b{i}.high)" for i in range(len(probs))]
+    hits = ", ".join(f"if({test}, struct({i} as p, _b{i}.below as below), null)" for i, test in enumerate(inside))
+    near = (
+        values.join(F.broadcast(brackets), list(keys))
+        .where(" or ".join(inside))
+        .select(*keys, "n", "_v", F.expr(f"explode(array_compact(array({hits})))").alias("_b"))
+        .select(*keys, "n", "_v", "_b.p", "_b.below")
     )
-    group = [*keys, "p", "n", "below"]
     in_order = (
-        Window.partitionBy(*group).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+        Window.partitionBy(*keys, "n", "p", "below")
+        .orderBy("_v")
+        .rowsBetween(Window.unboundedPreceding, 0)
     )
     ranked = (
-        near.select(*keys, value, "_b.p", "_b.n", "_b.below")
-        .groupBy(*group, value)
-        .agg(F.count(F.lit(1)).alias("rows"))
-        .withColumn("last", F.sum("rows").over(in_order) + F.col("below"))
-        .withColumn("prob", F.get(F.array(*[F.lit(p) for p in probs]), F.col("p")))
+        near.groupBy(*keys, "n", "p", "below", "_v")
+        .agg(F.count(F.lit(1)).alias("_rows"))
+        .withColumn("_last", F.sum("_rows").over(in_order) + F.col("below"))
     )
 
-    def at(rounded) -> Column:
-        rank = _rank(F.col("prob"), rounded)
-        hit = (rank <= F.col("last")) & (rank > F.col("last") - F.col("rows"))
-        return F.max(F.when(hit, F.col(value)))
+    def at(i: int, p: float, rounded: str) -> str:
+        rank = _rank(p, rounded)
+        return f"max(if(p = {i} and {rank} <= _last and {rank} > _last - _rows, _v, null))"
 
-    place = (F.col("n") - 1) * F.col("prob")
-    found = (
-        ranked.groupBy(*keys, "p", "prob", "n")
-        .agg(at(F.floor).alias("lo"), at(F.ceil).alias("hi"))
-        .withColumn("q", F.col("lo") + (F.col("hi") - F.col("lo")) * (place - F.floor(place)))
+    found = ranked.groupBy(*keys, "n").agg(
+        *[
+            F.expr(at(i, p, rounded)).alias(f"_{rounded}{i}")
+            for i, p in enumerate(probs)
+            for rounded in ("floor", "ceil")
+        ]
     )
-    return found.groupBy(*keys).agg(
-        F.max("n").alias("n"),
-        *[F.max(F.when(F.col("p") == i, F.col("q"))).alias(name) for i, name in enumerate(names)],
+    return found.selectExpr(
+        *keys,
+        "n",
+        *[
+            f"_floor{i} + (_ceil{i} - _floor{i}) * ((n - 1) * {p}D - floor((n - 1) * {p}D)) as {name}"
+            for i, (name, p) in enumerate(zip(probabilities, probs, strict=True))
+        ],
     )
 
 
-def _rank(p: float | Column, rounded) -> Column:
-    """The 1-based rank next to quantile ``p`` of ``n`` values."""
-    return rounded((F.col("n") - 1) * (F.lit(p) if isinstance(p, float) else p)) + 1
+def _rank(p: float, rounded: str) -> str:
+    """The 1-based rank next to quantile ``p`` of ``n`` values, as SQL."""
+    return f"({rounded}((n - 1) * {p}D) + 1)"
 
 
 def _position(value: Column, ascending: Column) -> Column:

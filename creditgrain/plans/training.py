@@ -96,7 +96,7 @@ def train_model(
             elasticNetParam=0.0,
             standardization=False,
             maxIter=1000,
-            tol=1e-8,
+            tol=1e-6,
         )
     else:
         estimator = GBTClassifier(
