@@ -40,7 +40,7 @@ HEADLINE = (
     "pr_auc",
     "classification_report",
     "score_report",
-    "score_accounts",
+    "score_transactions",
 )
 
 

@@ -13,14 +13,17 @@ that a retried task may add up in another order.
 
 from __future__ import annotations
 
+import math
+from collections import defaultdict
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # A quantile is first located to within this share of the rows on either side.
-BRACKET = 0.001
-SKETCH_ACCURACY = 2_000
+BRACKET = 0.0002
+SKETCH_ACCURACY = 10_000
 
 BINS = 256
 _SEARCH_STEPS = [1 << s for s in reversed(range(BINS.bit_length() - 1))]
@@ -32,93 +35,76 @@ def quantiles(
     """Exact quantiles of a DOUBLE column with linear interpolation, one row per key.
 
     ``probabilities`` maps output columns to probabilities; the output also has
-    ``n``, the number of values. ``keys`` are column numbers and class labels,
-    so the per-key tables that are broadcast have one row per (column, class).
+    ``n``, the number of values. ``keys`` are column numbers and class labels:
+    what passes through the driver has a few rows per (column, class).
 
-    Three passes over the values, none of which shuffles them: a sketch gives
-    two cuts around each quantile, the rows between cuts are counted, and the
-    rows between the cuts around a wanted rank (about ``2 * BRACKET`` of all)
-    are ordered. A rank that the sketch misses is found between other cuts.
+    Three jobs over the values, none of which shuffles them: a sketch gives two
+    cuts around each quantile, the rows between cuts are counted, and the rows
+    between the cuts around a wanted rank (about ``2 * BRACKET`` of all) are
+    ordered. A rank that the sketch misses is found between other cuts.
     """
+    spark = df.sparkSession
     values = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
+    key_fields = [values.schema[k] for k in keys]
     probs = [float(p) for p in probabilities.values()]
     around = sorted({min(max(p + d, 0.0), 1.0) for p in probs for d in (-BRACKET, BRACKET)})
 
-    pivots = values.groupBy(*keys).agg(
-        F.percentile_approx("_v", around, SKETCH_ACCURACY).alias("_p")
-    )
-    cuts = range(len(around))
-    pivots = pivots.selectExpr(*keys, *[f"_p[{i}] as _p{i}" for i in cuts])
+    def small_table(rows: list[tuple], columns: str) -> DataFrame:
+        return spark.createDataFrame(rows, T.StructType(key_fields + list(T.StructType.fromDDL(columns))))
+
+    sketch = values.groupBy(*keys).agg(F.percentile_approx("_v", around, SKETCH_ACCURACY).alias("cuts"))
+    cuts = [(*(r[k] for k in keys), *r.cuts) for r in sketch.collect()]
+    pivots = small_table(cuts, ", ".join(f"_p{i} double" for i in range(len(around))))
     counted = (
         values.join(F.broadcast(pivots), list(keys))
-        .withColumn("_bin", F.expr(" + ".join(f"cast(_v > _p{i} as int)" for i in cuts)))
-        .groupBy(*keys, "_bin")
-        .agg(F.count(F.lit(1)).alias("_rows"), F.max("_v").alias("_top"))
-    )
-
-    # Brackets in terms of real values and exact counts, which hold whatever
-    # the sketch said: (low, high] has both ranks, ``below`` rows are <= low.
-    by_key = Window.partitionBy(*keys)
-    up_to = by_key.orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
-    running = counted.withColumns(
-        {"_through": F.sum("_rows").over(up_to), "n": F.sum("_rows").over(by_key)}
+        .withColumn("bin", F.expr(" + ".join(f"cast(_v > _p{i} as int)" for i in range(len(around)))))
+        .groupBy(*keys, "bin")
+        .agg(F.count(F.lit(1)).alias("rows"), F.max("_v").alias("top"))
     )
-    brackets = running.groupBy(*keys).agg(
-        F.max("n").alias("n"),
-        *[
-            F.expr(
-                f"""struct(
-                    coalesce(max(if(_through < {_rank(p, 'floor')}, _top, null)), double('-infinity')) as low,
-                    min(if(_through >= {_rank(p, 'ceil')}, _top, null)) as high,
-                    coalesce(max(if(_through < {_rank(p, 'floor')}, _through, null)), 0L) as below)"""
-            ).alias(f"_b{i}")
-            for i, p in enumerate(probs)
-        ],
-    )
-
-    inside = [f"(_v > _b{i}.low and _v <= _b{i}.high)" for i in range(len(probs))]
-    hits = ", ".join(f"if({test}, struct({i} as p, _b{i}.below as below), null)" for i, test in enumerate(inside))
-    near = (
-        values.join(F.broadcast(brackets), list(keys))
-        .where(" or ".join(inside))
-        .select(*keys, "n", "_v", F.expr(f"explode(array_compact(array({hits})))").alias("_b"))
-        .select(*keys, "n", "_v", "_b.p", "_b.below")
+    bins = defaultdict(list)
+    for r in counted.collect():
+        bins[tuple(r[k] for k in keys)].append((r.bin, r.rows, r.top))
+
+    # (low, high] has the ranks ``first`` and ``second``; ``below`` rows are <= low
+    brackets, sizes = [], {}
+    for key, parts in bins.items():
+        n = sizes[key] = sum(rows for _, rows, _ in parts)
+        for i, p in enumerate(probs):
+            first, second = (f((n - 1) * p) + 1 for f in (math.floor, math.ceil))
+            low, high, below, through = float("-inf"), None, 0, 0
+            for _, rows, top in sorted(parts):
+                through += rows
+                if through < first:
+                    low, below = top, through
+                if high is None and through >= second:
+                    high = top
+            brackets.append((*key, i, low, high, below, first, second))
+    bounds = small_table(
+        brackets, "p int, low double, high double, below bigint, first bigint, second bigint"
     )
     in_order = (
-        Window.partitionBy(*keys, "n", "p", "below")
-        .orderBy("_v")
-        .rowsBetween(Window.unboundedPreceding, 0)
-    )
-    ranked = (
-        near.groupBy(*keys, "n", "p", "below", "_v")
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .withColumn("_last", F.sum("_rows").over(in_order) + F.col("below"))
+        Window.partitionBy(*keys, "p").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     )
-
-    def at(i: int, p: float, rounded: str) -> str:
-        rank = _rank(p, rounded)
-        return f"max(if(p = {i} and {rank} <= _last and {rank} > _last - _rows, _v, null))"
-
-    found = ranked.groupBy(*keys, "n").agg(
-        *[
-            F.expr(at(i, p, rounded)).alias(f"_{rounded}{i}")
-            for i, p in enumerate(probs)
-            for rounded in ("floor", "ceil")
-        ]
+    hits = (
+        values.join(F.broadcast(bounds), list(keys))
+        .where("_v > low and _v <= high")
+        .groupBy(*keys, "p", "below", "first", "second", "_v")
+        .agg(F.count(F.lit(1)).alias("rows"))
+        .withColumn("last", F.sum("rows").over(in_order) + F.col("below"))
+        .where("last >= first and last - rows < second")
     )
-    return found.selectExpr(
-        *keys,
-        "n",
-        *[
-            f"_floor{i} + (_ceil{i} - _floor{i}) * ((n - 1) * {p}D - floor((n - 1) * {p}D)) as {name}"
-            for i, (name, p) in enumerate(zip(probabilities, probs, strict=True))
-        ],
-    )
-
-
-def _rank(p: float, rounded: str) -> str:
-    """The 1-based rank next to quantile ``p`` of ``n`` values, as SQL."""
-    return f"({rounded}((n - 1) * {p}D) + 1)"
+    found = defaultdict(list)
+    for r in hits.collect():
+        found[(*(r[k] for k in keys), r.p)].append(r["_v"])
+    out = []
+    for key, n in sizes.items():
+        row = []
+        for i, p in enumerate(probs):
+            place = (n - 1) * p
+            low, high = min(found[(*key, i)]), max(found[(*key, i)])
+            row.append(low + (high - low) * (place - math.floor(place)))
+        out.append((*key, n, *row))
+    return small_table(out, "n bigint, " + ", ".join(f"{name} double" for name in probabilities))
 
 
 def _position(value: Column, ascending: Column) -> Column:
@@ -146,20 +132,23 @@ def running_sums(counts: DataFrame, value: str, measures: Sequence[str]) -> Data
         .groupBy("_bin")
         .agg(F.max(value).alias("top"), *[F.sum(m).alias(m) for m in measures])
     )
-    # at most BINS structs in one row
-    cuts = parts.agg(
-        F.sort_array(F.collect_list(F.struct("top", *measures))).alias("cuts")
-    )
-
-    def sum_of(m: str, items: Column) -> Column:
-        return F.aggregate(items, F.lit(0).cast("bigint"), lambda total, cut: total + cut[m])
+    # at most BINS rows, and then as many structs in one row
+    before = Window.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    cuts = parts.select(
+        F.struct(
+            "top",
+            *[F.coalesce(F.sum(m).over(before), F.lit(0)).alias(f"{m}_below") for m in measures],
+            *measures,
+        ).alias("cut")
+    ).agg(F.sort_array(F.collect_list("cut")).alias("cuts"))
 
     out = counts.withColumn("_cuts", cuts.scalar()).withColumn(
         "_bin", _position(F.col(value), F.col("_cuts.top"))
     )
+    mine, last = F.get("_cuts", F.col("_bin")), F.element_at("_cuts", -1)
     out = out.withColumns(
-        {f"_base_{m}": sum_of(m, F.slice("_cuts", F.lit(1), F.col("_bin"))) for m in measures}
-        | {f"{m}_total": sum_of(m, F.col("_cuts")) for m in measures}
+        {f"_base_{m}": mine[f"{m}_below"] for m in measures}
+        | {f"{m}_total": last[f"{m}_below"] + last[m] for m in measures}
     ).drop("_cuts")
     inside = Window.partitionBy("_bin").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     for m in measures:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash60, hash_bin
@@ -40,10 +40,7 @@ def with_class_weight(df: DataFrame, label: str, name: str = "weight") -> DataFr
     """Each row with the balanced weight of its class."""
     sizes = class_sizes(df, label)
     total = sum(sizes.values())
-    weight = F.lit(None).cast("double")
-    for value, n in sizes.items():
-        weight = F.when(F.col(label) == value, F.lit(total / (len(sizes) * n))).otherwise(weight)
-    return df.withColumn(name, weight)
+    return df.withColumn(name, _by_class(label, {c: total / (len(sizes) * n) for c, n in sizes.items()}))
 
 
 def test_quotas(sizes: dict, test_size: float) -> dict:
@@ -70,33 +67,43 @@ def assign_split(
     shuffled to be labelled.
     """
     quotas = test_quotas(class_sizes(df, label), test_size)
-    quota = F.lit(0)
-    for value, n in quotas.items():
-        quota = F.when(F.col(label) == value, F.lit(n)).otherwise(quota)
+    quota = _by_class(label, quotas)
     hashed = df.withColumn("_h", hash60(F.col(key), seed)).withColumn("_bin", hash_bin(F.col("_h"), _BIN_BITS))
     in_order = Window.partitionBy(label).orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
+    # one row per class, and class_sizes has bounded their number
     last_bin = (
         hashed.groupBy(label, "_bin")
         .agg(F.count(F.lit(1)).alias("n"))
         .withColumn("through", F.sum("n").over(in_order))
         .where((F.col("through") >= quota) & (F.col("through") - F.col("n") < quota))
         .select(label, "_bin", (quota - F.col("through") + F.col("n")).alias("place"))
+        .collect()
     )
+    if not last_bin:
+        return df.withColumn("split", F.lit("train"))
+    place = {r[label]: r.place for r in last_bin}
     by_hash = Window.partitionBy(label).orderBy("_h", key)
-    # one row per class, and class_sizes has bounded their number
     last_row = (
-        hashed.select(label, "_bin", "_h", key)
-        .join(F.broadcast(last_bin), [label, "_bin"])
+        hashed.where(F.col("_bin") == _by_class(label, {r[label]: r["_bin"] for r in last_bin}))
+        .select(label, "_h", key)
         .withColumn("row", F.row_number().over(by_hash))
-        .where("row = place")
-        .select(label, F.struct("_h", key).alias("_last"))
-    )
-    is_test = F.struct("_h", key) <= F.col("_last")
-    return (
-        hashed.join(F.broadcast(last_row), label, "left")
-        .withColumn("split", F.when(is_test, "test").otherwise("train"))
-        .select(*df.columns, "split")
+        .where(F.col("row") == _by_class(label, place))
+        .collect()
     )
+    last_hash = _by_class(label, {r[label]: r["_h"] for r in last_row})
+    last_key = _by_class(label, {r[label]: r[key] for r in last_row})
+    own = F.col("_h")
+    is_test = (own < last_hash) | ((own == last_hash) & (F.col(key) <= last_key))
+    return hashed.withColumn("split", F.when(is_test, "test").otherwise("train")).drop("_h", "_bin")
+
+
+def _by_class(label: str, values: dict) -> Column:
+    """The constant of each row's class; NULL for classes not listed."""
+    (first, value), *rest = values.items()
+    chosen = F.when(F.col(label) == first, F.lit(value))
+    for other, value in rest:
+        chosen = chosen.when(F.col(label) == other, F.lit(value))
+    return chosen
 
 
 def split_data(

@@ -56,7 +56,9 @@ REGISTRY: dict[str, Query] = {}
 
 
 def query(function: Query) -> Query:
-    REGISTRY[function.__name__] = function
+    """Register under the function's name, less the ``_query`` that keeps it apart
+    from the operator it runs."""
+    REGISTRY[function.__name__.removesuffix("_query")] = function
     return function
 
 
@@ -313,7 +315,7 @@ def account_corr_label(spark, d):
 
 
 @query
-def align_to_columns(spark, d):
+def align_columns_query(spark, d):
     return rounded(align_columns(customer_features(lines(spark, d)), ALIGNED))
 
 
@@ -357,7 +359,7 @@ def rescale(spark, d):
 
 
 @query
-def woe_categorical_columns(spark, d):
+def woe_auto_columns_query(spark, d):
     chosen = woe_auto_columns(stored_features(spark, d).drop(TARGET))
     return spark.createDataFrame(list(enumerate(chosen)), "position int, feature string")
 
@@ -520,7 +522,7 @@ def lr_evaluation(spark, d):
 
 
 @query
-def score_accounts(spark, d):
+def score_transactions_query(spark, d):
     return score_transactions(lines(spark, d), _fitted(spark, d)[0])
 
 
@@ -530,7 +532,7 @@ def score_raw_records(spark, d):
 
 
 @query
-def score_events_stream(spark, d):
+def score_stream_query(spark, d):
     source = spark.read.parquet(f"{d}/events.parquet")
     stream = (
         spark.readStream.schema(source.schema).option("pathGlobFilter", "events.parquet").parquet(d)

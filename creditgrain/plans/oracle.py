@@ -358,7 +358,7 @@ _ACCOUNT_NUMERIC = ["AccountId", *RFM_SUMMARY]
 ORACLE["account_corr_matrix"] = correlations(_SIGNED, "f", _ACCOUNT_NUMERIC)
 ORACLE["account_corr_label"] = correlations(_SIGNED, "f", _ACCOUNT_NUMERIC, "HasFraud")
 
-ORACLE["align_to_columns"] = with_(
+ORACLE["align_columns"] = with_(
     feature_parts(LINES),
     "select AccountId, Recency, 0 as MostFrequentChannel_PayLater, round(3e-7+Monetary,4) as Monetary, Frequency from f",
 )
@@ -398,7 +398,7 @@ ORACLE["rescale"] = with_(
     + " from once",
 )
 _WOE_CANDIDATES = ["AccountId", *[c for c in FEATURES if c != "HasFraud"]]
-ORACLE["woe_categorical_columns"] = with_(
+ORACLE["woe_auto_columns"] = with_(
     {
         **feature_parts(LINES),
         "few": " union all ".join(

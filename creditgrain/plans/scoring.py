@@ -95,8 +95,8 @@ def score_records(
         .groupBy(ACCOUNT)
         .agg(F.min("problems").alias("_problems"))
     )
-    good = valid.join(bad.where(F.col(ACCOUNT).isNotNull()), ACCOUNT, "left_anti")
-    scored = score_transactions(good, model, reference_time, clamp)
+    # left out after the aggregation, so that no join moves transactions
+    scored = score_transactions(valid, model, reference_time, clamp).join(bad, ACCOUNT, "left_anti")
     failed = bad.select(
         *[
             F.col(ACCOUNT)

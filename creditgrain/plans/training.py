@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..operators.features import customer_features
 from ..operators.metrics import classification_report, confusion_matrix, pr_auc, roc_auc
-from ..operators.sample import assign_split, class_sizes, oversample, with_class_weight
+from ..operators.sample import assign_split, oversample, with_class_weight
 from ..schema import ACCOUNT, LEAKAGE, TARGET
 from ..session import store
 from .preprocess import CreditPreprocessor, CreditPreprocessorModel
@@ -28,7 +28,7 @@ def build_features(txns: DataFrame, seed: int = 42, test_size: float = 0.2) -> D
     Stored, because everything after it reads the table several times.
     """
     features = store(customer_features(txns), "features")
-    return store(assign_split(features, TARGET, ACCOUNT, test_size, seed), "split")
+    return assign_split(features, TARGET, ACCOUNT, test_size, seed)
 
 
 def preprocess(features: DataFrame) -> tuple[DataFrame, CreditPreprocessorModel]:
@@ -80,15 +80,16 @@ def train_model(
     """
     if model_type not in MODEL_TYPES:
         raise ValueError(f"model_type must be one of {', '.join(MODEL_TYPES)}, not {model_type!r}")
-    balanced = oversample(train.select(key, label, *inputs), label, key, seed)
-    weighted = with_class_weight(balanced, label)
-    total_weight = sum(class_sizes(balanced, label).values())
-    assembler = VectorAssembler(inputCols=list(inputs), outputCol="features")
-    rows = assembler.transform(weighted).select("features", "weight", F.col(label).cast("double").alias(label))
     # one stored table for all iterations; it outlives lost executors
-    rows = store(rows, "training")
+    balanced = store(oversample(train.select(key, label, *inputs), label, key, seed), "training")
+    assembler = VectorAssembler(inputCols=list(inputs), outputCol="features")
+    weighted = with_class_weight(balanced.where(F.col(label).isNotNull()), label)
+    rows = assembler.transform(weighted).select(
+        "features", "weight", F.col(label).cast("double").alias(label)
+    )
     if model_type == "logistic_regression":
         # balanced weights add up to the number of rows
+        total_weight = rows.count()
         estimator = LogisticRegression(
             labelCol=label,
             weightCol="weight",

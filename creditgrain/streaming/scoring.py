@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.features import ReferenceTime
+from ..operators.features import FEATURES, ReferenceTime
 from ..plans.scoring import score_transactions
 from ..plans.training import CreditModel
 
@@ -22,8 +22,12 @@ def score_stream(
 
     An account's result rests on its transactions in the batch. A batch writes
     its own folder and replaces it when repeated, so a restart after a failure
-    leaves each result once.
+    leaves each result once. A model that needs other features than those of
+    transactions is refused before the stream starts.
     """
+    unknown = [s.feature for s in model.preprocessor.stats if s.feature not in FEATURES]
+    if unknown:
+        raise ValueError(f"feature mismatch: missing {', '.join(unknown)}")
 
     def score_batch(batch: DataFrame, batch_id: int) -> None:
         scored = score_transactions(batch, model, reference_time)
