@@ -18,14 +18,23 @@ def read_transactions(
 
     A missing path raises. A value that does not fit its column raises too for
     CSV and JSON; to sort such records out instead, read text columns and use
-    ``validate_transactions``.
+    ``validate_transactions``. Start times in text files may end in ``Z``.
     """
-    reader = spark.read.schema(schema)
+    if fmt == "parquet":
+        return conform(spark.read.schema(schema).parquet(path), schema)
+    reader = spark.read.schema(_text_time(schema)).option("mode", "FAILFAST")
     if fmt == "csv":
-        reader = reader.option("header", True).option("mode", "FAILFAST").option("enforceSchema", False)
-    elif fmt == "json":
-        reader = reader.option("mode", "FAILFAST")
-    return conform(reader.format(fmt).load(path), schema)
+        reader = reader.option("header", True).option("enforceSchema", False)
+    return conform(parse_times(reader.format(fmt).load(path)), schema)
+
+
+def _text_time(schema: T.StructType) -> T.StructType:
+    return T.StructType(
+        [
+            T.StructField(f.name, T.StringType() if isinstance(f.dataType, T.TimestampNTZType) else f.dataType)
+            for f in schema
+        ]
+    )
 
 
 def from_records(
@@ -36,12 +45,6 @@ def from_records(
     ``FraudResult`` is 0 where a record leaves it out, and start times may be
     text. Bulk input comes from files through ``read_transactions``.
     """
-    text_time = T.StructType(
-        [
-            T.StructField(f.name, T.StringType() if f.name == "TransactionStartTime" else f.dataType)
-            for f in schema
-        ]
-    )
     rows = [
         tuple(
             record.get(name, 0 if name == "FraudResult" else None)
@@ -51,7 +54,7 @@ def from_records(
         )
         for record in records
     ]
-    return conform(parse_times(spark.createDataFrame(rows, text_time)), schema)
+    return conform(parse_times(spark.createDataFrame(rows, _text_time(schema))), schema)
 
 
 def parse_times(df: DataFrame, column: str = "TransactionStartTime", lenient: bool = False) -> DataFrame:

@@ -5,7 +5,7 @@ from conftest import records
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
-from creditgrain.schema import TRANSACTIONS
+from creditgrain.schema import TRANSACTIONS, with_string_ids
 from creditgrain.sources import (
     conform,
     from_records,
@@ -32,6 +32,18 @@ def test_files_read_back(spark, ten, tmp_path, fmt):
     assert back.schema == TRANSACTIONS and rows(back) == rows(ten)
 
 
+def test_csv_with_text_ids_and_zulu_times(spark, tmp_path):
+    path = tmp_path / "raw.csv"
+    path.write_text(
+        ",".join(TRANSACTIONS.names)
+        + "\nTransactionId_7,BatchId_1,AccountId_9,SubscriptionId_2,CustomerId_9,UGX,256,ProviderId_6,ProductId_10,"
+        + "airtime,ChannelId_3,-20.0,20,2018-11-15T02:18:49Z,2,0\n"
+    )
+    row = read_transactions(spark, str(path), schema=with_string_ids()).first()
+    assert (row.AccountId, row.ProviderId) == ("AccountId_9", "ProviderId_6")
+    assert row.TransactionStartTime == dt.datetime(2018, 11, 15, 2, 18, 49) and row.Amount == -20.0
+
+
 def test_missing_file_raises(spark):
     with pytest.raises(AnalysisException, match="PATH_NOT_FOUND"):
         read_transactions(spark, "/nowhere/data.csv")
