@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MICROS_PER_DAY = 86_400_000_000
-
 # output column -> field of the start time; weekday counts from Monday = 0
 TIME_PARTS = {
     "TransactionHour": F.hour,
@@ -22,6 +20,8 @@ def with_time_parts(df: DataFrame, time: str = "TransactionStartTime") -> DataFr
 
 
 def whole_days_between(later: Column, earlier: Column) -> Column:
-    """Full 24-hour periods between two times, rounded down (also below zero)."""
-    micros = F.timestamp_diff("MICROSECOND", earlier, later)
-    return F.call_function("div", micros - F.pmod(micros, F.lit(MICROS_PER_DAY)), F.lit(MICROS_PER_DAY))
+    """Full 24-hour periods between two TIMESTAMP_NTZ values, rounded down (also
+    below zero). An interval between naive times knows no time zone."""
+    elapsed = later - earlier
+    days = F.extract(F.lit("DAY"), elapsed)
+    return (days - (elapsed < F.make_dt_interval(days)).cast("int")).cast("bigint")

@@ -71,6 +71,21 @@ def test_given_reference_time_rounds_down(make):
     assert customer_features(txns, "2024-01-10 11:00:00", ["Recency"]).first().Recency == -1
 
 
+def test_no_result_depends_on_the_session_time_zone(spark, make):
+    # clocks in New York skip an hour between these times
+    txns = make(
+        {"AccountId": 1, "TransactionStartTime": "2024-03-09 12:00:00"},
+        {"AccountId": 2, "TransactionStartTime": "2024-03-10 12:00:00"},
+    )
+    utc = by_account(customer_features(txns))
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        there = by_account(customer_features(txns))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert there == utc and utc[1]["Recency"] == 1
+
+
 def test_recency_counts_full_days_across_midnight(make):
     txns = make(
         {"AccountId": 1, "TransactionStartTime": "2024-03-01 02:00:00"},
