@@ -21,25 +21,35 @@ def _pearson(covariance, left_variance, right_variance):
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """``(left, right, correlation)`` for every ordered pair of numeric columns."""
+    """``(left, right, correlation)`` for every ordered pair of numeric columns.
+
+    A first pass over the columns finds which have missing values. Only beside
+    those does a column need a variance of its own; and each pair's covariance
+    is summed once.
+    """
     columns = list(columns or numeric_columns(df))
     k = len(columns)
+    present = df.agg(F.count(F.lit(1)), *[F.count(c) for c in columns]).first()
+    with_missing = {j for j in range(k) if present[j + 1] < present[0]}
     partners = [F.col(c).cast("double").alias(f"_y{j}") for j, c in enumerate(columns)]
     rows = melt(df.select(*columns, *partners), columns, "double", keep=[f"_y{j}" for j in range(k)])
     sums = rows.groupBy("column_id").agg(
-        *[F.expr(f"covar_pop(value, _y{j})").alias(f"c{j}") for j in range(k)],
-        *[F.expr(f"var_pop(if(_y{j} is not null, value, null))").alias(f"v{j}") for j in range(k)],
+        F.expr("var_pop(value)").alias("v"),
+        *[F.expr(f"covar_pop(value, if(column_id <= {j}, _y{j}, null))").alias(f"c{j}") for j in range(k)],
+        *[F.expr(f"var_pop(if(_y{j} is not null, value, null))").alias(f"v{j}") for j in with_missing],
     )
-    # column i beside j: its covariance and its own variance where j is present
-    beside = ", ".join(f"struct(c{j} as c, v{j} as v)" for j in range(k))
+    # column i beside j: its covariance (if i <= j) and its own variance where j is present
+    beside = ", ".join(f"struct(c{j} as c, {f'v{j}' if j in with_missing else 'v'} as v)" for j in range(k))
     pairs = sums.select(
         F.col("column_id").alias("i"), F.expr(f"posexplode(array({beside}))").alias("j", "m")
     ).select("i", "j", "m.c", "m.v")
-    mirrored = pairs.select(F.col("i").alias("j"), F.col("j").alias("i"), F.col("v").alias("w"))
+    mirrored = pairs.select(
+        F.col("i").alias("j"), F.col("j").alias("i"), F.col("c").alias("d"), F.col("v").alias("w")
+    )
     return pairs.join(mirrored, ["i", "j"]).select(
         column_label(columns, "i").alias("left"),
         column_label(columns, "j").alias("right"),
-        _pearson(F.col("c"), F.col("v"), F.col("w")).alias("correlation"),
+        _pearson(F.coalesce("c", "d"), F.col("v"), F.col("w")).alias("correlation"),
     )
 
 
