@@ -92,3 +92,23 @@ def test_mismatch_and_optional_scaler(fitted):
 
 def test_serving_recency_differs_from_training(txns):
     assert customer_features(txns, "account", ["Recency"]).agg(F.max("Recency")).first()[0] == 0
+
+
+def test_each_micro_batch_is_scored_by_itself(spark, fitted, tmp_path):
+    model, _ = fitted
+    events = spark.read.parquet(f"{DATA}/events.parquet")
+    folder, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for part in ("event_id < 500", "event_id >= 500"):
+        events.where(part).coalesce(1).write.mode("append").parquet(folder)
+    stream = txns_from_events(
+        spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    )
+    score_stream(stream, model, out, str(tmp_path / "checkpoint")).awaitTermination()
+    got = spark.read.parquet(out)
+    assert {r.batch for r in got.select("batch").distinct().collect()} == {0, 1}
+    halves = [
+        score_transactions(txns_from_events(events.where(part)), model)
+        for part in ("event_id < 500", "event_id >= 500")
+    ]
+    want = sorted(halves[0].unionByName(halves[1]).collect())
+    assert sorted(got.drop("batch").collect()) == want
