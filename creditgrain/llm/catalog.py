@@ -2,11 +2,29 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, exact_dedup, token_records
+from . import (
+    byte_bpe,
+    context_mixing,
+    decontamination,
+    exact_dedup,
+    language_gru,
+    pairwise_quality,
+    parity_join,
+    substring_index,
+    token_records,
+    url_rules,
+)
 
 QUERIES = {
+    "op1_context_mixing": context_mixing.op1_context_mixing,
+    "op2_language_gru": language_gru.op2_language_gru,
     "op3_byte_bpe": byte_bpe.op3_byte_bpe,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+    "op5_pairwise_quality": pairwise_quality.op5_pairwise_quality,
+    "op6_parity_join": parity_join.op6_parity_join,
+    "op7_url_rules": url_rules.op7_url_rules,
     "op8_token_records": token_records.op8_token_records,
+    "op9_decontamination": decontamination.op9_decontamination,
+    "op10_substring_dedup": substring_index.op10_substring_dedup,
 }
 ORACLE = {"op4_exact_dedup": exact_dedup.ORACLE}

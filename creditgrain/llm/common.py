@@ -111,9 +111,11 @@ def _power_tables(n: int) -> list[np.ndarray]:
     return _powers
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words ``[^\\x20\\x09-\\x0D]+`` in order, and words per text."""
-    buffer = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+def word_spans(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]:
+    """64-bit hashes of all words ``[^\\x20\\x09-\\x0D]+`` in order, words per text, and where
+    they start and end in the joined texts, which come last."""
+    joined = b"\n".join(texts) + b"\n"
+    buffer = np.frombuffer(joined, np.uint8)
     space = _SPACE[buffer]
     turns = np.flatnonzero(np.diff(space, prepend=True))
     starts, ends = turns[::2], turns[1::2]
@@ -123,7 +125,20 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     hashes = mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
     bounds = np.cumsum([len(t) + 1 for t in texts])
     upto = np.searchsorted(starts, bounds)
-    return hashes, np.diff(upto, prepend=0)
+    return hashes, np.diff(upto, prepend=0), starts, ends, joined
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes and words per text of ``word_spans``."""
+    return word_spans(texts)[:2]
+
+
+def span_hashes(words: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of the words from each start up to its end."""
+    powers, inverse = _power_tables(len(words) + 1)
+    sums = np.zeros(len(words) + 1, np.uint64)
+    np.cumsum(words * powers[: len(words)], out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
 
 
 def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:

@@ -184,7 +184,8 @@ def exact_dedup(
     capacity: int = CAPACITY,
     max_depth: int = MAX_DEPTH,
 ) -> DataFrame:
-    """A row per document: doc_id, keep_id, group_size, kept, text_sha256, bucket.
+    """A row per document: doc_id, keep_id, group_size, kept, text_sha256, bucket,
+    row (its number as stored).
 
     Texts are equal when their bytes are. NULL texts are empty ones. The row with
     the largest id stays; of repeated rows with that id one stays (the last
@@ -201,11 +202,12 @@ def exact_dedup(
         (F.col("row") == F.col("keep_row")).alias("kept"),
         F.col("sha").alias("text_sha256"),
         "bucket",
+        "row",
     )
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup(table(spark, sf_dir, "documents")).drop("bucket")
+    return exact_dedup(table(spark, sf_dir, "documents")).drop("bucket", "row")
 
 
 ORACLE = """
