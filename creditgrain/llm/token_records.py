@@ -35,7 +35,8 @@ from .common import id_and_text, table, text_blocks
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
-CACHED = 500_000
+CACHED = 800_000
+MARKS = {b",", b".", b"!", b"?", b";", b":"}
 HEAD = struct.Struct("<QI")
 START = struct.Struct("<?qB")  # the id is missing, the id, bytes of a token
 MANIFEST = "part long, first_id long, path string, records long, tokens long, bytes long"
@@ -64,11 +65,33 @@ class _Words(dict):
         self.tokenizer.encode_special_tokens = True  # such strings in a text are ordinary text
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
 
+        kinds = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends_word = np.zeros(max(kinds.values()) + 1, bool)
+        self.ends_word[[i for token, i in kinds.items() if token.endswith("</w>")]] = True
+
     def learn(self, words: set[bytes]) -> None:
-        new = [w for w in words if w not in self]
-        if len(self) + len(new) > CACHED:
-            self.clear()
-            new = list(words)
+        """Encode words that aren't known yet."""
+        marked = [w for w in words if w[-1:] in MARKS]
+        fresh = words.difference(marked)
+        fresh.update(w[:-1] for w in marked)
+        fresh.difference_update(self)
+        letters = [w for w in fresh if w.decode("utf-8", "replace").isalpha()]
+        new: list[bytes] = [w for w in words if w not in self]
+        if letters:
+            # A word of letters is one run of merges, and ends with the one token that ends a word.
+            ids = np.array(self.tokenizer.encode(b" ".join(letters).decode(), add_special_tokens=False).ids, self.kind)
+            cuts = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(cuts) == len(letters):
+                data, width = ids.tobytes(), ids.itemsize
+                bounds = [0, *(cuts * width).tolist()]
+                self.update(zip(letters, [data[a:b] for a, b in zip(bounds, bounds[1:], strict=False)], strict=True))
+                new = [w for w in new if w not in self]
+        for mark in MARKS - self.keys():
+            self[mark] = np.array(self.tokenizer.encode(mark.decode(), add_special_tokens=False).ids, self.kind).tobytes()
+        for word in new:  # a word and a mark are two runs
+            if word[-1:] in MARKS and word[:-1] in self and word[:-1].decode("utf-8", "replace").isalpha():
+                self[word] = self[word[:-1]] + self[word[-1:]]
+        new = [w for w in new if w not in self]
         texts = [w.decode("utf-8", "replace") for w in new]
         for word, found in zip(new, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
             self[word] = np.array(found.ids, self.kind).tobytes()
@@ -89,8 +112,12 @@ def _words(path: str) -> _Words:
 def encode(texts: list[bytes], path: str, end_id: int = END_ID) -> tuple[list[bytes], str]:
     """Packed ids of each text with the end id, and their type."""
     memo = _words(path)
-    split = [t.split() for t in texts]
-    memo.learn(set().union(*split))
+    split = [t.lower().split() for t in texts]  # the vocabulary is of lower case
+    words = set().union(*split)
+    if len(memo) + len(words) > CACHED:
+        memo.clear()
+    words.difference_update(memo)
+    memo.learn(words)
     end = np.array([end_id], memo.kind).tobytes()
     return [b"".join([*map(memo.__getitem__, words), end]) for words in split], memo.kind
 
