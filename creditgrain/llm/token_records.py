@@ -74,8 +74,7 @@ class _Words(dict):
         marked = [w for w in words if w[-1:] in MARKS]
         fresh = words.difference(marked)
         fresh.update(w[:-1] for w in marked)
-        fresh.difference_update(self)
-        letters = [w for w in fresh if w.decode("utf-8", "replace").isalpha()]
+        letters = [w for w in fresh if w not in self and w.decode("utf-8", "replace").isalpha()]
         new: list[bytes] = [w for w in words if w not in self]
         if letters:
             # A word of letters is one run of merges, and ends with the one token that ends a word.
@@ -116,8 +115,7 @@ def encode(texts: list[bytes], path: str, end_id: int = END_ID) -> tuple[list[by
     words = set().union(*split)
     if len(memo) + len(words) > CACHED:
         memo.clear()
-    words.difference_update(memo)
-    memo.learn(words)
+    memo.learn({w for w in words if w not in memo})
     end = np.array([end_id], memo.kind).tobytes()
     return [b"".join([*map(memo.__getitem__, words), end]) for words in split], memo.kind
 
