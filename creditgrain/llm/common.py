@@ -13,10 +13,12 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BLOCK_BYTES = 1 << 21
+ARROW_BYTES = 1 << 24
 
 
 _shipped: set[str] = set()
@@ -38,6 +40,7 @@ def ship(spark: SparkSession) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)  # long texts: fewer rows a batch
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -59,15 +62,15 @@ def text_blocks(
 ) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of the batches holding about ``size`` bytes of text (one row at least)."""
     for batch in batches:
-        texts = batch.column(column).cast(pa.binary()).to_pylist()
+        texts = batch.column(column).cast(pa.binary())
         start = held = 0
-        for i, text in enumerate(texts):
-            if held and held + len(text) > size:
-                yield batch.slice(start, i - start), texts[start:i]
+        for i, length in enumerate(pc.binary_length(texts).to_pylist()):
+            if held and held + length > size:
+                yield batch.slice(start, i - start), texts.slice(start, i - start).to_pylist()
                 start, held = i, 0
-            held += len(text)
+            held += length
         if start < len(texts):
-            yield batch.slice(start), texts[start:]
+            yield batch.slice(start), texts.slice(start).to_pylist()
 
 
 def column(batch: pa.RecordBatch, name: str) -> np.ndarray:

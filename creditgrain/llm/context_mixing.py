@@ -18,6 +18,7 @@ occurrence left out.
 from __future__ import annotations
 
 import pickle
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,7 +34,7 @@ from .common import column, crc_fold, id_and_text, mix, table, text_blocks, word
 
 ORDER = 5  # bytes of context
 CONTEXTS = ORDER + 2
-SLOT_BITS = 21  # slots of a predictor
+SLOT_BITS = 20  # slots of a predictor
 BINS = 33  # of the adaptive map, by log odds from -8 to 8
 COMMON = 2e-6  # at most 1 / COMMON words are this frequent: those are broadcast
 END_WORD = np.uint64(0x5851F42D4C957F2D)
@@ -170,6 +171,15 @@ class MixedModel:
         return out / np.log(2)
 
 
+def packed_up(value: object) -> bytes:
+    """Compressed: most slots of a small corpus are empty."""
+    return zlib.compress(pickle.dumps(value), 1)
+
+
+def unpacked(data: bytes) -> object:
+    return pickle.loads(zlib.decompress(data))
+
+
 # ------------------------------------------------------------------ counting
 
 
@@ -217,7 +227,7 @@ def _tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _weights(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mine, seen = MixedModel.start(pickle.loads(model.value).counts), 0
+        mine, seen = MixedModel.start(unpacked(model.value).counts), 0
         for batch in batches:
             n = column(batch, "n")
             mine.learn(column(batch, "key").view(np.uint64), n)
@@ -231,7 +241,7 @@ def _weights(model):
 
 def _observations(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mine = pickle.loads(model.value)
+        mine = unpacked(model.value)
         total = np.zeros((2, 256 * BINS))
         for batch in batches:
             total += mine.observe(column(batch, "key").view(np.uint64), column(batch, "n"))
@@ -260,15 +270,17 @@ def fit_mixing(windows: DataFrame) -> MixedModel:
         flat[column(batch, "slot")] = column(batch, "v").view(np.uint32)
     model = MixedModel.start(flat.reshape(CONTEXTS, -1))
     spread = windows.repartition(TASKS, "key")
-    shared = context.broadcast(pickle.dumps(model))
+    shared = context.broadcast(packed_up(model))
     found = spread.mapInArrow(_weights(shared), "seen long, weights binary").collect()
+    shared.destroy()
     total = sum(r.seen for r in found)
     if total:
         model.weights = sum(
             np.frombuffer(r.weights, np.float32).reshape(model.weights.shape) * np.float32(r.seen / total) for r in found
         )
-    shared = context.broadcast(pickle.dumps(model))
+    shared = context.broadcast(packed_up(model))
     found = spread.mapInArrow(_observations(shared), "cells binary").collect()
+    shared.destroy()
     model.set_map(sum((np.frombuffer(r.cells) for r in found), np.zeros(2 * 256 * BINS)))
     return model
 
@@ -278,7 +290,7 @@ def fit_mixing(windows: DataFrame) -> MixedModel:
 
 def _score(shared, total: int, distinct: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, common, common_n = pickle.loads(shared.value)
+        model, common, common_n = unpacked(shared.value)
         for batch, texts in text_blocks(batches, BLOCK):
             lower = [t.lower() for t in texts]
             codes, values = pd.factorize(windows_of(lower)[0])
@@ -350,7 +362,7 @@ def mixing_scores(docs: DataFrame, modulus: int = 7, held: int = 2) -> DataFrame
     frequent = words.where((F.col("n") > max(1.0, COMMON * total)) & (F.col("key") != int(END_WORD))).toArrow()
     keys = frequent["key"].to_numpy().view(np.uint64)
     order = np.argsort(keys)
-    shared = context.broadcast(pickle.dumps((model, keys[order], frequent["n"].to_numpy()[order])))
+    shared = context.broadcast(packed_up((model, keys[order], frequent["n"].to_numpy()[order])))
     scored = store(
         rows.mapInArrow(
             _score(shared, total, distinct),
@@ -358,6 +370,7 @@ def mixing_scores(docs: DataFrame, modulus: int = 7, held: int = 2) -> DataFrame
         ),
         "scored",
     )
+    shared.destroy()
     ends = words.where(F.col("key") == int(END_WORD)).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
     rare = (
         scored.where("word is not null")

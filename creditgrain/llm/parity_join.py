@@ -40,13 +40,15 @@ WORDS = 5
 PLACES = 19  # log2 of the table of part frequencies
 LEAST_PARTS = 1024
 STARS = 2
+LEADING = 20  # bits dropped from a key to see whether it is repeated
 
 
 def parts_of(size: int) -> list[int]:
     """Numbers of parts, one for each band that documents of this size take part in."""
-    own = max(LEAST_PARTS, 4 << max(0, int(size).bit_length() - 1))
-    upper = own // 4 * 2  # sizes of the band are below
-    return [own, own * 2] if 5 * size >= 4 * upper else [own]
+    own = LEAST_PARTS
+    while size >= own // 2:
+        own *= 4
+    return [own, own * 4] if 5 * size >= 4 * (own // 2) else [own]
 
 
 def filled_parts(shingles: np.ndarray, parts: int, salt: int) -> np.ndarray:
@@ -158,7 +160,7 @@ def _members(shared):
             lists = batch.column("keys")
             key = lists.flatten().to_numpy(zero_copy_only=False)
             lengths = np.diff(lists.offsets.to_numpy())
-            good = np.flatnonzero(may_hold(shared.value, key.view(np.uint64)))
+            good = np.flatnonzero(may_hold(shared.value, (key >> LEADING).view(np.uint64)))
             owner = np.repeat(np.arange(len(batch)), lengths)[good]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(key[good]), batch.column("node").take(pa.array(owner)), batch.column("size").take(pa.array(owner))],
@@ -247,9 +249,10 @@ class _Join:
             "sets",
         )
         filled = self.sets.where("keys is not null")
+        # Leading bits of keys and nodes say nearly as well which keys are repeated, in fewer bytes.
         repeated = (
-            filled.select("node", F.explode("keys").alias("key"))
-            .groupBy("key")
+            filled.select(F.shiftright("node", 24).alias("node"), F.explode("keys").alias("key"))
+            .groupBy(F.shiftright("key", LEADING).alias("key"))
             .agg(F.min("node").alias("low"), F.max("node").alias("high"))
             .where("low < high")
             .select("key")
