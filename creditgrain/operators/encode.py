@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import column_label, melt, numeric_columns, string_columns
-from ..session import BROADCAST_ROWS, store
+from ..session import store
 from .ranks import quantiles
 
 # The category that stands for a missing value, the smoothing
@@ -19,8 +19,6 @@ MISSING = "__MISSING__"
 SMOOTHING = 0.001
 FEW_VALUES = 50
 
-MAX_ONE_HOT = 1000
-
 
 @dataclass(frozen=True)
 class NumericStats:
@@ -154,8 +152,6 @@ class WoeModel:
             weights = self.table.where(F.col("feature") == c).select(
                 F.col("category").alias("_category"), F.col("woe").alias("_woe")
             )
-            if self.sizes().get(c, 0) <= BROADCAST_ROWS:
-                weights = F.broadcast(weights)
             out = (
                 out.withColumn("_key", _category(c))
                 .join(weights, F.col("_key") == F.col("_category"), "left")
@@ -186,8 +182,9 @@ class WoeModel:
 class OneHotModel:
     """0/1 columns ``<column>_<category>`` for the categories seen at fit.
 
-    A table cannot have a column per category when there are very many; beyond
-    ``MAX_ONE_HOT`` use ``vectors``, which encodes the same as sparse vectors.
+    There is no limit: every category is a column, and its name is part of the
+    schema, so the driver holds all names. For wide domains choose ``vectors``,
+    which encodes the same as sparse vectors.
     """
 
     def __init__(self, categories: dict[str, list[str]]):
@@ -203,9 +200,7 @@ class OneHotModel:
             .agg(F.count(F.lit(1)).alias("rows"))
             .select("column_id", "value")
         )
-        rows = seen.limit(MAX_ONE_HOT + 1).collect()
-        if len(rows) > MAX_ONE_HOT:
-            raise ValueError(f"more than {MAX_ONE_HOT} categories: use OneHotModel.vectors")
+        rows = seen.collect()
         categories = {c: [] for c in columns}
         for r in sorted(rows, key=lambda r: (r.column_id, r.value)):
             categories[columns[r.column_id]].append(r.value)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import column_label, melt, numeric_columns, plotted_columns, string_columns
@@ -173,23 +173,21 @@ def kernel_density(
 
 
 def class_share(df: DataFrame, label: str) -> DataFrame:
-    """Rows and percent of class 0 and class 1; a class without rows is listed too."""
-    counts = df.agg(*[F.count_if(F.col(label) == c).alias(f"c{c}") for c in (0, 1)])
-    total = F.col("c0") + F.col("c1")
-    return counts.select(
-        F.explode(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(c).alias("class"),
-                        F.col(f"c{c}").alias("count"),
-                        F.try_divide(F.col(f"c{c}") * 100.0, total).alias("percent"),
-                    )
-                    for c in (0, 1)
-                ]
-            )
-        ).alias("r")
-    ).select("r.*")
+    """Rows and percent of each class in the data; 0 and 1 are listed even without rows.
+
+    The percent is of all rows with a class.
+    """
+    listed = df.sparkSession.createDataFrame([(0, 0), (1, 0)], "class int, n long")
+    counts = (
+        df.where(F.col(label).isNotNull())
+        .groupBy(F.col(label).alias("class"))
+        .agg(F.count(F.lit(1)).alias("n"))
+        .union(listed)
+        .groupBy("class")
+        .agg(F.sum("n").alias("count"))
+    )
+    total = F.sum("count").over(Window.partitionBy())  # of one row per class
+    return counts.withColumn("percent", F.try_divide(F.col("count") * 100.0, total))
 
 
 def value_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

@@ -9,9 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash60, hash_bin
-from ..session import BROADCAST_ROWS
 
-MAX_CLASSES = 1000
 _BIN_BITS = 12
 
 
@@ -21,26 +19,23 @@ def class_counts(df: DataFrame, label: str) -> DataFrame:
 
 
 def class_sizes(df: DataFrame, label: str) -> dict:
-    """Rows per class on the driver, in class order; refuses columns that are no class label."""
-    rows = class_counts(df.where(F.col(label).isNotNull()), label).limit(MAX_CLASSES + 1).collect()
-    if len(rows) > MAX_CLASSES:
-        raise ValueError(f"{label} has more than {MAX_CLASSES} values")
+    """Rows per class on the driver, in class order: one number for each class, however many."""
+    rows = class_counts(df.where(F.col(label).isNotNull()), label).collect()
     return {r[label]: r.n for r in sorted(rows, key=lambda r: r[label])}
 
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:
     """Balanced weight per class: n / (classes * rows of the class)."""
-    sizes = class_sizes(df, label)
-    total = sum(sizes.values())
-    kept = df.where(F.col(label).isNotNull())
-    return class_counts(kept, label).withColumn("weight", F.lit(float(total)) / (F.lit(len(sizes)) * F.col("n")))
+    counts = class_counts(df.where(F.col(label).isNotNull()), label)
+    total, classes = counts.agg(F.sum("n"), F.count("n")).first()
+    return counts.withColumn("weight", F.lit(float(total or 0)) / (F.lit(classes) * F.col("n")))
 
 
 def with_class_weight(df: DataFrame, label: str, name: str = "weight") -> DataFrame:
-    """Each row with the balanced weight of its class."""
-    sizes = class_sizes(df, label)
-    total = sum(sizes.values())
-    return df.withColumn(name, _by_class(label, {c: total / (len(sizes) * n) for c, n in sizes.items()}))
+    """Each row with the balanced weight of its class; rows without a class have none."""
+    weights = class_weights(df, label).select(F.col(label).alias("_class"), F.col("weight").alias("_weight"))
+    joined = df.drop(name).join(weights, F.col(label) == F.col("_class"), "left")
+    return joined.withColumn(name, F.col("_weight")).drop("_class", "_weight")
 
 
 def test_quotas(sizes: dict, test_size: float) -> dict:
@@ -149,18 +144,16 @@ def oversample(df: DataFrame, label: str, key: str, seed: int = 42) -> DataFrame
     One class, or classes of equal size, come back unchanged; with three or more
     classes only the smallest grows. Draw ``i`` takes row md5(i:seed) mod n.
     """
-    sizes = class_sizes(df, label)
-    if len(sizes) < 2:
+    counts = class_counts(df.where(F.col(label).isNotNull()), label)
+    least, most = counts.agg(F.min(F.struct("n", F.col(label).alias("label"))), F.max("n")).first()
+    if least is None or least.n == most:
         return df
-    smallest = min(sizes, key=lambda c: sizes[c])
-    deficit = max(sizes.values()) - sizes[smallest]
-    if deficit == 0:
-        return df
-    n = sizes[smallest]
+    smallest, n = least.label, least.n
+    deficit = most - n
     pool = numbered(df.where(F.col(label) == smallest), key, seed)
     draws = df.sparkSession.range(deficit).select((hash60(F.col("id"), seed) % n).alias("_row"))
-    # Beyond the broadcast bound a row is drawn so evenly that no key is hot.
-    copies = draws.join(F.broadcast(pool) if n <= BROADCAST_ROWS else pool, "_row")
+    # Rows are drawn so evenly that no key is hot; Spark measures whether to broadcast.
+    copies = draws.join(pool, "_row")
     return df.unionByName(copies.drop("_row"))
 
 

@@ -8,10 +8,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# A side with at most this many rows may be broadcast; larger sides are joined
-# by shuffle, where adaptive execution splits skewed partitions.
-BROADCAST_ROWS = 50_000
-
 _local_dirs: dict[str, tempfile.TemporaryDirectory] = {}
 
 

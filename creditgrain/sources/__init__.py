@@ -1,4 +1,4 @@
-from .adapters import spread, txns_from_events, txns_from_lines
+from .adapters import txns_from_events, txns_from_lines
 from .splits import load_splits, save_splits
 from .transactions import conform, from_records, parse_times, read_transactions
 from .validation import validate_transactions
@@ -10,7 +10,6 @@ __all__ = [
     "parse_times",
     "read_transactions",
     "save_splits",
-    "spread",
     "txns_from_events",
     "txns_from_lines",
     "validate_transactions",

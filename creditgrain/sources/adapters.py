@@ -12,18 +12,6 @@ from pyspark.sql import functions as F
 from .transactions import conform
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give every core a share of a table too small to be cut into enough splits.
-
-    A file with one row group is one task, and so is everything up to the next
-    shuffle. Tables with enough files are left alone.
-    """
-    if df.isStreaming:
-        return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def _table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{directory}/{name}.parquet")
 
@@ -31,7 +19,7 @@ def _table(spark: SparkSession, directory: str, name: str) -> DataFrame:
 def txns_from_lines(spark: SparkSession, directory: str) -> DataFrame:
     """One transaction per order line; times are dates, returned lines are debits."""
     joined = (
-        spread(_table(spark, directory, "lineitem"))
+        _table(spark, directory, "lineitem")
         .join(_table(spark, directory, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
         .join(_table(spark, directory, "part"), F.col("l_partkey") == F.col("p_partkey"))
         .join(_table(spark, directory, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
@@ -67,7 +55,7 @@ def txns_from_events(events: DataFrame) -> DataFrame:
     """One transaction per event, with real times of day and missing currencies."""
     k = F.get_json_object("props", "$.k").cast("int")
     is_error = F.col("event_type") == "error"
-    keyed = spread(events).withColumn("k", k)
+    keyed = events.withColumn("k", k)
     k = F.col("k")
     return conform(
         keyed.select(

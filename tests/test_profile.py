@@ -136,3 +136,12 @@ def test_outlier_rows(numbers):
 
 def test_head_has_an_order(ten):
     assert [r.TransactionId for r in profile.head(ten, "TransactionId", 3).collect()] == [1, 2, 3]
+
+
+def test_class_share_of_three_classes(spark):
+    df = spark.createDataFrame([(0,), (1,), (2,), (2,), (None,)], "y int")
+    assert {r["class"]: (r["count"], r.percent) for r in profile.class_share(df, "y").collect()} == {
+        0: (1, 25.0),
+        1: (1, 25.0),
+        2: (2, 50.0),
+    }

@@ -43,9 +43,7 @@ def test_split_of_few_rows_and_dropped_columns(spark):
     assert sorted(r.y for r in train.collect()) == sorted(r.y for r in test.collect()) == [0, 1]
 
 
-@pytest.mark.parametrize("bound", [50_000, 0])
-def test_oversampling_makes_classes_equal(spark, monkeypatch, bound):
-    monkeypatch.setattr(sample, "BROADCAST_ROWS", bound)
+def test_oversampling_makes_classes_equal(spark):
     out = sample.oversample(labelled(spark, 300, 7), "y", "id").collect()
     assert Counter(r.y for r in out) == {0: 300, 1: 300}
     copies = Counter(r.id for r in out if r.y == 1)
@@ -76,9 +74,11 @@ def test_class_weights(spark):
     assert sum(r.weight for r in rows) == pytest.approx(8)
 
 
-def test_label_with_very_many_values_is_refused(spark):
-    with pytest.raises(ValueError, match="more than 1000"):
-        sample.class_sizes(spark.range(1500), "id")
+def test_label_with_very_many_values(spark):
+    df = spark.range(3000).selectExpr("id", "id % 1500 as y")
+    assert len(sample.class_sizes(df, "y")) == 1500
+    assert {r.weight for r in sample.with_class_weight(df, "y").collect()} == {1.0}
+    assert sample.oversample(df.where("id < 2999"), "y", "id").count() == 3000
 
 
 def test_shuffle_is_a_permutation(spark):
