@@ -19,11 +19,12 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,31 +70,38 @@ class _Words(dict):
         self.ends_word = np.zeros(max(kinds.values()) + 1, bool)
         self.ends_word[[i for token, i in kinds.items() if token.endswith("</w>")]] = True
 
-    def learn(self, words: set[bytes]) -> None:
-        """Encode words that aren't known yet."""
-        marked = [w for w in words if w[-1:] in MARKS]
-        fresh = words.difference(marked)
-        fresh.update(w[:-1] for w in marked)
-        letters = [w for w in fresh if w not in self and w.decode("utf-8", "replace").isalpha()]
-        new: list[bytes] = [w for w in words if w not in self]
+    def learn(self, words: Iterable[bytes]) -> None:
+        """Encode words that aren't known yet.
+
+        A word of letters is one run of merges and ends with the one token that ends
+        a word, so such words are encoded together; one mark after it is a run of its own.
+        """
+        new = [w for w in words if w not in self]
+        bodies = [w[:-1] if w[-1:] in MARKS else w for w in new]
+        plain = [b.decode("utf-8", "replace").isalpha() for b in bodies]
+        letters = list({b for b, alone in zip(bodies, plain, strict=True) if alone and b not in self})
         if letters:
-            # A word of letters is one run of merges, and ends with the one token that ends a word.
             ids = np.array(self.tokenizer.encode(b" ".join(letters).decode(), add_special_tokens=False).ids, self.kind)
             cuts = np.flatnonzero(self.ends_word[ids]) + 1
             if len(cuts) == len(letters):
                 data, width = ids.tobytes(), ids.itemsize
                 bounds = [0, *(cuts * width).tolist()]
                 self.update(zip(letters, [data[a:b] for a, b in zip(bounds, bounds[1:], strict=False)], strict=True))
-                new = [w for w in new if w not in self]
         for mark in MARKS - self.keys():
-            self[mark] = np.array(self.tokenizer.encode(mark.decode(), add_special_tokens=False).ids, self.kind).tobytes()
-        for word in new:  # a word and a mark are two runs
-            if word[-1:] in MARKS and word[:-1] in self and word[:-1].decode("utf-8", "replace").isalpha():
-                self[word] = self[word[:-1]] + self[word[-1:]]
-        new = [w for w in new if w not in self]
-        texts = [w.decode("utf-8", "replace") for w in new]
-        for word, found in zip(new, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-            self[word] = np.array(found.ids, self.kind).tobytes()
+            self[mark] = self.one_by_one([mark])[0]
+        rest = []
+        for word, body, alone in zip(new, bodies, plain, strict=True):
+            if word in self:
+                continue
+            if alone and body in self and len(body) < len(word):
+                self[word] = self[body] + self[word[-1:]]
+            else:
+                rest.append(word)
+        self.update(zip(rest, self.one_by_one(rest), strict=True))
+
+    def one_by_one(self, words: list[bytes]) -> list[bytes]:
+        texts = [w.decode("utf-8", "replace") for w in words]
+        return [np.array(found.ids, self.kind).tobytes() for found in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 
 _loaded: dict[str, _Words] = {}
@@ -111,13 +119,27 @@ def _words(path: str) -> _Words:
 def encode(texts: list[bytes], path: str, end_id: int = END_ID) -> tuple[list[bytes], str]:
     """Packed ids of each text with the end id, and their type."""
     memo = _words(path)
-    split = [t.lower().split() for t in texts]  # the vocabulary is of lower case
-    words = set().union(*split)
+    lower = pa.array([t.lower() for t in texts], pa.binary()).view(pa.string())  # the vocabulary is of lower case
+    split = pc.ascii_split_whitespace(lower)
+    coded = split.flatten().view(pa.binary()).dictionary_encode()
+    words = coded.dictionary.to_pylist()
     if len(memo) + len(words) > CACHED:
         memo.clear()
-    memo.learn({w for w in words if w not in memo})
-    end = np.array([end_id], memo.kind).tobytes()
-    return [b"".join([*map(memo.__getitem__, words), end]) for words in split], memo.kind
+    memo[b""] = b""  # before and after white space at the ends of a text
+    memo.learn(words)
+    # Ids of each distinct word, and of the end, one after the other; then those of the texts.
+    width = np.dtype(memo.kind).itemsize
+    known = [*map(memo.__getitem__, words), np.array([end_id], memo.kind).tobytes()]
+    lengths = np.fromiter(map(len, known), np.int64, len(known)) // width
+    first = np.cumsum(lengths) - lengths
+    bounds = split.offsets.to_numpy()
+    order = np.insert(coded.indices.to_numpy().astype(np.int64), bounds[1:] - bounds[0], len(words))
+    sizes = lengths[order]
+    upto = np.cumsum(sizes)
+    places = np.repeat(first[order] - (upto - sizes), sizes) + np.arange(upto[-1] if len(upto) else 0)
+    data = np.frombuffer(b"".join(known), memo.kind)[places].tobytes()
+    ends = (upto[order == len(words)] * width).tolist()
+    return [data[a:b] for a, b in zip([0, *ends], ends, strict=False)], memo.kind
 
 
 # ------------------------------------------------------------------ writing
