@@ -152,7 +152,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE)
     )
     first = Window.partitionBy("quality").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = ids.distinct().withColumn("n", F.row_number().over(first)).where(F.col("n") <= per_label).drop("n")
-    return docs.join(chosen, "doc_id")
+    return docs.join(F.broadcast(chosen), "doc_id")  # ids only, at most 2 * per_label
 
 
 def _score(model: PairwiseModel, accept: float):
