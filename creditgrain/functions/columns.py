@@ -38,15 +38,24 @@ def align_columns(df: DataFrame, columns: Sequence[str], fill: float = 0) -> Dat
     )
 
 
+def present(df: DataFrame, name: str) -> Column:
+    """The column, with NaN as NULL."""
+    if isinstance(df.schema[name].dataType, T.FractionalType) and not isinstance(df.schema[name].dataType, T.DecimalType):
+        return F.nullif(F.col(name), F.lit(float("nan")))
+    return F.col(name)
+
+
 def melt(
     df: DataFrame, columns: Sequence[str], dtype: str, keep: Sequence[str | Column] = ()
 ) -> DataFrame:
     """One row per input row and column: ``(*keep, column_id, value)``.
 
     ``column_id`` is the position in ``columns``; a small integer key hashes
-    faster than a name. ``column_label`` turns it back at the end.
+    faster than a name. ``column_label`` turns it back at the end. NaN is missing,
+    as everywhere.
     """
-    pairs = ", ".join(f"{i}, cast(`{name}` as {dtype})" for i, name in enumerate(columns))
+    value = "nullif(cast(`{}` as double), double('NaN'))" if dtype == "double" else "cast(`{}` as " + dtype + ")"
+    pairs = ", ".join(f"{i}, {value.format(name)}" for i, name in enumerate(columns))
     stacked = F.expr(f"stack({len(columns)}, {pairs})").alias("column_id", "value")
     return df.select(*keep, stacked)
 

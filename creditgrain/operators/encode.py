@@ -152,10 +152,12 @@ class WoeModel:
             weights = self.table.where(F.col("feature") == c).select(
                 F.col("category").alias("_category"), F.col("woe").alias("_woe")
             )
+            # Missing values are no join key: their weight is one number.
+            missing = weights.where(F.col("_category") == MISSING).agg(F.coalesce(F.first("_woe"), F.lit(0.0))).scalar()
             out = (
-                out.withColumn("_key", _category(c))
+                out.withColumn("_key", F.col(c).cast("string"))
                 .join(weights, F.col("_key") == F.col("_category"), "left")
-                .withColumn(c, F.coalesce("_woe", F.lit(0.0)))
+                .withColumn(c, F.when(F.col("_key").isNull(), missing).otherwise(F.coalesce("_woe", F.lit(0.0))))
                 .drop("_key", "_category", "_woe")
             )
         # a joined column keeps its place

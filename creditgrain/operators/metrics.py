@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ranks import running_sums
 
 
 def _threshold_counts(scored: DataFrame, label: str, score: str) -> DataFrame:
-    """Per distinct score, the positives and negatives there, above, and overall."""
+    """Per distinct score, the positives and negatives there, above, and overall.
+
+    Curves and areas are of two classes: rows of other labels than 0 and 1 are left out.
+    """
     counts = (
         scored.where(F.col(label).isNotNull() & F.col(score).isNotNull())
         .groupBy(F.col(score).alias("threshold"))
@@ -73,79 +78,90 @@ def pr_auc(scored: DataFrame, label: str = "label", score: str = "p") -> DataFra
     return t.agg(F.sum((_recall(tp) - recall_next) * height).alias("pr_auc"))
 
 
+def _cells(scored: DataFrame, label: str, prediction: str) -> DataFrame:
+    """Rows per (actual, predicted) class; rows without a label count nowhere."""
+    kind = scored.schema[label].dataType
+    return (
+        scored.where(F.col(label).isNotNull())
+        .groupBy(F.col(label).alias("actual"), F.col(prediction).cast(kind).alias("predicted"))
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+
+
 def confusion_matrix(
-    scored: DataFrame, label: str = "label", prediction: str = "prediction", classes=(0, 1)
+    scored: DataFrame, label: str = "label", prediction: str = "prediction", classes: Sequence | None = None
 ) -> DataFrame:
-    """One row per actual class with the number of rows predicted as each class."""
-    cells = scored.agg(
-        *[
-            F.count_if((F.col(label) == a) & (F.col(prediction) == p)).alias(f"{a}_{p}")
-            for a in classes
-            for p in classes
-        ]
+    """One row per actual class with the number of rows predicted as each class.
+
+    The classes are all that occur as a label or prediction, and each is a column
+    of the result, so their names come to the driver; ``classes`` names them instead.
+    """
+    cells = _cells(scored, label, prediction)
+    if classes is None:
+        both = F.explode(F.array("actual", "predicted")).alias("c")
+        classes = sorted(r.c for r in cells.select(both).where("c is not null").distinct().collect())
+    kind = scored.schema[label].dataType.simpleString()
+    listed = scored.sparkSession.createDataFrame([(c,) for c in classes], f"actual {kind}")
+    counts = cells.groupBy("actual").agg(
+        *[F.sum(F.when(F.col("predicted") == c, F.col("n"))).alias(f"predicted_{c}") for c in classes]
     )
-    rows = [
-        F.struct(
-            F.lit(a).alias("actual"), *[F.col(f"{a}_{p}").alias(f"predicted_{p}") for p in classes]
-        )
-        for a in classes
-    ]
-    return cells.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    return listed.join(counts, "actual", "left").na.fill(0, [f"predicted_{c}" for c in classes])
 
 
 def classification_report(
-    scored: DataFrame, label: str = "label", prediction: str = "prediction", classes=(0, 1)
+    scored: DataFrame, label: str = "label", prediction: str = "prediction"
 ) -> DataFrame:
-    """Precision, recall, F1 and support per class, then accuracy and the macro
-    and weighted averages; a ratio without rows is 0."""
-    hit = {c: F.col(f"hit_{c}").cast("double") for c in classes}
-    counts = scored.agg(
-        F.count_if(F.col(label) == F.col(prediction)).alias("hits"),
-        F.count(F.lit(1)).alias("rows"),
-        *[F.count_if((F.col(label) == c) & (F.col(prediction) == c)).alias(f"hit_{c}") for c in classes],
-        *[F.count_if(F.col(label) == c).alias(f"actual_{c}") for c in classes],
-        *[F.count_if(F.col(prediction) == c).alias(f"predicted_{c}") for c in classes],
-    )
+    """Precision, recall, F1 and support of every class that occurs as a label or
+    prediction, then accuracy and the macro and weighted averages.
 
-    def ratio(a, b):
-        return F.coalesce(F.try_divide(a, b), F.lit(0.0))
-
-    out = counts
-    for c in classes:
-        out = out.withColumns(
-            {
-                f"p_{c}": ratio(hit[c], F.col(f"predicted_{c}")),
-                f"r_{c}": ratio(hit[c], F.col(f"actual_{c}")),
-                f"f_{c}": ratio(2 * hit[c], F.col(f"predicted_{c}") + F.col(f"actual_{c}")),
-            }
-        )
+    A ratio without rows is 0, rows without a label are left out, and without any
+    row there is no line.
+    """
+    none = F.lit(0).cast("bigint")
 
-    def average(prefix: str, weighted: bool):
-        terms = sum(
-            (F.col(f"{prefix}_{c}") * (F.col(f"actual_{c}") if weighted else 1) for c in classes),
-            F.lit(0.0),
+    def part(of: str, support, hit, predicted):
+        return F.struct(
+            F.col(of).alias("c"), support.alias("support"), hit.alias("hit"), predicted.alias("predicted")
         )
-        return ratio(terms, F.col("rows") if weighted else F.lit(float(len(classes))))
 
-    accuracy = ratio(F.col("hits").cast("double"), F.col("rows"))
+    n = F.col("n")
+    hit = F.when(F.col("actual") == F.col("predicted"), n).otherwise(none)
+    parts = F.explode(F.array(part("actual", n, hit, none), part("predicted", none, none, n))).alias("r")
+    sums = (
+        _cells(scored, label, prediction)
+        .select(parts)
+        .where("r.c is not null")
+        .groupBy(F.col("r.c").alias("c"))
+        .agg(*[F.sum(f"r.{x}").alias(x) for x in ("support", "hit", "predicted")])
+    )
 
-    def line(name, precision, recall, f1, support):
-        return F.struct(
-            F.lit(name).alias("class"),
-            precision.alias("precision"),
-            recall.alias("recall"),
-            f1.alias("f1"),
-            support.alias("support"),
-        )
+    def ratio(a, b):
+        return F.coalesce(F.try_divide(a.cast("double"), b), F.lit(0.0))
+
+    support, hits = F.col("support"), F.col("hit")
+    lines = sums.select(
+        "c",
+        "support",
+        "hit",
+        ratio(hits, F.col("predicted")).alias("precision"),
+        ratio(hits, support).alias("recall"),
+        ratio(2 * hits, F.col("predicted") + support).alias("f1"),
+    )
+    every = Window.partitionBy()  # of one row per class
+    rows = F.sum("support").over(every)
+    measures = ("precision", "recall", "f1")
 
-    lines = [
-        line(str(c), F.col(f"p_{c}"), F.col(f"r_{c}"), F.col(f"f_{c}"), F.col(f"actual_{c}"))
-        for c in classes
-    ]
+    def line(name, values, support):
+        return F.struct(name.alias("class"), *[v.alias(m) for m, v in zip(measures, values, strict=True)], support.alias("support"))
+
+    own = line(F.col("c").cast("string"), [F.col(m) for m in measures], support)
     nothing = F.lit(None).cast("double")
-    lines.append(line("accuracy", nothing, nothing, accuracy, F.col("rows")))
-    for name, weighted in (("macro avg", False), ("weighted avg", True)):
-        lines.append(
-            line(name, *[average(x, weighted) for x in ("p", "r", "f")], F.col("rows"))
-        )
-    return out.select(F.explode(F.array(*lines)).alias("r")).select("r.*")
+    accuracy = ratio(F.sum("hit").over(every), rows)
+    averages = [
+        line(F.lit("accuracy"), [nothing, nothing, accuracy], rows),
+        line(F.lit("macro avg"), [F.avg(m).over(every) for m in measures], rows),
+        line(F.lit("weighted avg"), [ratio(F.sum(F.col(m) * support).over(every), rows) for m in measures], rows),
+    ]
+    first = F.row_number().over(Window.orderBy("c")) == 1
+    found = lines.select(F.when(first, F.array(own, *averages)).otherwise(F.array(own)).alias("r"))
+    return found.select(F.explode("r").alias("r")).select("r.*")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import column_label, melt, numeric_columns, plotted_columns, string_columns
+from ..functions.columns import column_label, melt, numeric_columns, plotted_columns, present, string_columns
 from .ranks import quantiles
 
 HISTOGRAM_BINS = 50
@@ -39,7 +39,7 @@ def _per_column(df: DataFrame, columns: Sequence[str], measures) -> DataFrame:
 def overview(df: DataFrame) -> DataFrame:
     """Name, type and non-null count of each column, with the table's size."""
     table = _per_column(
-        df, df.columns, lambda c: {"non_null": F.count(c), "row_count": F.count(F.lit(1))}
+        df, df.columns, lambda c: {"non_null": F.count(present(df, c)), "row_count": F.count(F.lit(1))}
     )
     types = {f.name: f.dataType.simpleString() for f in df.schema}
     position = F.array_position(F.array(*[F.lit(c) for c in df.columns]), F.col("column"))
@@ -55,7 +55,7 @@ def overview(df: DataFrame) -> DataFrame:
 def missing_values(df: DataFrame) -> DataFrame:
     """Columns that have missing values, most affected first; none gives no rows."""
     table = _per_column(
-        df, df.columns, lambda c: {"missing_count": F.count_if(F.col(c).isNull()), "rows": F.count(F.lit(1))}
+        df, df.columns, lambda c: {"missing_count": F.count_if(present(df, c).isNull()), "rows": F.count(F.lit(1))}
     )
     return (
         table.where("missing_count > 0")
@@ -65,7 +65,10 @@ def missing_values(df: DataFrame) -> DataFrame:
 
 
 def describe(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Count, mean, sample deviation, minimum, exact quartiles and maximum per numeric column."""
+    """Count, mean, sample deviation, minimum, exact quartiles and maximum per numeric column.
+
+    A column without values, or of a table without rows, has a count of 0.
+    """
     columns = list(columns or numeric_columns(df))
     values = melt(df, columns, "double")
     moments = values.groupBy("column_id").agg(
@@ -76,9 +79,10 @@ def describe(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
         F.max("value").alias("max"),
     )
     quartiles = quantiles(values, "value", {"q25": 0.25, "q50": 0.5, "q75": 0.75}, ["column_id"])
-    return moments.join(quartiles.drop("n"), "column_id", "left").select(
+    listed = df.sparkSession.range(len(columns)).select(F.col("id").cast("int").alias("column_id"))
+    return listed.join(moments, "column_id", "left").join(quartiles.drop("n"), "column_id", "left").select(
         column_label(columns).alias("column"),
-        "count", "mean", "std", "min", "q25", "q50", "q75", "max",
+        F.coalesce("count", F.lit(0)).alias("count"), "mean", "std", "min", "q25", "q50", "q75", "max",
     )
 
 
@@ -94,21 +98,38 @@ def _ranges(values: DataFrame) -> DataFrame:
 
 
 def histogram(df: DataFrame, columns: Sequence[str] | None = None, bins: int = HISTOGRAM_BINS) -> DataFrame:
-    """Counts in equal-width bins over each column's range, the last bin closed."""
+    """Counts in equal-width bins over each column's range, empty bins too; the last bin is closed.
+
+    A value belongs to the bin whose edges, as doubles, enclose it.
+    """
     columns = list(columns or plotted_columns(df))
     values = melt(df, columns, "double").where("value is not null")
-    width = (F.col("hi") - F.col("lo")) / bins
-    number = F.floor((F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins)
-    return (
+    v, last = F.col("value"), bins - 1
+
+    def edge(i: Column) -> Column:
+        return F.col("lo") + i * ((F.col("hi") - F.col("lo")) / bins)
+
+    near = F.col("near")  # division may land a value on an edge's wrong side
+    number = F.when(v < edge(near), near - 1).when((v >= edge(near + 1)) & (near < last), near + 1).otherwise(near)
+    share = (v - F.col("lo")) / (F.col("hi") - F.col("lo"))
+    counted = (
         values.join(F.broadcast(_ranges(values)), "column_id")
-        .groupBy("column_id", "lo", "hi", F.least(number, F.lit(bins - 1)).cast("int").alias("bin"))
+        .withColumn("near", F.least(F.floor(share * bins), F.lit(last)).cast("int"))
+        .groupBy("column_id", "lo", "hi", number.alias("bin"))
         .agg(F.count(F.lit(1)).alias("count"))
+    )
+    bin_ = F.col("bin")
+    return (
+        # at most one entry per bin
+        counted.groupBy("column_id", "lo", "hi")
+        .agg(F.map_from_entries(F.collect_list(F.struct("bin", "count"))).alias("counts"))
+        .withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(last))))
         .select(
             column_label(columns).alias("column"),
             "bin",
-            (F.col("lo") + width * F.col("bin")).alias("bin_start"),
-            (F.col("lo") + width * (F.col("bin") + 1)).alias("bin_end"),
-            "count",
+            edge(bin_).alias("bin_start"),
+            F.when(bin_ == last, F.col("hi")).otherwise(edge(bin_ + 1)).alias("bin_end"),
+            F.coalesce(F.try_element_at("counts", bin_), F.lit(0)).alias("count"),
         )
     )
 
@@ -204,7 +225,9 @@ def value_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
 
 
 def _fraud_counts(label: str) -> list[Column]:
-    return [F.count_if(F.col(label) == c).alias(f"fraud_{c}") for c in (0, 1)]
+    """Rows of class 0, of class 1 and of all other classes."""
+    own = [F.count_if(F.col(label) == c).alias(f"fraud_{c}") for c in (0, 1)]
+    return [*own, F.count_if(~F.col(label).isin(0, 1)).alias("fraud_other")]
 
 
 def category_by_fraud(df: DataFrame, columns: Sequence[str] | None = None, label: str = "FraudResult") -> DataFrame:
@@ -215,7 +238,7 @@ def category_by_fraud(df: DataFrame, columns: Sequence[str] | None = None, label
         .where("value is not null")
         .groupBy("column_id", "value")
         .agg(*_fraud_counts(label))
-        .select(column_label(columns).alias("column"), "value", "fraud_0", "fraud_1")
+        .select(column_label(columns).alias("column"), "value", "fraud_0", "fraud_1", "fraud_other")
     )
 
 

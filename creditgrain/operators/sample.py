@@ -157,6 +157,9 @@ def oversample(df: DataFrame, label: str, key: str, seed: int = 42) -> DataFrame
     return df.unionByName(copies.drop("_row"))
 
 
-def shuffle_rows(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
-    """Rows in the random but repeatable order of a seeded hash."""
+def shuffle_rows(df: DataFrame, key: str, seed: int = 42, position: str | None = None) -> DataFrame:
+    """Rows in the random but repeatable order of a seeded hash; ``position`` names a
+    column with each row's place, from 0."""
+    if position:
+        return numbered(df, key, seed, position).orderBy(position)
     return df.orderBy(hash60(F.col(key), seed), key)

@@ -376,6 +376,14 @@ def woe_transform(spark, d):
     return rounded(weighted, 6)
 
 
+@query
+def woe_absent_column(spark, d):
+    """A column that the encoding was fitted on but the table lacks is 0."""
+    features = stored_features(spark, d)
+    model = WoeModel.fit(features, MODES[:2], TARGET)
+    return rounded(model.transform(features.select(ACCOUNT, MODES[0])), 6)
+
+
 @query
 def preprocess_all(spark, d):
     return rounded(preprocess(build_features(lines(spark, d)))[0])
@@ -424,12 +432,22 @@ def oversampled_class_counts(spark, d):
 
 @query
 def shuffled_rows(spark, d):
-    return sample.shuffle_rows(customer_features(lines(spark, d), columns=[TARGET]), ACCOUNT)
+    accounts = store(customer_features(lines(spark, d), columns=[TARGET]), "labels")
+    return sample.shuffle_rows(accounts, ACCOUNT, position="position")
 
 
 # --- scores and terms -----------------------------------------------------
 
 
+@query
+def score_odd_probabilities(spark, d):
+    """Probabilities below 0 and above 1, NaN, missing, exactly 1, and a plain one."""
+    kind = F.col(ACCOUNT) % 6
+    p = F.when(kind == 0, -0.1).when(kind == 1, 1.1).when(kind == 2, float("nan")).when(kind == 4, 1.0).when(kind == 5, 0.5)
+    accounts = customer_features(events(spark, d), columns=["Frequency"])
+    return score_and_terms(accounts.select(ACCOUNT, p.alias("p"))).select(ACCOUNT, "status", "credit_score")
+
+
 @query
 def score_from_probability(spark, d):
     rates = with_fraud_rate(customer_features(events(spark, d)))
@@ -554,4 +572,25 @@ def model_roundtrip(spark, d):
     test = inputs.where("split = 'test'")
     before = model.probabilities(test).select(ACCOUNT, F.col("p").alias("p_before"))
     after = loaded.probabilities(test).select(ACCOUNT, F.col("p").alias("p_after"))
-    return before.join(after, ACCOUNT)
+    return before.join(after, ACCOUNT).select(ACCOUNT, (F.col("p_before") == F.col("p_after")).alias("same"))
+
+
+@query
+def lr_optimality(spark, d):
+    """Size of the penalised loss's gradient at the fitted coefficients, to 3 places: 0 at the optimum.
+
+    The balanced classes have weight 1.
+    """
+    model, inputs = _fitted(spark, d)
+    names = model.preprocessor.outputs
+    train = inputs.where("split = 'train'").select(ACCOUNT, TARGET, *names)
+    scored = model.probabilities(sample.oversample(train, TARGET, ACCOUNT))
+    fitted = model.classifier.stages[-1]
+    error = F.col("p") - F.col(TARGET)
+    gradient = [
+        (F.avg(error * F.col(name)) + F.lit(float(weight)) / F.count(F.lit(1))).alias(name)
+        for name, weight in zip(names, fitted.coefficients, strict=True)
+    ]
+    sums = scored.agg(*gradient, F.avg(error).alias("intercept"))
+    lines_ = [F.struct(F.lit(c).alias("feature"), F.round(F.abs(F.col(c)), 3).alias("gradient")) for c in sums.columns]
+    return sums.select(F.explode(F.array(*lines_)).alias("r")).select("r.*")

@@ -283,11 +283,16 @@ ORACLE["profile_describe"] = with_(
 _RANGES = """select "column", case when min(value)=max(value) then min(value)-0.5 else min(value) end as lo,
   case when min(value)=max(value) then max(value)+0.5 else max(value) end as hi from v group by "column\""""
 ORACLE["profile_histogram"] = with_(
-    {"t": LINES, "v": melted("t", PLOTTED), "r": _RANGES},
-    f"""select "column", bin, round(3e-7+lo+(hi-lo)/{HISTOGRAM_BINS}*bin,4) as bin_start,
-  round(3e-7+lo+(hi-lo)/{HISTOGRAM_BINS}*(bin+1),4) as bin_end, count(*) as count
-from (select "column", lo, hi, cast(least(floor((value-lo)/(hi-lo)*{HISTOGRAM_BINS}),{HISTOGRAM_BINS - 1}) as int) as bin
-  from v join r using ("column") where value is not null) group by "column", lo, hi, bin""",
+    {
+        "t": LINES,
+        "v": melted("t", PLOTTED),
+        "r": _RANGES,
+        "e": """select "column", cast(i as int) as bin, lo+i*((hi-lo)/50) as low,
+  case when i = 49 then hi else lo+(i+1)*((hi-lo)/50) end as high from r, range(50) g(i)""",
+    },
+    """select e."column", bin, round(3e-7+low,4) as bin_start, round(3e-7+high,4) as bin_end, count(value) as count
+from e left join v on e."column" = v."column" and value >= low and (value < high or bin = 49)
+group by e."column", bin, low, high""",
 )
 ORACLE["profile_kde"] = with_(
     {
@@ -320,7 +325,8 @@ ORACLE["profile_value_counts"] = with_(
     {"t": EVENTS, "v": melted("t", TEXT, dtype="varchar")},
     'select "column", value, count(*) as count from v where value is not null group by "column", value',
 )
-_BOTH = """count(*) filter (where FraudResult=0) as fraud_0, count(*) filter (where FraudResult=1) as fraud_1"""
+_BOTH = """count(*) filter (where FraudResult=0) as fraud_0, count(*) filter (where FraudResult=1) as fraud_1,
+  count(*) filter (where FraudResult not in (0,1)) as fraud_other"""
 ORACLE["profile_category_by_fraud"] = with_(
     {"t": EVENTS, "v": melted("t", TEXT, keep="FraudResult, ", dtype="varchar")},
     f'select "column", value, {_BOTH} from v where value is not null group by "column", value',
@@ -454,7 +460,22 @@ ORACLE["oversample_minority"] = with_(_OVERSAMPLED, "select AccountId, HasFraud,
 ORACLE["oversampled_class_counts"] = with_(
     _OVERSAMPLED, "select HasFraud, count(*) as n from o group by HasFraud"
 )
-ORACLE["shuffled_rows"] = with_(feature_parts(LINES), "select AccountId, HasFraud from f")
+ORACLE["shuffled_rows"] = with_(
+    feature_parts(LINES),
+    f"select AccountId, HasFraud, row_number() over (order by {hash_sql('AccountId')}, AccountId) - 1 as position from f",
+)
+ORACLE["model_roundtrip"] = with_(split_parts(), "select AccountId, true as same from s where split = 'test'")
+_INPUTS = [*[f"num__{c}" for c in MODEL_NUMERIC], *[f"cat__{c}" for c in MODES], "intercept"]
+ORACLE["lr_optimality"] = " union all ".join(f"select '{c}' as feature, cast(0 as double) as gradient" for c in _INPUTS)
+ORACLE["score_odd_probabilities"] = with_(
+    feature_parts(EVENTS),
+    """select AccountId, case AccountId%6 when 4 then 'score_undefined' when 5 then 'ok' else 'error' end as status,
+  case when AccountId%6 = 5 then 600 end as credit_score from f""",
+)
+ORACLE["woe_absent_column"] = with_(
+    {**feature_parts(LINES), **woe_parts("f")},
+    f"select AccountId, {weight(MODES[0])} as {MODES[0]}, cast(0 as double) as {MODES[1]} from f x",
+)
 
 ORACLE["score_from_probability"] = with_(
     {**feature_parts(EVENTS), **SCORED}, "select AccountId, round(3e-9+p,6) as p, credit_score from k"

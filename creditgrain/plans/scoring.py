@@ -6,11 +6,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.credit import credit_score, loan_amount, loan_duration, loan_tier, probability_problem
 from ..operators.encode import NumericStats
 from ..operators.features import ReferenceTime, customer_features
-from ..schema import ACCOUNT, LEAKAGE, RESPONSE, TARGET
+from ..schema import ACCOUNT, LEAKAGE, RESPONSE, TARGET, TRANSACTIONS
 from ..sources.validation import validate_transactions
 from .training import CreditModel
 
@@ -85,13 +86,20 @@ def score_transactions(
 
 
 def score_records(
-    raw: DataFrame, model: CreditModel, reference_time: ReferenceTime = "account", clamp: bool = False
+    raw: DataFrame,
+    model: CreditModel,
+    reference_time: ReferenceTime = "account",
+    clamp: bool = False,
+    schema: StructType = TRANSACTIONS,
 ) -> DataFrame:
     """Score raw records. An account with refused records gets ``status = 'error'``
-    and the first problem as its message; all other accounts are scored."""
-    valid, rejects = validate_transactions(raw)
+    and the first problem as its message; all other accounts are scored.
+
+    ``schema`` says what the records must be, and keeps text ids text.
+    """
+    valid, rejects = validate_transactions(raw, schema)
     bad = (
-        rejects.withColumn(ACCOUNT, F.col(ACCOUNT).try_cast("bigint"))
+        rejects.withColumn(ACCOUNT, F.col(ACCOUNT).try_cast(schema[ACCOUNT].dataType))
         .groupBy(ACCOUNT)
         .agg(F.min("problems").alias("_problems"))
     )

@@ -31,10 +31,16 @@ def build_features(txns: DataFrame, seed: int = 42, test_size: float = 0.2) -> D
     return assign_split(features, TARGET, ACCOUNT, test_size, seed)
 
 
-def preprocess(features: DataFrame) -> tuple[DataFrame, CreditPreprocessorModel]:
-    """Model inputs for all rows, with statistics fitted on the training rows."""
+def preprocess(
+    features: DataFrame, categorical: Sequence[str] | None = None
+) -> tuple[DataFrame, CreditPreprocessorModel]:
+    """Model inputs for all rows, with statistics fitted on the training rows.
+
+    ``categorical`` names the columns to treat as categories, numeric ids for
+    instance; by default the text columns.
+    """
     usable = features.drop(LEAKAGE)
-    fitted = CreditPreprocessor().fit(usable.where(F.col("split") == "train"))
+    fitted = CreditPreprocessor(categorical=categorical).fit(usable.where(F.col("split") == "train"))
     return fitted.transform(usable), fitted
 
 
@@ -107,10 +113,13 @@ def train_model(
 
 
 def fit_credit_model(
-    txns: DataFrame, model_type: str = "logistic_regression", seed: int = 42
+    txns: DataFrame,
+    model_type: str = "logistic_regression",
+    seed: int = 42,
+    categorical: Sequence[str] | None = None,
 ) -> tuple[CreditModel, DataFrame]:
     """A fitted model and the stored model inputs of all accounts."""
-    inputs, fitted = preprocess(build_features(txns, seed))
+    inputs, fitted = preprocess(build_features(txns, seed), categorical)
     inputs = store(inputs, "inputs")
     classifier = train_model(
         inputs.where(F.col("split") == "train"), fitted.outputs, model_type, seed=seed

@@ -78,9 +78,12 @@ def conform(df: DataFrame, schema: T.StructType = TRANSACTIONS) -> DataFrame:
     out = []
     for field in schema:
         if field.name in df.columns:
-            column = F.col(field.name).cast(field.dataType)
+            column = F.col(field.name)
             if isinstance(df.schema[field.name].dataType, (T.DoubleType, T.FloatType)):
-                column = not_nan(F.col(field.name)).cast(field.dataType)
+                column = not_nan(column)
+            column = column.cast(field.dataType)
+            if isinstance(field.dataType, T.DoubleType):  # also the text NaN
+                column = not_nan(column)
         elif field.name == "FraudResult":
             column = F.lit(0).cast(field.dataType)
         else:

@@ -68,3 +68,16 @@ def test_report_and_confusion(spark):
     never = spark.createDataFrame([(0, 0), (1, 0)], "label int, prediction int")
     one = {r["class"]: r for r in metrics.classification_report(never).collect()}["1"]
     assert (one.precision, one.recall, one.f1, one.support) == (0.0, 0.0, 0.0, 1)
+
+
+def test_all_labels_count_and_missing_ones_do_not(spark):
+    rows = [(0, 0), (1, 1), (2, 1), (2, 2), (None, 1)]
+    df = spark.createDataFrame(rows, "label int, prediction int")
+    report = {r["class"]: r for r in metrics.classification_report(df).collect()}
+    assert set(report) == {"0", "1", "2", "accuracy", "macro avg", "weighted avg"}
+    assert (report["1"].precision, report["2"].recall, report["2"].support) == (0.5, 0.5, 2)
+    assert report["accuracy"].f1 == 0.75 and report["accuracy"].support == 4
+    assert report["weighted avg"].precision == pytest.approx((1 + 0.5 + 2) / 4)
+    cells = {r.actual: (r.predicted_0, r.predicted_1, r.predicted_2) for r in metrics.confusion_matrix(df).collect()}
+    assert cells == {0: (1, 0, 0), 1: (0, 1, 0), 2: (0, 1, 1)}
+    assert metrics.classification_report(df.limit(0)).collect() == []

@@ -54,7 +54,7 @@ def test_histogram_and_constant_column(numbers):
     for c in ("a", "b", "same"):
         counts, edges = np.histogram(data[c].dropna(), bins=50)
         mine = {r.bin: r for r in got if r.column == c}
-        assert {b: r["count"] for b, r in mine.items()} == {i: n for i, n in enumerate(counts) if n}
+        assert {b: r["count"] for b, r in mine.items()} == dict(enumerate(counts))
         assert all(r.bin_start == pytest.approx(edges[b]) and r.bin_end == pytest.approx(edges[b + 1]) for b, r in mine.items())
 
 
@@ -145,3 +145,23 @@ def test_class_share_of_three_classes(spark):
         1: (1, 25.0),
         2: (2, 50.0),
     }
+
+
+def test_every_bin_and_the_edges_of_doubles(spark):
+    import numpy as np
+
+    values = [i / 10 for i in range(11)]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    got = {r.bin: r["count"] for r in profile.histogram(df, ["x"], 10).collect()}
+    assert [got[i] for i in range(10)] == np.histogram(values, 10)[0].tolist()
+    two = spark.createDataFrame([(0.0,), (1.0,)], "x double")
+    assert profile.histogram(two, ["x"]).count() == 50
+
+
+def test_nan_is_missing_and_an_empty_table_has_counts(spark):
+    df = spark.createDataFrame([(1.0,), (2.0,), (float("nan"),)], "x double")
+    row = profile.describe(df).first()
+    assert (row["count"], row["mean"], row["max"]) == (2, 1.5, 2.0)
+    assert profile.missing_values(df).first().missing_count == 1
+    empty = profile.describe(df.limit(0)).first()
+    assert (empty["count"], empty["mean"]) == (0, None)
