@@ -4,37 +4,46 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from ..operators.features import FEATURES, ReferenceTime
-from ..plans.scoring import score_transactions
+from ..plans.scoring import score_records
 from ..plans.training import CreditModel
+from ..schema import TRANSACTIONS
 
 
 def score_stream(
-    txns: DataFrame,
+    records: DataFrame,
     model: CreditModel,
     out_path: str,
     checkpoint_path: str,
     reference_time: ReferenceTime = "account",
     trigger: dict | None = None,
+    schema: StructType = TRANSACTIONS,
 ) -> StreamingQuery:
-    """Score every micro-batch of a transaction stream into parquet files.
-
-    An account's result rests on its transactions in the batch. A batch writes
-    its own folder and replaces it when repeated, so a restart after a failure
-    leaves each result once. A model that needs other features than those of
-    transactions is refused before the stream starts.
+    """Score every micro-batch of a stream of raw or typed records into parquet files.
+
+    Records are checked as in ``score_records``: an account with a missing or
+    unreadable field in the batch gets ``status = 'error'``, the others are scored
+    from their transactions in the batch. A batch writes its own folder and
+    replaces it when repeated, so a restart after a failure leaves each result
+    once. A model that needs other features than those of transactions is refused
+    before the stream starts.
     """
     unknown = [s.feature for s in model.preprocessor.stats if s.feature not in FEATURES]
     if unknown:
         raise ValueError(f"feature mismatch: missing {', '.join(unknown)}")
 
     def score_batch(batch: DataFrame, batch_id: int) -> None:
-        scored = score_transactions(batch, model, reference_time)
-        scored.write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
+        batch.persist()  # checks and features read it several times
+        try:
+            scored = score_records(batch, model, reference_time, schema=schema)
+            scored.write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
+        finally:
+            batch.unpersist()
 
     return (
-        txns.writeStream.foreachBatch(score_batch)
+        records.writeStream.foreachBatch(score_batch)
         .option("checkpointLocation", checkpoint_path)
         .trigger(**(trigger or {"availableNow": True}))
         .start()

@@ -5,6 +5,7 @@ from creditgrain.operators.encode import fit_numeric
 from creditgrain.operators.features import customer_features
 from creditgrain.plans.scoring import feature_mismatch, score_features, score_records, score_transactions
 from creditgrain.plans.training import CreditModel, evaluate, fit_credit_model, train_model
+from creditgrain.schema import with_string_ids
 from creditgrain.sources import txns_from_events
 from creditgrain.streaming import score_stream
 
@@ -60,7 +61,11 @@ def test_stream_scores_like_the_batch(spark, fitted, txns, tmp_path):
     out, checkpoint = str(tmp_path / "out"), str(tmp_path / "checkpoint")
     for _ in range(2):  # the second run finds nothing new
         score_stream(stream, model, out, checkpoint).awaitTermination()
-    assert rows(spark.read.parquet(out).drop("batch")) == rows(score_transactions(txns, model))
+    got = rows(spark.read.parquet(out).drop("batch"))
+    assert got == rows(score_records(txns, model))
+    # transactions without a currency are refused
+    refused = {r.AccountId for r in txns.where("CurrencyCode is null").select("AccountId").collect()}
+    assert {r.AccountId for r in got if r.status == "error"} == refused
 
 
 def test_refused_records_do_not_stop_other_accounts(fitted, txns):
@@ -102,13 +107,21 @@ def test_each_micro_batch_is_scored_by_itself(spark, fitted, tmp_path):
         events.where(part).coalesce(1).write.mode("append").parquet(folder)
     stream = txns_from_events(
         spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(folder)
-    )
+    ).fillna("XXX", ["CurrencyCode"])
     score_stream(stream, model, out, str(tmp_path / "checkpoint")).awaitTermination()
     got = spark.read.parquet(out)
     assert {r.batch for r in got.select("batch").distinct().collect()} == {0, 1}
     halves = [
-        score_transactions(txns_from_events(events.where(part)), model)
+        score_transactions(txns_from_events(events.where(part)).fillna("XXX", ["CurrencyCode"]), model)
         for part in ("event_id < 500", "event_id >= 500")
     ]
     want = sorted(halves[0].unionByName(halves[1]).collect())
     assert sorted(got.drop("batch").collect()) == want
+
+
+def test_text_ids_keep_their_accounts(fitted, txns):
+    model, _ = fitted
+    raw = txns.fillna("XXX", ["CurrencyCode"]).withColumn("AccountId", F.concat(F.lit("A_"), "AccountId"))
+    broken = raw.withColumn("Value", F.when(F.col("AccountId") != "A_3", F.col("Value")))
+    got = {r.AccountId: r.status for r in score_records(broken, model, schema=with_string_ids()).collect()}
+    assert got["A_3"] == "error" and len(got) == raw.select("AccountId").distinct().count() and None not in got
