@@ -1,7 +1,7 @@
 """Token ids in length-delimited binary records, with a separate offset index.
 
 A record is: its payload's length (unsigned 64-bit, little endian), the masked
-CRC-32C of those eight bytes (unsigned 32-bit), the payload, the masked CRC-32 of
+CRC-32 of those eight bytes (unsigned 32-bit), the payload, the masked CRC-32 of
 the payload. The payload is the document's id (signed 64-bit), the bytes of a
 token (one byte: 2 or 4) and the ids, little endian. Masking rotates a checksum
 right by 15 bits and adds 0xA282EAD8.
