@@ -37,6 +37,7 @@ from .common import id_and_text, table, text_blocks
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
 CACHED = 800_000
+TOGETHER = 20_000  # words encoded as one text
 MARKS = {b",", b".", b"!", b"?", b";", b":"}
 HEAD = struct.Struct("<QI")
 START = struct.Struct("<?qB")  # the id is missing, the id, bytes of a token
@@ -81,7 +82,9 @@ class _Words(dict):
         plain = [b.decode("utf-8", "replace").isalpha() for b in bodies]
         letters = list({b for b, alone in zip(bodies, plain, strict=True) if alone and b not in self})
         if letters:
-            ids = np.array(self.tokenizer.encode(b" ".join(letters).decode(), add_special_tokens=False).ids, self.kind)
+            joined = [b" ".join(letters[k : k + TOGETHER]).decode() for k in range(0, len(letters), TOGETHER)]
+            found = self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)
+            ids = np.concatenate([np.array(part.ids, self.kind) for part in found])
             cuts = np.flatnonzero(self.ends_word[ids]) + 1
             if len(cuts) == len(letters):
                 data, width = ids.tobytes(), ids.itemsize
