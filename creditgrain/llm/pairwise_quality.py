@@ -4,7 +4,8 @@ A document's score is a linear function of features of its whole text. The
 weights are those for which sigmoid(score of A - score of B) best predicts that A
 is preferred to B, over pairs of a good and a bad labelled document: logistic
 loss on the difference of the two feature vectors. The cut between good and bad
-is a quantile of the scores of the labelled documents: the share of bad ones.
+is a quantile of the scores of the labelled documents: the share of bad ones. It
+is the exact quantile over all labelled documents of the training folds.
 
 Only the weights are learned from a bounded sample (``SAMPLE`` rows of each label,
 those with the smallest hash of their id); every document is scored.
@@ -145,16 +146,82 @@ def fit(x: np.ndarray, good: np.ndarray, pairs: int = PAIRS, penalty: float = 1e
     return model
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE) -> DataFrame:
-    """doc_id, text and quality of at most ``per_label`` documents of each label."""
+def training_ids(labels: DataFrame) -> DataFrame:
+    """The distinct doc_id and quality of the labels outside the held-out fold."""
     ids = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), "quality").where(
         F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & (crc_fold(F.col("doc_id"), 4) != 2)
     )
+    return ids.distinct()
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE) -> DataFrame:
+    """doc_id, text and quality of at most ``per_label`` documents of each label."""
     first = Window.partitionBy("quality").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = ids.distinct().withColumn("n", F.row_number().over(first)).where(F.col("n") <= per_label).drop("n")
+    chosen = training_ids(labels).withColumn("n", F.row_number().over(first)).where(F.col("n") <= per_label).drop("n")
     return docs.join(F.broadcast(chosen), "doc_id")  # ids only, at most 2 * per_label
 
 
+def sort_keys(values: np.ndarray) -> np.ndarray:
+    """64-bit integers in the order of the finite ``values``."""
+    bits = (np.asarray(values, np.float64) + 0.0).view(np.int64)  # + 0.0: no negative zero
+    return bits ^ ((bits >> 63) & np.int64(2**63 - 1))
+
+
+def values_at(keys: DataFrame, ranks: list[int]) -> np.ndarray:
+    """The values at ``ranks`` (from 0) of column ``key``, made by ``sort_keys``.
+
+    Each of four rounds counts the next 16 bits of the keys that begin like those
+    wanted, so that only counts reach the driver and ties need no care.
+    """
+    begins, left = [0] * len(ranks), list(ranks)
+    for shift in (48, 32, 16, 0):
+        rows = keys if shift == 48 else keys.where(F.shiftright("key", shift + 16).isin(sorted(set(begins))))
+        counts = sorted((r["digit"], r["count"]) for r in rows.groupBy(F.shiftright("key", shift).alias("digit")).count().collect())
+        for i, begin in enumerate(begins):
+            for digit, count in counts:
+                if shift < 48 and digit >> 16 != begin:
+                    continue
+                if left[i] < count:
+                    begins[i] = digit
+                    break
+                left[i] -= count
+    found = np.array(begins, np.int64)
+    return (found ^ ((found >> 63) & np.int64(2**63 - 1))).view(np.float64)
+
+
+def set_cut(model: PairwiseModel, docs: DataFrame, labels: DataFrame) -> PairwiseModel:
+    """``model`` with cut and slope from the scores of all labelled training documents.
+
+    Documents are scored where they lie; only ids and scores are joined to the labels.
+    """
+
+    def run(batches):
+        for batch, texts in text_blocks(batches):
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(sort_keys(model.raw(design(texts))))], ["doc_id", "key"]
+            )
+
+    training = id_and_text(docs).where(F.col("doc_id").isNotNull() & (crc_fold(F.col("doc_id"), 4) != 2))
+    scored = training.mapInArrow(run, "doc_id long, key long").join(training_ids(labels), "doc_id")
+    scored = scored.select("quality", "key").persist()
+    try:
+        sizes = {r["quality"]: r["count"] for r in scored.groupBy("quality").count().collect()}
+        bad, good = sizes.get(0, 0), sizes.get(1, 0)
+        if not bad or not good:
+            return model
+        # The scores on both sides of the cut, and the two middle ones of each side.
+        ranks = [bad - 1, bad, (bad - 1) // 2, bad // 2, bad + (good - 1) // 2, bad + good // 2]
+        at = values_at(scored, ranks)
+    finally:
+        scored.unpersist()
+    # The quantile of the bad share; halfway between the scores on its two sides.
+    model.cut = float(at[:2].mean())
+    # Scale: the middles of the two sides are 4 apart.
+    gap = at[4:].mean() - at[2:4].mean()
+    model.slope = float(4 / gap) if gap > 1e-9 else 1.0
+    return model
+
+
 def _score(model: PairwiseModel, accept: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_blocks(batches):
@@ -175,7 +242,10 @@ def _score(model: PairwiseModel, accept: float):
 
 
 def train(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE) -> PairwiseModel:
-    """Fit on the labelled sample: features are taken in the tasks, numbers only come to the driver."""
+    """Fit the weights on the labelled sample and the cut on all labelled documents.
+
+    Features are taken in the tasks, numbers only come to the driver.
+    """
 
     def take(batches):
         for batch, texts in text_blocks(batches):
@@ -192,7 +262,7 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE) -> Pairwi
         .sort_by("doc_id")
     )
     x = np.array(rows["x"].to_pylist(), np.float64).reshape(-1, len(FEATURES))
-    return fit(x, rows["quality"].to_numpy())
+    return set_cut(fit(x, rows["quality"].to_numpy()), docs, labels)
 
 
 def pairwise_quality(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE, accept: float = ACCEPT) -> DataFrame:

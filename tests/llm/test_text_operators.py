@@ -313,3 +313,27 @@ def test_quality(spark, odd, empty):
     scores = pairwise_quality.pairwise_quality(odd, few).collect()
     assert len(scores) == 16 and all(0 <= r.score <= 1 and r.predicted == 1 for r in scores)
     assert pairwise_quality.pairwise_quality(empty, few).count() == 0
+
+
+def test_quality_cut_covers_all_labelled_rows(spark, build):
+    import random
+
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from creditgrain.llm.common import crc_fold
+
+    draw = random.Random(3)
+    # Labels by chance, so that the scores of the two classes overlap.
+    rows = [(i, " ".join(f"w{draw.randrange(900)}" for _ in range(draw.randrange(20, 90)))) for i in range(400)]
+    labels = spark.createDataFrame([(i, int(draw.random() > 0.15)) for i in range(400)], "doc_id long, quality int")
+    training = labels.where(crc_fold(F.col("doc_id"), 4) != 2)
+    bad = training.where("quality = 0").count()
+    # The sample has as many good as bad rows, the table many more good ones.
+    got = pairwise_quality.pairwise_quality(build(rows), labels, per_label=20).where("not held_out").collect()
+    assert 20 < bad < len(got) / 4
+    assert sum(r.predicted == 0 for r in got) == bad
+
+    values = np.array([-3.5, -3.5, -0.0, 0.0, 1e-300, 2.0, 2.0, 2.0, 7.25, -1e9])
+    keys = spark.createDataFrame([(int(k),) for k in pairwise_quality.sort_keys(values)], "key long")
+    assert pairwise_quality.values_at(keys, list(range(10))).tolist() == np.sort(values).tolist()
