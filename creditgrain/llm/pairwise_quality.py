@@ -154,10 +154,30 @@ def training_ids(labels: DataFrame) -> DataFrame:
     return ids.distinct()
 
 
+def smallest_hashes(ids: DataFrame, per_label: int) -> DataFrame:
+    """The rows of ``ids`` up to the hash range that holds the ``per_label``-th hash of their label.
+
+    Ranges are counted first, so that of each label at most ``per_label`` rows and
+    those of one range in 65,536 are left to rank.
+    """
+    part = F.shiftright(F.xxhash64("doc_id"), 48)
+    counts = ids.groupBy("quality", part.alias("part")).count().collect()
+    keep = F.lit(False)
+    for label in (0, 1):
+        seen, last = 0, None
+        for r in sorted((r for r in counts if r["quality"] == label), key=lambda r: r["part"]):
+            if seen >= per_label:
+                break
+            seen, last = seen + r["count"], r["part"]
+        if last is not None:
+            keep = keep | ((F.col("quality") == label) & (part <= last))
+    return ids.where(keep)
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE) -> DataFrame:
     """doc_id, text and quality of at most ``per_label`` documents of each label."""
     first = Window.partitionBy("quality").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = training_ids(labels).withColumn("n", F.row_number().over(first)).where(F.col("n") <= per_label).drop("n")
+    chosen = smallest_hashes(training_ids(labels), per_label).withColumn("n", F.row_number().over(first)).where(F.col("n") <= per_label).drop("n")
     return docs.join(F.broadcast(chosen), "doc_id")  # ids only, at most 2 * per_label
 
 

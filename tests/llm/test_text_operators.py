@@ -337,3 +337,16 @@ def test_quality_cut_covers_all_labelled_rows(spark, build):
     values = np.array([-3.5, -3.5, -0.0, 0.0, 1e-300, 2.0, 2.0, 2.0, 7.25, -1e9])
     keys = spark.createDataFrame([(int(k),) for k in pairwise_quality.sort_keys(values)], "key long")
     assert pairwise_quality.values_at(keys, list(range(10))).tolist() == np.sort(values).tolist()
+
+
+def test_quality_sample_ranks_few_rows(spark, build):
+    from pyspark.sql import functions as F
+
+    ids = spark.range(40_000).select(F.col("id").alias("doc_id"), (F.col("id") % 4 > 0).cast("int").alias("quality"))
+    left = pairwise_quality.smallest_hashes(ids, 30).withColumn("hash", F.xxhash64("doc_id")).collect()
+    rows = ids.withColumn("hash", F.xxhash64("doc_id")).collect()
+    for label in (0, 1):
+        first = sorted(r.hash for r in rows if r.quality == label)[:30]
+        got = sorted(r.hash for r in left if r.quality == label)
+        assert got[:30] == first and len(got) < 40
+    assert pairwise_quality.smallest_hashes(ids.limit(0), 30).count() == 0
