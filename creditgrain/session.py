@@ -54,13 +54,24 @@ def new_shared_path(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
 
 
-def store(df: DataFrame, name: str = "table") -> DataFrame:
+def store(df: DataFrame, name: str = "table", **options: str | int) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     The stored table ends the lineage: later jobs see the same bits however
     often their tasks are retried, and scans of it prune columns and rows.
+    ``options`` go to the parquet writer.
     """
     spark = df.sparkSession
     path = new_shared_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.options(**options).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored.stored_at = path
+    return stored
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``store`` wrote and nothing will read again."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table.stored_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

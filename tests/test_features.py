@@ -4,7 +4,7 @@ import statistics
 from collections import Counter
 
 import pytest
-from conftest import by_account
+from records import by_account
 from pyspark.sql import functions as F
 
 from creditgrain.operators.features import FEATURES, customer_features, rfm_summary
