@@ -10,6 +10,7 @@ from . import (
     language_gru,
     pairwise_quality,
     parity_join,
+    slack_packing,
     substring_index,
     token_records,
     url_rules,
@@ -26,5 +27,6 @@ QUERIES = {
     "op8_token_records": token_records.op8_token_records,
     "op9_decontamination": decontamination.op9_decontamination,
     "op10_substring_dedup": substring_index.op10_substring_dedup,
+    "op12_slack_packing": slack_packing.op12_slack_packing,
 }
 ORACLE = {"op4_exact_dedup": exact_dedup.ORACLE}

@@ -64,7 +64,7 @@ class _Words(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # such strings in a text are ordinary text
+        self.added = [token.content.encode() for token in self.tokenizer.get_added_tokens_decoder().values()]
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
 
         kinds = self.tokenizer.get_vocab(with_added_tokens=True)
@@ -120,8 +120,16 @@ def _words(path: str) -> _Words:
 
 
 def encode(texts: list[bytes], path: str, end_id: int = END_ID) -> tuple[list[bytes], str]:
-    """Packed ids of each text with the end id, and their type."""
+    """Packed ids of each text with the end id, and their type.
+
+    Texts that hold one of the vocabulary's added tokens, which are looked for before
+    words are, are encoded whole.
+    """
     memo = _words(path)
+    whole = [k for k, t in enumerate(texts) if any(token in t for token in memo.added)]
+    if whole:
+        apart = [texts[k] for k in whole]
+        texts = [b"" if any(token in t for token in memo.added) else t for t in texts]
     lower = pa.array([t.lower() for t in texts], pa.binary()).view(pa.string())  # the vocabulary is of lower case
     split = pc.ascii_split_whitespace(lower)
     coded = split.flatten().view(pa.binary()).dictionary_encode()
@@ -142,7 +150,11 @@ def encode(texts: list[bytes], path: str, end_id: int = END_ID) -> tuple[list[by
     places = np.repeat(first[order] - (upto - sizes), sizes) + np.arange(upto[-1] if len(upto) else 0)
     data = np.frombuffer(b"".join(known), memo.kind)[places].tobytes()
     ends = (upto[order == len(words)] * width).tolist()
-    return [data[a:b] for a, b in zip([0, *ends], ends, strict=False)], memo.kind
+    packed = [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+    if whole:
+        for k, ids in zip(whole, memo.one_by_one(apart), strict=True):
+            packed[k] = ids + packed[k]
+    return packed, memo.kind
 
 
 # ------------------------------------------------------------------ writing

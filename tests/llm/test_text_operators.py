@@ -202,7 +202,6 @@ def test_token_records(odd, odd_rows, empty):
     from tokenizers import Tokenizer
 
     known = Tokenizer.from_file(public_tokenizers.path(token_records.VOCABULARY))
-    known.encode_special_tokens = True
     got = sorted((r.start, number(r.doc_id), r.n_tokens, r.ids_crc32) for r in token_records.read_records(token_records.write_records(odd)).collect())
     start, expected = 0, []
     for doc_id, text, _ in sorted(odd_rows, key=lambda r: (r[0] is not None, r[0] or 0)):
@@ -213,6 +212,17 @@ def test_token_records(odd, odd_rows, empty):
     assert token_records.read_records(token_records.write_records(empty)).count() == 0
 
 
+def test_token_records_of_added_tokens(build):
+    from tokenizers import Tokenizer
+
+    known = Tokenizer.from_file(public_tokenizers.path(token_records.VOCABULARY))
+    texts = ["one <|endoftext|> two", "<|startoftext|>", "<|ENDOFTEXT|> x", "a <|endoftext|>b<|endoftext|>", "<|endof text|>", "plain"]
+    got = {r.doc_id: (r.n_tokens, r.ids_crc32) for r in token_records.read_records(token_records.write_records(build(list(enumerate(texts))))).collect()}
+    for k, text in enumerate(texts):
+        ids = known.encode(text, add_special_tokens=False).ids + [1]
+        assert got[k] == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+
+
 def test_broken_records_are_refused():
     (frame,) = token_records.frames([7], [np.arange(5, dtype="<u2").tobytes()], 2)
     index = np.array([[0, len(frame)]])
