@@ -126,11 +126,11 @@ def encode(texts: list[bytes], path: str, end_id: int = END_ID) -> tuple[list[by
     words are, are encoded whole.
     """
     memo = _words(path)
-    whole = [k for k, t in enumerate(texts) if any(token in t for token in memo.added)]
-    if whole:
-        apart = [texts[k] for k in whole]
-        texts = [b"" if any(token in t for token in memo.added) else t for t in texts]
-    lower = pa.array([t.lower() for t in texts], pa.binary()).view(pa.string())  # the vocabulary is of lower case
+    lower = [t.lower() for t in texts]  # the vocabulary is of lower case
+    whole = [k for k, t in enumerate(lower) if any(token in t for token in memo.added)]
+    for k in whole:
+        lower[k] = b""
+    lower = pa.array(lower, pa.binary()).view(pa.string())
     split = pc.ascii_split_whitespace(lower)
     coded = split.flatten().view(pa.binary()).dictionary_encode()
     words = coded.dictionary.to_pylist()
@@ -152,7 +152,7 @@ def encode(texts: list[bytes], path: str, end_id: int = END_ID) -> tuple[list[by
     ends = (upto[order == len(words)] * width).tolist()
     packed = [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
     if whole:
-        for k, ids in zip(whole, memo.one_by_one(apart), strict=True):
+        for k, ids in zip(whole, memo.one_by_one([texts[k] for k in whole]), strict=True):
             packed[k] = ids + packed[k]
     return packed, memo.kind
 
