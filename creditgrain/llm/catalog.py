@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from . import (
     byte_bpe,
+    collocations,
     context_mixing,
     decontamination,
     exact_dedup,
@@ -14,6 +15,7 @@ from . import (
     substring_index,
     token_records,
     url_rules,
+    vector_codes,
 )
 
 QUERIES = {
@@ -27,6 +29,12 @@ QUERIES = {
     "op8_token_records": token_records.op8_token_records,
     "op9_decontamination": decontamination.op9_decontamination,
     "op10_substring_dedup": substring_index.op10_substring_dedup,
+    "op11_vector_codes": vector_codes.op11_vector_codes,
     "op12_slack_packing": slack_packing.op12_slack_packing,
+    "op13_collocations": collocations.op13_collocations,
+}
+ORACLE = {
+    "op4_exact_dedup": exact_dedup.ORACLE,
+    "op11_vector_codes": vector_codes.ORACLE,
+    "op13_collocations": collocations.ORACLE,
 }
-ORACLE = {"op4_exact_dedup": exact_dedup.ORACLE}

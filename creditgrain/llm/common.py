@@ -17,6 +17,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from creditgrain.session import store
+
 BLOCK_BYTES = 1 << 21
 ARROW_BYTES = 1 << 24
 
@@ -52,6 +54,50 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
 
 
+def fresh(docs: DataFrame, name: str) -> str:
+    """``name``, with underscores after it until no column of ``docs`` has it."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+FILE_ROWS = 40  # log2 of the rows that a file may have
+LISTED_FILES = 100_000  # so many paths are broadcast
+
+
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with a number for each row in a column ``name``, the same in every later job.
+
+    A number by partition would change with the splits of the files, which follow the cores
+    that Spark has when it plans a job. Rows of a table just read from parquet files are
+    numbered by file (in the order of the paths) and place in it. Any other table is stored
+    once with its numbers.
+    """
+    spark = docs.sparkSession
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
+        return store(docs.withColumn(name, F.monotonically_increasing_id()), "numbered")
+    path, place = fresh(docs, "path"), fresh(docs, "place")
+    meta = docs.metadataColumn("_metadata")
+    placed = docs.select("*", meta["file_path"].alias(path), meta["row_index"].alias(place))
+    paths = sorted(r[0] for r in placed.select(path).distinct().collect())  # the driver has listed the files anyway
+    first = spark.createDataFrame([(p, k << FILE_ROWS) for k, p in enumerate(paths)], f"`{path}` string, `{name}` long")
+    if len(paths) <= LISTED_FILES:
+        first = F.broadcast(first)
+    return placed.join(first, path).select(*docs.columns, (F.col(name) + F.col(place)).alias(name))
+
+
+def numbered_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """``doc_id``, ``text`` as in ``id_and_text`` and ``row``: the column ``row_col`` if named, else new numbers."""
+    if row_col is None:
+        row_col = fresh(docs, "row")
+        plain = docs._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation"
+        docs = numbered(docs if plain else docs.select(id_col, text_col), row_col)
+    return docs.select(
+        F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.col(row_col).alias("row")
+    )
+
+
 def crc_fold(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id written as text, modulo ``modulus``; a NULL id counts as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus
@@ -114,12 +160,13 @@ def _power_tables(n: int) -> list[np.ndarray]:
     return _powers
 
 
-def word_spans(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]:
+def word_spans(texts: list[bytes], breaks: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]:
     """64-bit hashes of all words ``[^\\x20\\x09-\\x0D]+`` in order, words per text, and where
-    they start and end in the joined texts, which come last."""
+    they start and end in the joined texts, which come last. Other ``breaks`` (by byte, the
+    line feed among them) part words elsewhere."""
     joined = b"\n".join(texts) + b"\n"
     buffer = np.frombuffer(joined, np.uint8)
-    space = _SPACE[buffer]
+    space = breaks[buffer]
     turns = np.flatnonzero(np.diff(space, prepend=True))
     starts, ends = turns[::2], turns[1::2]
     powers, inverse = _power_tables(len(buffer))
