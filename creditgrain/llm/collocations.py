@@ -10,9 +10,11 @@ R1 comes from the texts. Then, for k = 2, 3, ...:
 1. Merge-join the relation of k - 1 words with itself by piece and adjacent position: a
    phrase of k words is one of k - 1 words and the one that starts a word later. Both are
    sorted and of one block, so the join needs no shuffle.
-2. Group and count: occurrences are counted in the block, then by (left, right), the keys
-   of the two parts. Only phrases of ``support`` occurrences stay, in a table with the
-   counts of all their beginnings and endings, which they have from their parts.
+2. Group and count: occurrences are counted in the block, then by ``CELL_BITS`` of a hash of
+   the phrase, which is all that most phrases are shuffled as. Only phrases in cells of
+   ``support`` occurrences are counted once more by (left, right), the keys of the two
+   parts, and that count decides. Frequent phrases stay in a table with the counts of all
+   their beginnings and endings, which they have from their parts.
 3. Semi-join the occurrences with the frequent phrases before the next length: by a Bloom
    filter that grows with their number up to ``MAX_BITS``. What it lets through wrongly
    costs time and no result, as only exact counts decide.
@@ -40,7 +42,8 @@ LONGEST = 5
 PERCENT = 100
 TOP = 2000
 UNKNOWN = "und"
-BLOCK = 1 << 22  # bytes of text in a block
+BLOCK = 1 << 21  # bytes of text in a block
+CELL_BITS = 40
 LEAST_BITS, MAX_BITS = 20, 30  # log2 of the filter's size, 128 MB at most
 BITS_EACH = 16
 RANKED = 100_000  # candidates ranked by one task at first
@@ -109,7 +112,7 @@ class Filter:
 
     @staticmethod
     def places(keys: np.ndarray, size: int) -> list[np.ndarray]:
-        mask = np.uint64((1 << size) - 1)
+        keys, mask = mix(keys), np.uint64((1 << size) - 1)
         return [(x & mask).astype(np.int64) for x in (keys, keys >> np.uint64(33))]
 
     @classmethod
@@ -188,16 +191,28 @@ def pairs(position: np.ndarray, keys: np.ndarray, which: np.ndarray) -> tuple[np
     return at, keys[codes // max(1, len(keys))], keys[codes % max(1, len(keys))], number.reshape(-1)
 
 
-def _counted_pairs(salt: int):
+def _counted_cells(salt: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for position, keys, which in records(batches):
             _, left, right, number = pairs(position, keys, which)
+            cell = joined_key(left, right, salt) >> np.uint64(64 - CELL_BITS)
+            yield pa.RecordBatch.from_arrays([pa.array(cell.view(np.int64)), pa.array(np.bincount(number, minlength=len(left)))], ["key", "n"])
+
+    return run
+
+
+def _counted_pairs(shared, salt: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for position, keys, which in records(batches):
+            _, left, right, number = pairs(position, keys, which)
+            key = joined_key(left, right, salt)
+            good = np.flatnonzero(shared.value.holds(key >> np.uint64(64 - CELL_BITS)))
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(left.view(np.int64)),
-                    pa.array(right.view(np.int64)),
-                    pa.array(joined_key(left, right, salt).view(np.int64)),
-                    pa.array(np.bincount(number, minlength=len(left))),
+                    pa.array(left[good].view(np.int64)),
+                    pa.array(right[good].view(np.int64)),
+                    pa.array(key[good].view(np.int64)),
+                    pa.array(np.bincount(number, minlength=len(left))[good]),
                 ],
                 ["left", "right", "key", "n"],
             )
@@ -253,8 +268,11 @@ def _mined(rows: DataFrame, support: int, longest: int, salt: int) -> tuple[list
         if relation is not None:
             discard(relation)
         relation = following
+        cells = relation.mapInArrow(_counted_cells(salt), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+        cells = store(cells.where(F.col("n") >= support).select("key"), "cells")
+        crowded = context.broadcast(Filter.of(cells, cells.count()))
         grouped = (
-            relation.mapInArrow(_counted_pairs(salt), "left long, right long, key long, n long")
+            relation.mapInArrow(_counted_pairs(crowded, salt), "left long, right long, key long, n long")
             .groupBy("left", "right", "key")
             .agg(F.sum("n").alias("a"))
             .where(F.col("a") >= support)
@@ -271,7 +289,9 @@ def _mined(rows: DataFrame, support: int, longest: int, salt: int) -> tuple[list
                 "phrases",
             )
         )
+        discard(cells)
         held.unpersist()
+        crowded.unpersist()
     if relation is not None:
         discard(relation)
     _one_each(frequent[-1])
