@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from creditgrain.session import store
 
-from .common import column, draws, gram_hashes, id_and_text, mix, table, text_blocks, word_hashes
+from .common import column, draws, fresh, gram_hashes, id_and_text, mix, numbered, table, text_blocks, word_hashes
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -187,9 +187,16 @@ def contained_items(docs: DataFrame, items: DataFrame, threshold: float = THRESH
 
 
 def clean(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs``, with all their columns, in which no item was found."""
-    found = contained_items(docs, items, threshold).select(F.col("doc_id").alias("_found")).distinct()
-    return docs.join(found, F.col("doc_id").cast("bigint") == F.col("_found"), "left_anti")
+    """The rows of ``docs``, with all their columns, in which no item was found.
+
+    Rows and items are numbered, so those without an id or with a repeated one are judged
+    by their own text.
+    """
+    row = fresh(docs, "row")
+    rows = numbered(docs, row)
+    numbers = store(items.select("text").distinct().withColumn("item_id", F.monotonically_increasing_id()), "items")
+    found = contained_items(rows.select(F.col(row).alias("doc_id"), "text"), numbers, threshold)
+    return rows.join(found.select(F.col("doc_id").alias(row)).distinct(), row, "left_anti").select(*docs.columns)
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

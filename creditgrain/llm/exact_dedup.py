@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from creditgrain.session import store
 
-from .common import id_and_text, table, text_blocks
+from .common import fresh, numbered, numbered_texts, table, text_blocks
 
 CAPACITY = 2048
 MAX_DEPTH = 16
@@ -183,15 +183,16 @@ def exact_dedup(
     text_col: str = "text",
     capacity: int = CAPACITY,
     max_depth: int = MAX_DEPTH,
+    row_col: str | None = None,
 ) -> DataFrame:
-    """A row per document: doc_id, keep_id, group_size, kept, text_sha256, bucket,
-    row (its number as stored).
+    """A row per document: doc_id, keep_id, group_size, kept, text_sha256, bucket, row
+    (its number: that of ``row_col``, or as ``common.numbered`` gives it).
 
     Texts are equal when their bytes are. NULL texts are empty ones. The row with
     the largest id stays; of repeated rows with that id one stays (the last
     stored). A NULL id is smaller than any other. Empty tables give no rows.
     """
-    rows = id_and_text(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id())
+    rows = numbered_texts(docs, id_col, text_col, row_col)
     keyed = rows.withColumn("key", F.xxhash64("text"))
     index = build_index(keyed, capacity, max_depth)
     found = keyed.select("doc_id", "row", "key", F.sha2("text", 256).alias("sha"))
@@ -206,6 +207,14 @@ def exact_dedup(
     )
 
 
+def one_of_each_text(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that ``exact_dedup`` keeps."""
+    row = fresh(docs, "row")
+    rows = numbered(docs, row)
+    kept = exact_dedup(rows, row_col=row).where("kept").select(F.col("row").alias(row))
+    return rows.join(kept, row, "left_semi").select(*docs.columns)
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents")).drop("bucket", "row")
 

@@ -15,10 +15,13 @@ documents together. Documents near the upper end of a band join the next one too
 Decisions. A candidate pair is dropped if the Hamming distance of its short sketches
 (folded to one length) exceeds the bound, and else verified with the whole texts.
 
-Large groups. Equal sets are one node. All members of a part are first compared with
-one of them, twice; only members of different components are then paired with one
-another, so a group of near copies costs a pair for each document and not for each
-pair, while no link between components is missed.
+Large groups. Equal sets are one node. All members of a part are first compared with the
+most central of them, the one whose other parts have the most members: of a text and its
+many edited copies that is the text. After some such rounds, each with another leader for
+those that found no link, only members of different components are paired with one
+another, in a join that compares ``PROBE`` folded bits of the sketches as it goes. So a
+group of near copies costs a pair for each document and not for each pair, while no link
+between components is missed.
 """
 
 from __future__ import annotations
@@ -31,15 +34,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creditgrain.session import store
+from creditgrain.session import discard, store
 
 from .bloom import bloom_of, may_hold
-from .common import column, id_and_text, mix, shingle_sets, table, text_blocks
+from .common import column, fresh, mix, numbered, numbered_texts, shingle_sets, table, text_blocks
 
 WORDS = 5
-PLACES = 19  # log2 of the table of part frequencies
+LEAST_PLACES, MOST_PLACES = 19, 22  # log2 of the table of part frequencies, by the size of the input
 LEAST_PARTS = 1024
-STARS = 2
+STARS = 3
+PROBE = 8  # words of 64 bits of each sketch that a join compares
 LEADING = 20  # bits dropped from a key to see whether it is repeated
 
 
@@ -65,11 +69,20 @@ def filled_parts(shingles: np.ndarray, parts: int, salt: int) -> np.ndarray:
     return mix(content + (part[order][cuts] << np.uint64(32)) + np.uint64(parts))
 
 
+def sketch_of(shingles: np.ndarray, bits: int) -> np.ndarray:
+    """Parities of the shingles' places among a power of two of bits, packed."""
+    flips = np.bincount((shingles >> np.uint64(7)).astype(np.int64) & (bits - 1), minlength=bits) & 1
+    return np.packbits(flips.astype(np.uint8), bitorder="little")
+
+
 def short_sketch(shingles: np.ndarray) -> bytes:
     """Parities of at least twice as many bits as there are shingles."""
-    bits = max(64, 2 << int(len(shingles)).bit_length())
-    flips = np.bincount((shingles >> np.uint64(7)).astype(np.int64) & (bits - 1), minlength=bits) & 1
-    return np.packbits(flips.astype(np.uint8), bitorder="little").tobytes()
+    return sketch_of(shingles, max(64, 2 << int(len(shingles)).bit_length())).tobytes()
+
+
+def probe(shingles: np.ndarray) -> np.ndarray:
+    """The same in ``PROBE`` words of 64 bits, however many shingles."""
+    return sketch_of(shingles, 64 * PROBE).view(np.int64)
 
 
 def hamming(one: bytes, two: bytes) -> int:
@@ -97,11 +110,11 @@ def _sets(texts: list[bytes]) -> Iterator[np.ndarray]:
         yield flat[end - size : end]
 
 
-def _frequencies(salt: int):
+def _frequencies(salt: int, places: int):
     """Counts of part keys by place; place -1 counts documents with too few filled parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, poor = np.zeros(1 << PLACES, np.int64), 0
+        total, poor = np.zeros(1 << places, np.int64), 0
         for _, texts in text_blocks(batches):
             held = []
             for shingles in _sets(texts):
@@ -110,7 +123,7 @@ def _frequencies(salt: int):
                     poor += len(keys) <= len(shingles) // 4
                     held.append(keys)
             if held:
-                total += np.bincount((np.concatenate(held) >> np.uint64(64 - PLACES)).astype(np.int64), minlength=1 << PLACES)
+                total += np.bincount((np.concatenate(held) >> np.uint64(64 - places)).astype(np.int64), minlength=1 << places)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.append(used, -1).astype(np.int32)), pa.array(np.append(total[used], poor))], ["place", "n"]
@@ -119,24 +132,25 @@ def _frequencies(salt: int):
     return run
 
 
-def _nodes(shared, salt: int):
+def _nodes(shared, salt: int, places: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = shared.value
         for batch, texts in text_blocks(batches):
-            sizes, nodes, sketches, keys, met = [], [], [], [], set()
+            sizes, nodes, sketches, probes, keys, met = [], [], [], [], [], set()
             for shingles in _sets(texts):
                 sizes.append(len(shingles))
                 nodes.append(node_of(shingles) if len(shingles) else None)
                 if not len(shingles) or nodes[-1] in met:
-                    sketches.append(None)
-                    keys.append(None)
+                    for column_ in (sketches, probes, keys):
+                        column_.append(None)
                     continue
                 met.add(nodes[-1])
                 sketches.append(short_sketch(shingles))
+                probes.append(probe(shingles))
                 chosen = []
                 for parts in parts_of(len(shingles)):
                     found = filled_parts(shingles, parts, salt)
-                    order = np.lexsort((found, often[(found >> np.uint64(64 - PLACES)).astype(np.int64)]))
+                    order = np.lexsort((found, often[(found >> np.uint64(64 - places)).astype(np.int64)]))
                     chosen.append(found[order[: len(shingles) // 4 + 1]].view(np.int64))
                 keys.append(np.concatenate(chosen))
             yield pa.RecordBatch.from_arrays(
@@ -146,9 +160,10 @@ def _nodes(shared, salt: int):
                     pa.array(sizes, pa.int64()),
                     pa.array(nodes, pa.int64()),
                     pa.array(sketches, pa.binary()),
+                    pa.array(probes, pa.list_(pa.int64())),
                     pa.array(keys, pa.list_(pa.int64())),
                 ],
-                ["doc_id", "row", "size", "node", "sketch", "keys"],
+                ["doc_id", "row", "size", "node", "sketch", "probe", "keys"],
             )
 
     return run
@@ -223,7 +238,9 @@ def components(edges: DataFrame) -> DataFrame:
     edges = store(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = mark(edges)
     while before[0]:
-        edges = store(star(star(edges, True), False), "edges")
+        following = store(star(star(edges, True), False), "edges")
+        discard(edges)
+        edges = following
         now = mark(edges)
         if now == before:
             break
@@ -240,15 +257,17 @@ class _Join:
     def __init__(self, rows: DataFrame, first_salt: int = 0):
         self.rows = rows
         self.context = rows.sparkSession.sparkContext
-        often, salt = self.frequencies(first_salt)
-        self.sets = store(
+        size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+        places = min(MOST_PLACES, max(LEAST_PLACES, (size >> 9).bit_length()))
+        often, salt = self.frequencies(first_salt, places)
+        sets = store(
             rows.mapInArrow(
-                _nodes(self.context.broadcast(often), salt),
-                "doc_id long, row long, size long, node long, sketch binary, keys array<long>",
+                _nodes(self.context.broadcast(often), salt, places),
+                "doc_id long, row long, size long, node long, sketch binary, probe array<long>, keys array<long>",
             ),
             "sets",
         )
-        filled = self.sets.where("keys is not null")
+        filled = sets.where("keys is not null")
         # Leading bits of keys and nodes say nearly as well which keys are repeated, in fewer bytes.
         repeated = (
             filled.select(F.shiftright("node", 24).alias("node"), F.explode("keys").alias("key"))
@@ -263,19 +282,25 @@ class _Join:
         )
         #: A row for each node; of its copies, the one with the smallest row.
         self.nodes = store(
-            filled.groupBy("node").agg(F.min("row").alias("row"), F.first("size").alias("size"), F.first("sketch").alias("sketch")), "nodes"
+            filled.groupBy("node").agg(
+                F.min("row").alias("row"), F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.first("probe").alias("probe")
+            ),
+            "nodes",
         )
+        #: A row for each document.
+        self.sets = store(sets.select("doc_id", "row", "size", "node"), "documents")
+        discard(sets)
 
-    def frequencies(self, salt: int) -> tuple[np.ndarray, int]:
+    def frequencies(self, salt: int, places: int) -> tuple[np.ndarray, int]:
         """Counts by place, and a salt for which every document has more filled parts than may differ."""
         while True:
             sums = (
-                self.rows.select("text").mapInArrow(_frequencies(salt), "place int, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
-            )  # at most 2**PLACES rows
+                self.rows.select("text").mapInArrow(_frequencies(salt, places), "place int, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
+            )  # at most 2**MOST_PLACES rows
             place, n = sums["place"].to_numpy(), sums["n"].to_numpy()
             if not n[place < 0].sum():
-                out = np.zeros(1 << PLACES, np.int64)
-                out[place[place >= 0]] = n[place >= 0]
+                out = np.zeros(1 << places, np.int32)
+                out[place[place >= 0]] = np.minimum(n[place >= 0], np.iinfo(np.int32).max)
                 return out, salt
             salt += 1
 
@@ -290,62 +315,82 @@ class _Join:
             self.rows.select("row", "text").mapInArrow(_picked(held), "row long, text string").join(wanted, "row").select("node", "text"), "texts"
         )
         text = lambda s: texts.select(F.col("node").alias(s), F.col("text").alias(f"text_{s}"))
-        return store(near.join(text("a"), "a").join(text("b"), "b").mapInArrow(_verify, "a long, b long"), "links")
+        found = store(near.join(text("a"), "a").join(text("b"), "b").mapInArrow(_verify, "a long, b long"), "links")
+        discard(near, wanted, texts)
+        return found
 
     def run(self) -> DataFrame:
         """(node, component) of all nodes with a link."""
-        found, joined = None, None
+        found, joined, tried = None, None, None
         for step in range(STARS + 1):
             members = self.members.withColumn("component", F.col("node"))
             if joined is not None:
                 members = self.members.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
             spread = members.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-            members = store(members.join(spread.select("key", "low"), "key"), "open")
+            members = store(members.join(spread.select("key"), "key"), "open")
             pairs = self.stars(members) if step < STARS else self.across(members)
+            if tried is not None:
+                pairs = pairs.join(tried, ["a", "b"], "left_anti")
+            pairs = store(pairs, "pairs")
             new = self.links(pairs)
+            discard(members)
+            tried = pairs if tried is None else tried.union(pairs)
             found = new if found is None else found.union(new)
             joined = components(found)
         return joined
 
     def stars(self, members: DataFrame) -> DataFrame:
-        """Each node with the leader it shares most parts with; a part's leader is the smallest
-        node of its smallest component."""
-        leaders = members.where("component = low").groupBy("key").agg(F.min("node").alias("leader"))
+        """Each node with the leader it shares most parts with. A part's leader is its most
+        central member; nodes of the leader's component need no pair with it."""
+        crowd = members.groupBy("key").agg(F.count(F.lit(1)).alias("crowd"))
+        central = members.join(crowd, "key").groupBy("node").agg(F.sum("crowd").alias("central"))
+        placed = members.join(central, "node")
+        leaders = placed.groupBy("key").agg(F.max(F.struct("central", "node", "component")).alias("leader"))
+        leaders = leaders.select("key", F.col("leader.node").alias("leader"), F.col("leader.component").alias("led"))
         shared = (
-            members.where("component > low")
-            .join(leaders, "key")
+            members.join(leaders, "key")
+            .where("component <> led")
             .groupBy("node", "leader")
-            .agg(F.count("*").alias("n"))
+            .agg(F.count(F.lit(1)).alias("n"))
             .groupBy("node")
             .agg(F.max(F.struct("n", "leader")).alias("best"))
         )
         return shared.select(F.least("node", "best.leader").alias("a"), F.greatest("node", "best.leader").alias("b")).distinct()
 
     def across(self, members: DataFrame) -> DataFrame:
-        """All pairs that share a part, are of different components and near enough in size."""
-        present = members.select("key", "component").distinct()
-        one = members.select("key", F.col("node").alias("a"), F.col("size").alias("size_a"), "component")
-        other = members.select("key", F.col("component").alias("to"), F.col("node").alias("b"), F.col("size").alias("size_b"))
-        return (
-            one.join(present.select("key", F.col("component").alias("to")), "key")
-            .where("component < to")
-            .join(other, ["key", "to"])
-            .where("5 * size_a >= 4 * size_b and 5 * size_b >= 4 * size_a")
-            .select("a", "b")
-            .distinct()
-        )
+        """All pairs that share a part, are of different components, and near in size and probe.
+
+        Members of a part's largest component are paired with the others only, and those
+        among themselves.
+        """
+        counted = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+        main = counted.groupBy("key").agg(F.max(F.struct("n", "component")).alias("m")).select("key", F.col("m.component").alias("main"))
+        words = [F.col("probe")[k].alias(f"p{k}") for k in range(PROBE)]
+        placed = members.join(main, "key").join(self.nodes.select("node", *words), "node")
+
+        def side(rows: DataFrame, s: str) -> DataFrame:
+            return rows.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "size", "component", *[f"p{k}" for k in range(PROBE)])])
+
+        apart = sum((F.bit_count(F.col(f"p{k}_x").bitwiseXOR(F.col(f"p{k}_y"))) for k in range(PROBE)), F.lit(0))
+        near = F.expr("5 * size_x >= 4 * size_y and 5 * size_y >= 4 * size_x") & (9 * apart <= F.col("size_x") + F.col("size_y"))
+        rest = placed.where("component <> main")
+        one = side(placed.where("component = main"), "x").join(side(rest, "y"), "key").where(near)
+        two = side(rest, "x").join(side(rest, "y"), "key").where(near & F.expr("component_x < component_y"))
+        pairs = one.select("node_x", "node_y").union(two.select("node_x", "node_y"))
+        return pairs.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
 
 
-def similar_groups(docs: DataFrame) -> DataFrame:
+def similar_groups(docs: DataFrame, row_col: str | None = None) -> DataFrame:
     """A row per document: doc_id, n_shingles, component_id, row, group (NULL for empty sets).
 
     Sets are of 5-word shingles of lower-cased (A-Z) words, of the whole sequence
     if it is shorter; documents link from a Jaccard similarity of 0.8 on. A text
     that is NULL or without words has an empty set and is linked with nothing: its
     component is its own id. NULL ids are linked like others but never name a
-    component unless it has no other id. ``row`` numbers the rows as stored.
+    component unless it has no other id. ``row`` is that of ``row_col``, or as
+    ``common.numbered`` gives it.
     """
-    rows = id_and_text(docs).withColumn("row", F.monotonically_increasing_id())
+    rows = numbered_texts(docs, row_col=row_col)
     work = _Join(rows)
     joined = work.run()
     per_node = work.sets.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("low"))
@@ -364,12 +409,13 @@ def similar_groups(docs: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, with all their columns, without those similar to a kept one by links:
     of each component the row with the smallest id stays (NULL ids last, then as stored)."""
-    found = similar_groups(docs)
+    name = fresh(docs, "row")
+    numbers = numbered(docs, name)
+    found = similar_groups(numbers, name)
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     first = found.where("group is not null").groupBy("group").agg(F.min(place).alias("first")).select("first.row")
     rows = first.union(found.where("group is null").select("row"))
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-    return numbered.join(rows.select(F.col("row").alias("_row")), "_row", "left_semi").select(*docs.columns)
+    return numbers.join(rows.select(F.col("row").alias(name)), name, "left_semi").select(*docs.columns)
 
 
 def op6_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from creditgrain.session import store
 
 from .bloom import bloom_of, may_hold
-from .common import column, gram_hashes, id_and_text, span_hashes, table, text_blocks, word_hashes, word_spans
+from .common import column, gram_hashes, numbered_texts, span_hashes, table, text_blocks, word_hashes, word_spans
 
 WINDOW = 20
 GRAM = 8
@@ -383,7 +383,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, step
     """
     if window % step or gram > window:
         raise ValueError("step must divide window, and gram must fit into it")
-    rows = id_and_text(docs).withColumn("row", F.monotonically_increasing_id())
+    rows = numbered_texts(docs)
     spans = repeated_spans(rows, window, gram, step)
     return rows.join(spans, "row", "left").select("doc_id", "text", "spans").mapInArrow(
         _clean(window), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
