@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from creditgrain.llm.byte_bpe import bpe_round_trip
 from creditgrain.llm.common import table
 from creditgrain.llm.decontamination import clean
-from creditgrain.llm.exact_dedup import exact_dedup
+from creditgrain.llm.exact_dedup import one_of_each_text
 from creditgrain.llm.pairwise_quality import accepted
 from creditgrain.llm.parity_join import one_of_each
 from creditgrain.session import store
@@ -21,9 +20,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the row with the largest id."""
-    kept = exact_dedup(docs).where("kept").select(F.col("row").alias("_row"))
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-    return numbered.join(kept, "_row", "left_semi").select(*docs.columns)
+    return one_of_each_text(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
