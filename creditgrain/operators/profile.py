@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import column_label, melt, numeric_columns, plotted_columns, present, string_columns
-from .ranks import quantiles
+from .ranks import order_statistics, quantiles
 
 HISTOGRAM_BINS = 50
 KDE_POINTS = 200
-# exp(-u * u / 2) is exactly 0 as a double beyond this distance
-KERNEL_REACH = 39.0
+KDE_CELLS = 1 << 14
+KDE_FINE = 128
+# exp(-u * u / 2) is below 1e-16 beyond this distance
+KERNEL_REACH = 8.6
 
 
 def _per_column(df: DataFrame, columns: Sequence[str], measures) -> DataFrame:
@@ -67,23 +70,19 @@ def missing_values(df: DataFrame) -> DataFrame:
 def describe(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Count, mean, sample deviation, minimum, exact quartiles and maximum per numeric column.
 
-    A column without values, or of a table without rows, has a count of 0.
+    A column without values, or of a table without rows, has a count of 0. The moments
+    come with the first pass of the selection.
     """
     columns = list(columns or numeric_columns(df))
-    values = melt(df, columns, "double")
-    moments = values.groupBy("column_id").agg(
-        F.count("value").alias("count"),
-        F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-    )
-    quartiles = quantiles(values, "value", {"q25": 0.25, "q50": 0.5, "q75": 0.75}, ["column_id"])
-    listed = df.sparkSession.range(len(columns)).select(F.col("id").cast("int").alias("column_id"))
-    return listed.join(moments, "column_id", "left").join(quartiles.drop("n"), "column_id", "left").select(
-        column_label(columns).alias("column"),
-        F.coalesce("count", F.lit(0)).alias("count"), "mean", "std", "min", "q25", "q50", "q75", "max",
-    )
+    quartiles = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
+    found = {s["column_id"]: s for s in order_statistics(melt(df, columns, "double"), "value", quartiles, ["column_id"], moments=True)}
+    rows = []
+    for i, name in enumerate(columns):
+        s = found.get(i, {"n": 0})
+        std = math.sqrt(s["m2"] / (s["n"] - 1)) if s["n"] > 1 else None
+        rows.append((name, s["n"], s.get("mean"), std, *[s.get(c) for c in ("min", *quartiles, "max")]))
+    numbers = ", ".join(f"{c} double" for c in ("mean", "std", "min", *quartiles, "max"))
+    return df.sparkSession.createDataFrame(rows, f"column string, count long, {numbers}")
 
 
 def _ranges(values: DataFrame) -> DataFrame:
@@ -135,14 +134,18 @@ def histogram(df: DataFrame, columns: Sequence[str] | None = None, bins: int = H
 
 
 def kernel_density(
-    df: DataFrame, columns: Sequence[str] | None = None, points: int = KDE_POINTS
+    df: DataFrame, columns: Sequence[str] | None = None, points: int = KDE_POINTS, cells: int = KDE_CELLS
 ) -> DataFrame:
     """Gaussian kernel density on an even grid over each column's range.
 
-    The bandwidth is the sample deviation times n to the power -1/5. Equal
-    values are summed first, and a value is evaluated only at the grid points
-    where its kernel does not underflow to zero, so the work per value shrinks
-    with the bandwidth. Columns without spread have no density and give no rows.
+    The bandwidth h is the sample deviation times n to the power -1/5. Values are first
+    reduced to cells by their count, mean and variance, which is all that is shuffled. A
+    cell's kernel sum is that of its mean with the second-order term of its variance; a
+    cell of equal values is exact. Cells are d = 1/``cells`` of the range wide and at most
+    1/``KDE_FINE`` of h; the error at any point is below 0.03 * (d / h) ** 3 / h, and below
+    1e-16 / h for values further than ``KERNEL_REACH`` bandwidths, which are left out. So
+    there are at most 2 * KERNEL_REACH * KDE_FINE cells a point, or ``cells`` in all.
+    Columns without spread have no density and give no rows.
     """
     columns = list(columns or plotted_columns(df))
     values = melt(df, columns, "double").where("value is not null")
@@ -158,24 +161,36 @@ def kernel_density(
         .select(
             "column_id",
             "lo",
+            "hi",
             "n",
             (F.col("std") * F.pow(F.col("n").cast("double"), F.lit(-0.2))).alias("h"),
             ((F.col("hi") - F.col("lo")) / (points - 1)).alias("step"),
         )
     )
-    counted = values.groupBy("column_id", "value").agg(F.count(F.lit(1)).alias("rows"))
-    place = (F.col("value") - F.col("lo")) / F.col("step")
+    width = F.least((F.col("hi") - F.col("lo")) / cells, F.col("h") / KDE_FINE)
+    cell = F.floor((F.col("value") - F.col("lo")) / width)
+    at = (F.col("value") - F.col("lo")) / F.col("step")
+    near = F.abs(at - F.floor(at + 0.5)) * F.col("step") <= F.lit(KERNEL_REACH + 1 / KDE_FINE) * F.col("h")
+    reduced = (
+        values.join(F.broadcast(grid), "column_id")
+        .where(near)
+        .groupBy("column_id", "lo", "h", "step", cell.alias("cell"))
+        .agg(F.count(F.lit(1)).alias("rows"), F.avg("value").alias("mean"), F.var_pop("value").alias("variance"), F.min("value").alias("low"), F.max("value").alias("high"))
+        # an average of equal values may be off by its last bit
+        .withColumn("mean", F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(F.col("mean")))
+    )
+    place = (F.col("mean") - F.col("lo")) / F.col("step")
     reach = F.lit(KERNEL_REACH) * F.col("h") / F.col("step")
     nearby = F.sequence(
         F.greatest(F.floor(place - reach), F.lit(0)).cast("int"),
         F.least(F.ceil(place + reach), F.lit(points - 1)).cast("int"),
     )
-    u = (F.col("lo") + F.col("step") * F.col("point") - F.col("value")) / F.col("h")
+    u = (F.col("lo") + F.col("step") * F.col("point") - F.col("mean")) / F.col("h")
+    bend = F.col("variance") / (F.col("h") * F.col("h")) / 2 * (u * u - 1)
     sums = (
-        counted.join(F.broadcast(grid), "column_id")
-        .withColumn("point", F.explode(nearby))
+        reduced.withColumn("point", F.explode(nearby))
         .groupBy("column_id", "point")
-        .agg(F.sum(F.col("rows") * F.exp(-0.5 * u * u)).alias("kernel_sum"))
+        .agg(F.sum(F.col("rows") * F.exp(-0.5 * u * u) * (1 + bend)).alias("kernel_sum"))
     )
     # one row per column and grid point, also where no kernel reaches
     return (

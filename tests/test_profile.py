@@ -165,3 +165,28 @@ def test_nan_is_missing_and_an_empty_table_has_counts(spark):
     assert profile.missing_values(df).first().missing_count == 1
     empty = profile.describe(df.limit(0)).first()
     assert (empty["count"], empty["mean"]) == (0, None)
+
+
+def test_kernel_density_of_many_values_is_within_its_bound(spark):
+    draw = np.random.default_rng(2)
+    # a heavy tail, so that the bandwidth is far below the range
+    values = np.concatenate([draw.normal(size=4000), np.exp(draw.normal(size=1000) * 3), np.full(500, 2.0)])
+    df = spark.createDataFrame([(float(v),) for v in values], "x double").repartition(4)
+    h = values.std(ddof=1) * len(values) ** -0.2
+    for cells in (1 << 14, 300):
+        width = min((values.max() - values.min()) / cells, h / profile.KDE_FINE)
+        for r in profile.kernel_density(df, ["x"], cells=cells).collect():
+            want = np.exp(-0.5 * ((r.x - values) / h) ** 2).sum() / (len(values) * h * np.sqrt(2 * np.pi))
+            assert abs(r.density - want) <= 0.03 * (width / h) ** 3 / h + 1e-15 / h
+
+
+def test_correlations_leave_out_nan(spark):
+    rows = [(1.0, 2.0, 1), (2.0, float("nan"), 0), (3.0, 5.0, 1), (4.0, 7.0, 0), (None, 1.0, 1)]
+    df = spark.createDataFrame(rows, "a double, b double, y int")
+    want = np.corrcoef([1, 3, 4], [2, 5, 7])[0, 1]
+    got = {(r.left, r.right): r.correlation for r in correlation_matrix(df).collect()}
+    assert got["a", "b"] == got["b", "a"] == pytest.approx(want)
+    assert got["b", "y"] == pytest.approx(np.corrcoef([2, 5, 7, 1], [1, 1, 0, 1])[0, 1])
+    assert len(got) == 9 and got["a", "a"] == pytest.approx(1)
+    label = {r.column: r.correlation for r in correlation_with(df, "b", ["a", "y"]).collect()}
+    assert label["a"] == pytest.approx(want) and label["y"] == pytest.approx(got["b", "y"])
