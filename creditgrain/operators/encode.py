@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import column_label, melt, numeric_columns, string_columns
 from ..session import store
-from .ranks import quantiles
+from .ranks import order_statistics
 
 # The category that stands for a missing value, the smoothing
 # term, and the distinct values below which an integer counts as categorical.
@@ -44,37 +45,52 @@ def fit_numeric(df: DataFrame, columns: Sequence[str]) -> list[NumericStats]:
     columns = list(columns)
     if not columns:
         return []
-    values = melt(df, columns, "double")
-    medians = quantiles(values, "value", {"median": 0.5}, ["column_id"]).select("column_id", "median")
-    moments = (
-        values.join(F.broadcast(medians), "column_id")
-        .withColumn("value", F.coalesce("value", "median"))
-        .groupBy("column_id", "median")
-        .agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
-    )
-    fitted = {r.column_id: NumericStats(columns[r.column_id], r.median, r.mean, r.std) for r in moments.collect()}
-    return [fitted[i] for i in sorted(fitted)]
+    fitted = []
+    found = order_statistics(melt(df, columns, "double"), "value", {"median": 0.5}, ["column_id"], moments=True)
+    for s in sorted(found, key=lambda s: s["column_id"]):
+        if not s["n"]:
+            continue
+        # The medians that stand for missing values join the others as one more group.
+        n = s["n"] + s["missing"]
+        mean = s["mean"] + (s["median"] - s["mean"]) * (s["missing"] / n)
+        m2 = s["m2"] + s["n"] * (s["mean"] - mean) ** 2 + s["missing"] * (s["median"] - mean) ** 2
+        fitted.append(NumericStats(columns[s["column_id"]], s["median"], mean, math.sqrt(m2 / n)))
+    return fitted
+
+
+def few_valued(df: DataFrame, columns: Sequence[str], limit: int = FEW_VALUES, bits: int = 12) -> set[str]:
+    """The integer columns with fewer than ``limit`` distinct values.
+
+    Every task keeps at most ``2 ** bits`` lines a column, by a hash of the value, with the
+    least and the greatest value of each, and only those are shuffled: ids of any number cost
+    no more. So many lines as ``limit`` show that a column has more values; with fewer,
+    and one value in each, the lines are the values. A column with few lines of which one
+    has several values is looked at again with another hash of four more bits.
+    """
+    few, open_, salt = set(), list(columns), 0
+    while open_:
+        line = F.pmod(F.xxhash64(F.lit(salt), "value"), F.lit(1 << bits))
+        lines = (
+            melt(df, open_, "bigint")
+            .where("value is not null")
+            .groupBy("column_id", line.alias("line"))
+            .agg(F.min("value").alias("low"), F.max("value").alias("high"))
+            .groupBy("column_id")
+            .agg(F.count(F.lit(1)).alias("lines"), F.count_if(F.col("low") < F.col("high")).alias("shared"))
+        )
+        found = {open_[r.column_id]: r for r in lines.collect()}
+        rows = [(c, found.get(c)) for c in open_]
+        few |= {c for c, r in rows if r is None or (r.lines < limit and not r.shared)}
+        # two values at least in each shared line
+        open_ = [c for c, r in rows if r is not None and r.shared and r.lines + r.shared < limit]
+        bits, salt = bits + 4, salt + 1
+    return few
 
 
 def woe_auto_columns(df: DataFrame) -> list[str]:
     """Text columns, and integer columns with few distinct values, in input order."""
-    integers = [
-        f.name
-        for f in df.schema
-        if isinstance(f.dataType, T.IntegralType)
-    ]
-    few: set[str] = set()
-    if integers:
-        distinct = (
-            melt(df, integers, "bigint")
-            .where("value is not null")
-            .groupBy("column_id", "value")
-            .agg(F.count(F.lit(1)).alias("rows"))
-            .groupBy("column_id")
-            .agg(F.count(F.lit(1)).alias("distinct"))
-        )
-        counts = {integers[r.column_id]: r.distinct for r in distinct.collect()}
-        few = {c for c in integers if counts.get(c, 0) < FEW_VALUES}
+    integers = [f.name for f in df.schema if isinstance(f.dataType, T.IntegralType)]
+    few = few_valued(df, integers)
     text = set(string_columns(df))
     return [c for c in df.columns if c in text or c in few]
 
@@ -96,9 +112,12 @@ def woe_table(
         .groupBy("column_id", "value")
         .agg(F.count(label).alias("n"), F.coalesce(F.sum(label), F.lit(0)).alias("bad"))
     )
-    # every row has a category in every column, so the totals are the table's
-    all_rows = df.agg(F.count(label)).scalar()
-    all_bad = df.agg(F.coalesce(F.sum(label), F.lit(0))).scalar()
+    # Every row has a category in every column, so the totals of the first are the table's.
+    # The counts are stored: one line a category, where the totals would read all rows again.
+    counts = store(counts, "categories")
+    first = counts.where("column_id = 0")
+    all_rows = first.agg(F.coalesce(F.sum("n"), F.lit(0))).scalar()
+    all_bad = first.agg(F.coalesce(F.sum("bad"), F.lit(0))).scalar()
     s = F.lit(smoothing)
     good_share = (F.col("n") - F.col("bad") + s) / (all_rows - all_bad + 2 * s)
     bad_share = (F.col("bad") + s) / (all_bad + 2 * s)
@@ -220,16 +239,62 @@ class OneHotModel:
     @staticmethod
     def vectors(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         """Replace each column by a sparse 0/1 vector column ``<column>_vector``."""
-        from pyspark.ml.feature import OneHotEncoder, StringIndexer
+        return OneHotVectors.fit(df, columns).transform(df)
+
+
+class OneHotVectors:
+    """Sparse 0/1 vectors with a place for each category seen at fit, in the order of their text.
+
+    Categories and their places are a stored table, however many there are; the driver knows
+    only how many each column has. Missing and unseen values give a vector of zeros.
+    """
 
+    def __init__(self, columns: Sequence[str], places: DataFrame, sizes: dict[str, int]):
+        self.columns = list(columns)
+        self.places = places
+        self.sizes = sizes
+
+    @classmethod
+    def fit(cls, df: DataFrame, columns: Sequence[str]) -> OneHotVectors:
         columns = list(columns)
-        index = [f"_{c}_index" for c in columns]
-        indexed = (
-            StringIndexer(
-                inputCols=columns, outputCols=index, handleInvalid="keep", stringOrderType="alphabetAsc"
-            )
-            .fit(df)
-            .transform(df)
+        seen = (
+            melt(df, columns, "string")
+            .where("value is not null")
+            .groupBy("column_id", "value")
+            .agg(F.count(F.lit(1)).alias("rows"))
+            .select("column_id", "value")
+        )
+        # Ranges of categories in order, stored once: a row's number grows by one within its range.
+        ranges = store(
+            seen.repartitionByRange("column_id", "value")
+            .sortWithinPartitions("column_id", "value")
+            .select("column_id", "value", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at")),
+            "categories",
         )
-        encoder = OneHotEncoder(inputCols=index, outputCols=[f"{c}_vector" for c in columns])
-        return encoder.fit(indexed).transform(indexed).drop(*columns, *index)
+        # one row for each range and column
+        parts = ranges.groupBy("column_id", "part").agg(F.min("at").alias("least"), F.count(F.lit(1)).alias("n"))
+        before = Window.partitionBy("column_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+        starts = parts.select("column_id", "part", "least", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+        places = ranges.join(starts, ["column_id", "part"]).select("column_id", "value", (F.col("first") + F.col("at") - F.col("least")).alias("place"))
+        places = store(places, "places")
+        counts = {columns[r.column_id]: r["count"] for r in places.groupBy("column_id").count().collect()}
+        return cls(columns, places, {c: counts.get(c, 0) for c in columns})
+
+    def indexed(self, df: DataFrame) -> DataFrame:
+        """Replace each column by its category's place ``<column>_place``; missing and unseen ones are NULL."""
+        out = df
+        for i, c in enumerate(self.columns):
+            own = self.places.where(F.col("column_id") == i).select(F.col("value").alias("_value"), F.col("place").alias(f"{c}_place"))
+            out = out.join(own, F.col(c).cast("string") == F.col("_value"), "left").drop("_value")
+        return out.drop(*self.columns)
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        from pyspark.ml.feature import OneHotEncoder
+
+        spark = df.sparkSession
+        places = [f"{c}_place" for c in self.columns]
+        # The place after the last stands for values without one; the encoder drops it.
+        out = self.indexed(df).withColumns({p: F.coalesce(F.col(p), F.lit(self.sizes[c])).cast("double") for c, p in zip(self.columns, places, strict=True)})
+        widest = spark.range(1).select(*[F.lit(float(self.sizes[c])).alias(p) for c, p in zip(self.columns, places, strict=True)])
+        encoder = OneHotEncoder(inputCols=places, outputCols=[f"{c}_vector" for c in self.columns])
+        return encoder.fit(widest).transform(out).drop(*places)

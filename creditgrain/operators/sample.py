@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash60, hash_bin
+from ..session import store
 
 _BIN_BITS = 12
 
@@ -18,37 +18,39 @@ def class_counts(df: DataFrame, label: str) -> DataFrame:
     return df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
 
 
-def class_sizes(df: DataFrame, label: str) -> dict:
-    """Rows per class on the driver, in class order: one number for each class, however many."""
-    rows = class_counts(df.where(F.col(label).isNotNull()), label).collect()
-    return {r[label]: r.n for r in sorted(rows, key=lambda r: r[label])}
-
-
 def class_weights(df: DataFrame, label: str) -> DataFrame:
     """Balanced weight per class: n / (classes * rows of the class)."""
     counts = class_counts(df.where(F.col(label).isNotNull()), label)
-    total, classes = counts.agg(F.sum("n"), F.count("n")).first()
-    return counts.withColumn("weight", F.lit(float(total or 0)) / (F.lit(classes) * F.col("n")))
+    total, classes = counts.agg(F.sum("n")).scalar(), counts.agg(F.count("n")).scalar()
+    return counts.withColumn("weight", total.cast("double") / (classes * F.col("n")))
 
 
 def with_class_weight(df: DataFrame, label: str, name: str = "weight") -> DataFrame:
-    """Each row with the balanced weight of its class; rows without a class have none."""
-    weights = class_weights(df, label).select(F.col(label).alias("_class"), F.col("weight").alias("_weight"))
+    """Each row with the balanced weight of its class; rows without a class have none.
+
+    The weights are stored first: a table whose size Spark knows is broadcast while it is
+    small, so that the rows of a class don't meet in one task.
+    """
+    weights = store(class_weights(df, label).select(F.col(label).alias("_class"), F.col("weight").alias("_weight")), "weights")
     joined = df.drop(name).join(weights, F.col(label) == F.col("_class"), "left")
     return joined.withColumn(name, F.col("_weight")).drop("_class", "_weight")
 
 
-def test_quotas(sizes: dict, test_size: float) -> dict:
-    """Test rows per class: the test total is rounded up, the training rows are
-    shared out proportionally and left-over ones go to the largest remainders."""
-    n = sum(sizes.values())
-    train = n - math.ceil(n * test_size)
-    exact = {c: train * size / n for c, size in sizes.items()}
-    share = {c: math.floor(x) for c, x in exact.items()}
-    left = train - sum(share.values())
-    for c in sorted(sizes, key=lambda c: (share[c] - exact[c], c))[:left]:
-        share[c] += 1
-    return {c: sizes[c] - share[c] for c in sizes}
+def test_quotas(counts: DataFrame, label: str, test_size: float) -> DataFrame:
+    """Test rows (``quota``) per class, from a stored table of ``class_counts``.
+
+    The test total is rounded up; the training rows are shared out proportionally and
+    left-over ones go to the largest remainders. All in whole numbers; the remainders are
+    ordered in one window over the class table, which has a row per class.
+    """
+    sized = counts.withColumn("_all", counts.agg(F.sum("n")).scalar())
+    sized = sized.withColumn("_train", F.col("_all") - F.ceil(F.col("_all") * F.lit(test_size)))
+    product = "cast(_train as decimal(19,0)) * cast(n as decimal(18,0))"
+    shared = sized.withColumns({"_share": F.expr(f"({product}) div _all"), "_rest": F.expr(f"({product}) % _all")})
+    every, by_rest = Window.partitionBy(), Window.orderBy(F.desc("_rest"), label)
+    left = F.col("_train") - F.sum("_share").over(every)
+    given = F.col("_share") + (F.row_number().over(by_rest) <= left).cast("long")
+    return shared.withColumn("quota", F.col("n") - given).select(label, "n", "quota")
 
 
 def assign_split(
@@ -58,47 +60,34 @@ def assign_split(
     seeded hash of ``key`` is ``test``, the rest ``train``. ``key`` is unique.
 
     The last test row of a class is found by counting hash bins and ordering
-    only the bin it falls in, so no task sees a whole class and no row is
-    shuffled to be labelled.
+    only the bin it falls in, so no task sees a whole class. Quotas, bins and
+    last rows are tables with a row per class; rows meet them in joins that
+    Spark broadcasts while those tables are small.
     """
-    quotas = test_quotas(class_sizes(df, label), test_size)
-    quota = _by_class(label, quotas)
+    columns = [c for c in df.columns if c != "split"]
+    counts = store(class_counts(df.where(F.col(label).isNotNull()), label), "classes")
+    quotas = store(test_quotas(counts, label, test_size).select(F.col(label).alias("_class"), "quota"), "quotas")
     hashed = df.withColumn("_h", hash60(F.col(key), seed)).withColumn("_bin", hash_bin(F.col("_h"), _BIN_BITS))
+    own = F.col(label) == F.col("_class")
     in_order = Window.partitionBy(label).orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
-    # one row per class, and class_sizes has bounded their number
-    last_bin = (
+    cuts = (
         hashed.groupBy(label, "_bin")
         .agg(F.count(F.lit(1)).alias("n"))
         .withColumn("through", F.sum("n").over(in_order))
-        .where((F.col("through") >= quota) & (F.col("through") - F.col("n") < quota))
-        .select(label, "_bin", (quota - F.col("through") + F.col("n")).alias("place"))
-        .collect()
+        .join(quotas, own)
+        .where("through >= quota and through - n < quota")
+        .select("_class", F.col("_bin").alias("_cut"), (F.col("quota") - F.col("through") + F.col("n")).alias("place"))
     )
-    if not last_bin:
-        return df.withColumn("split", F.lit("train"))
-    place = {r[label]: r.place for r in last_bin}
-    by_hash = Window.partitionBy(label).orderBy("_h", key)
-    last_row = (
-        hashed.where(F.col("_bin") == _by_class(label, {r[label]: r["_bin"] for r in last_bin}))
-        .select(label, "_h", key)
+    by_hash = Window.partitionBy("_class").orderBy("_h", key)
+    last = (
+        hashed.join(store(cuts, "cuts"), own & (F.col("_bin") == F.col("_cut")))
         .withColumn("row", F.row_number().over(by_hash))
-        .where(F.col("row") == _by_class(label, place))
-        .collect()
+        .where("row = place")
+        .select("_class", F.col("_h").alias("_last"), F.col(key).alias("_last_key"))
     )
-    last_hash = _by_class(label, {r[label]: r["_h"] for r in last_row})
-    last_key = _by_class(label, {r[label]: r[key] for r in last_row})
-    own = F.col("_h")
-    is_test = (own < last_hash) | ((own == last_hash) & (F.col(key) <= last_key))
-    return hashed.withColumn("split", F.when(is_test, "test").otherwise("train")).drop("_h", "_bin")
-
-
-def _by_class(label: str, values: dict) -> Column:
-    """The constant of each row's class; NULL for classes not listed."""
-    (first, value), *rest = values.items()
-    chosen = F.when(F.col(label) == first, F.lit(value))
-    for other, value in rest:
-        chosen = chosen.when(F.col(label) == other, F.lit(value))
-    return chosen
+    is_test = (F.col("_h") < F.col("_last")) | ((F.col("_h") == F.col("_last")) & (F.col(key) <= F.col("_last_key")))
+    marked = hashed.join(store(last, "last-rows"), own, "left").withColumn("split", F.when(is_test, "test").otherwise("train"))
+    return marked.select(*columns, "split")
 
 
 def split_data(

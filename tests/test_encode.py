@@ -2,7 +2,7 @@ import math
 
 import pytest
 
-from creditgrain.operators.encode import OneHotModel, WoeModel, fit_numeric, woe_auto_columns, woe_table
+from creditgrain.operators.encode import OneHotModel, OneHotVectors, WoeModel, few_valued, fit_numeric, woe_auto_columns, woe_table
 from creditgrain.operators.features import customer_features
 from creditgrain.plans.preprocess import CreditPreprocessor, CreditPreprocessorModel, feature_columns
 from creditgrain.session import store
@@ -84,6 +84,27 @@ def test_one_hot(accounts, spark):
     assert {r.id: r.c_a for r in model.transform(other).collect()} == {1: 0, 2: 0, 3: 1}
 
 
+def test_one_hot_vectors_of_a_million_categories(spark):
+    df = spark.range(1_000_000).selectExpr("id", "concat('c', lpad(id, 7, '0')) as c", "if(id < 10, null, 'x') as few")
+    model = OneHotVectors.fit(df, ["c", "few"])
+    assert model.sizes == {"c": 1_000_000, "few": 1}
+    wrong = model.indexed(df).where("c_place <> id or (few_place is null) <> (id < 10)").count()
+    assert wrong == 0
+    rows = {r.id: r for r in model.transform(df.where("id in (0, 999999)").union(spark.sql("select 7L, 'unseen', 'x'"))).collect()}
+    assert rows[999_999].c_vector.size == 1_000_000 and rows[999_999].c_vector.indices.tolist() == [999_999]
+    assert rows[0].c_vector.indices.tolist() == [0] and rows[0].few_vector.indices.tolist() == []
+    assert rows[7].c_vector.indices.tolist() == [] and rows[7].few_vector.indices.tolist() == [0]
+
+
+@pytest.mark.parametrize("bits", [0, 3, 12])
+def test_few_valued_columns_are_found_whatever_hashes_meet(spark, bits):
+    df = spark.range(20_000).selectExpr(
+        "id as ids", "id % 49 as few", "id % 50 as many", "cast(null as bigint) as none", "if(id % 2 = 0, null, -9223372036854775807) as one", "cast(id % 7 as int) as small"
+    )
+    assert few_valued(df, df.columns, bits=bits) == {"few", "none", "one", "small"}
+    assert few_valued(df.limit(0), ["ids"]) == {"ids"} and few_valued(df, []) == set()
+
+
 def test_one_hot_with_many_categories(spark):
     many = spark.range(1200).selectExpr("id", "concat('c', id) as c")
     assert len(OneHotModel.fit(many, ["c"]).categories["c"]) == 1200

@@ -20,8 +20,25 @@ def labelled(spark, *sizes):
         ({0: 5}, 0.2, {0: 1}),
     ],
 )
-def test_quotas(sizes, test_size, test_rows):
-    assert sample.test_quotas(sizes, test_size) == test_rows
+def test_quotas(spark, sizes, test_size, test_rows):
+    counts = spark.createDataFrame(list(sizes.items()), "y int, n long")
+    assert {r.y: r.quota for r in sample.test_quotas(counts, "y", test_size).collect()} == test_rows
+
+
+def test_quotas_of_large_classes_are_whole_numbers(spark):
+    sizes = {0: 3 * 10**15 + 1, 1: 10**15, 2: 7}
+    counts = spark.createDataFrame(list(sizes.items()), "y int, n long")
+    got = {r.y: r.quota for r in sample.test_quotas(counts, "y", 0.25).collect()}
+    assert abs(sum(got.values()) - sum(sizes.values()) / 4) <= 1 and abs(got[0] - sizes[0] / 4) <= 1
+
+
+def test_a_hundred_thousand_classes(spark):
+    df = spark.range(300_000).selectExpr("id", "id % 100000 as y")
+    got = sample.assign_split(df, "y", "id", 0.4).groupBy("y").pivot("split", ["test", "train"]).count().fillna(0)
+    # 120,000 test rows: 1.2 a class, the left-over training rows go to the first classes
+    assert {(r.test, r.train, r["count"]) for r in got.groupBy("test", "train").count().collect()} == {(1, 2, 80_000), (2, 1, 20_000)}
+    weighted = sample.with_class_weight(df, "y")
+    assert weighted.count() == 300_000 and weighted.where("weight <> 1").count() == 0
 
 
 def test_split_is_exact_disjoint_and_repeatable(spark):
@@ -76,7 +93,7 @@ def test_class_weights(spark):
 
 def test_label_with_very_many_values(spark):
     df = spark.range(3000).selectExpr("id", "id % 1500 as y")
-    assert len(sample.class_sizes(df, "y")) == 1500
+    assert sample.class_counts(df, "y").count() == 1500
     assert {r.weight for r in sample.with_class_weight(df, "y").collect()} == {1.0}
     assert sample.oversample(df.where("id < 2999"), "y", "id").count() == 3000
 
