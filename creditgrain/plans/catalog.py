@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 from functools import lru_cache
 
@@ -21,13 +22,16 @@ from ..functions import (
 )
 from ..operators import metrics, profile, sample
 from ..operators.correlation import correlation_matrix, correlation_with
-from ..operators.encode import OneHotModel, WoeModel, fit_numeric, woe_auto_columns, woe_table
+from ..operators.encode import OneHotModel, OneHotVectors, WoeModel, fit_numeric, woe_auto_columns, woe_table
 from ..operators.features import FEATURES, customer_features, rfm_summary
+from ..operators.sketches import daily_sketches, period_distincts
+from ..operators.trees import tree_nodes, walked_probability
 from ..schema import ACCOUNT, LEAKAGE, TARGET, TRANSACTIONS
 from ..session import new_shared_path, store
 from ..sources import (
     load_splits,
     read_transactions,
+    read_with_rejects,
     save_splits,
     txns_from_events,
     txns_from_lines,
@@ -157,6 +161,33 @@ def json_transactions(spark, d):
     return _reread(spark, d, "json")
 
 
+@query
+def csv_rejects(spark, d):
+    """Problems of a CSV file in which some lines are cut short and some values are no numbers."""
+    txns = _raw(spark, d)
+    number = F.col("TransactionId").cast("long")
+    value = F.when(number % 50 == 1, F.lit("lots")).otherwise(F.col("Value"))
+    fields = [value if c == "Value" else F.col(c) for c in txns.columns]
+    whole = F.concat_ws(",", *[F.coalesce(c, F.lit("")) for c in fields])
+    path = new_shared_path(spark, "csv")
+    txns.select(F.when(number % 50 == 0, F.concat_ws(",", *fields[:3])).otherwise(whole).alias("line")).write.text(path)
+    rejects = read_with_rejects(spark, path, header=False)[1]
+    first = F.coalesce("TransactionId", F.split("line", ",")[0])
+    return rejects.select(first.alias("TransactionId"), "problems", "line")
+
+
+@query
+def json_rejects(spark, d):
+    """The same for JSON lines, some of which end too early."""
+    txns = _raw(spark, d)
+    text = F.to_json(F.struct(*txns.columns))
+    path = new_shared_path(spark, "json")
+    cut = F.when(F.col("TransactionId").cast("long") % 50 == 0, F.substring(text, 1, 40)).otherwise(text)
+    txns.select(cut.alias("line")).write.text(path)
+    rejects = read_with_rejects(spark, path, "json")[1]
+    return rejects.select("problems", F.length("line").alias("line_length")).groupBy("problems", "line_length").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query
 def distinct_accounts(spark, d):
     return lines(spark, d).select(ACCOUNT).distinct()
@@ -182,6 +213,13 @@ def account_distincts(spark, d):
     return features_of(lines(spark, d), *[c for c in FEATURES if c.startswith("Unique")])
 
 
+@query
+def account_distincts_of_period(spark, d):
+    """Distinct counts of three years from stored sketches of accounts and days."""
+    stored = store(daily_sketches(lines(spark, d)), "sketches")
+    return period_distincts(stored, dt.date(1995, 1, 1), dt.date(1997, 12, 31))
+
+
 @query
 def account_modes(spark, d):
     return features_of(lines(spark, d), *[c for c in FEATURES if c.startswith("MostFrequent")])
@@ -325,6 +363,13 @@ def one_hot_modes(spark, d):
     return OneHotModel.fit(features, MODES).transform(features)
 
 
+@query
+def one_hot_places(spark, d):
+    """Place of each category's 1 in its sparse vector."""
+    features = store(customer_features(lines(spark, d), columns=["Frequency", *MODES]), "modes")
+    return OneHotVectors.fit(features, MODES).indexed(features)
+
+
 @query
 def impute_median(spark, d):
     txns = events(spark, d).select(
@@ -507,7 +552,7 @@ def confusion_matrix(spark, d):
     return metrics.confusion_matrix(_judged(spark, d), TARGET)
 
 
-# --- models (no SQL equivalent) -------------------------------------------
+# --- models -------------------------------------------
 
 
 @lru_cache(maxsize=8)
@@ -519,24 +564,40 @@ def _fitted(spark: SparkSession, d: str) -> tuple[CreditModel, DataFrame]:
 def lr_scores(spark, d):
     model, inputs = _fitted(spark, d)
     test = inputs.where("split = 'test'")
-    return model.probabilities(test).select(ACCOUNT, TARGET, "p", "prediction")
+    return rounded(model.probabilities(test).select(ACCOUNT, TARGET, "p", "prediction"), 6)
 
 
-@query
-def gbt_scores(spark, d):
+@lru_cache(maxsize=8)
+def _boosted(spark: SparkSession, d: str) -> tuple[CreditModel, DataFrame]:
     model, inputs = _fitted(spark, d)
     classifier = train_model(
         inputs.where("split = 'train'"), model.preprocessor.outputs, "gradient_boosting"
     )
-    boosted = CreditModel(model.preprocessor, classifier)
+    return CreditModel(model.preprocessor, classifier), inputs
+
+
+@query
+def gbt_walk(spark, d):
+    """Whether the paths of the flattened trees give each test account the model's probability and class."""
+    boosted, inputs = _boosted(spark, d)
+    nodes = tree_nodes(spark, boosted.classifier.stages[-1])
+    scored = boosted.probabilities(inputs.where("split = 'test'"))
+    p = walked_probability(nodes, boosted.preprocessor.outputs)
+    same = (F.abs(p - F.col("p")) < 1e-12) & ((p > 0.5).cast("double") == F.col("prediction"))
+    return scored.select(ACCOUNT, same.alias("same"))
+
+
+@query
+def gbt_scores(spark, d):
+    boosted, inputs = _boosted(spark, d)
     return boosted.probabilities(inputs.where("split = 'test'")).select(ACCOUNT, TARGET, "p", "prediction")
 
 
 @query
 def lr_evaluation(spark, d):
     model, inputs = _fitted(spark, d)
-    scored = model.probabilities(inputs.where("split = 'test'"))
-    return metrics.roc_auc(scored, TARGET).withColumn("pr_auc", metrics.pr_auc(scored, TARGET).scalar())
+    scored = model.probabilities(inputs.where("split = 'test'")).withColumn("p", F.round("p", 9))
+    return rounded(metrics.roc_auc(scored, TARGET).withColumn("pr_auc", metrics.pr_auc(scored, TARGET).scalar()), 6)
 
 
 @query
@@ -549,6 +610,13 @@ def score_raw_records(spark, d):
     return score_records(_raw(spark, d), _fitted(spark, d)[0])
 
 
+@query
+def score_mixed_records(spark, d):
+    """A batch in which every third account has refused records."""
+    filled = F.when(F.col(ACCOUNT).cast("long") % 3 > 0, F.coalesce("CurrencyCode", F.lit("XXX"))).otherwise(F.col("CurrencyCode"))
+    return score_records(_raw(spark, d).withColumn("CurrencyCode", filled), _fitted(spark, d)[0])
+
+
 @query
 def score_stream_query(spark, d):
     source = spark.read.parquet(f"{d}/events.parquet")
@@ -563,6 +631,28 @@ def score_stream_query(spark, d):
     return spark.read.parquet(out).drop("batch")
 
 
+def _quarantined(spark, d):
+    source = spark.read.parquet(f"{d}/events.parquet")
+    stream = spark.readStream.schema(source.schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    kept = new_shared_path(spark, "quarantine")
+    out, state = new_shared_path(spark, "scores"), new_shared_path(spark, "stream")
+    score_stream(txns_from_events(stream), _fitted(spark, d)[0], out, state, quarantine_path=kept).awaitTermination()
+    return kept
+
+
+@query
+def stream_quarantine(spark, d):
+    """Refused records of a stream."""
+    return spark.read.parquet(f"{_quarantined(spark, d)}/records").select("TransactionId", "problems")
+
+
+@query
+def stream_counts(spark, d):
+    """Records, refused ones, accounts and errors of the batches of a stream."""
+    counts = spark.read.parquet(f"{_quarantined(spark, d)}/counts")
+    return counts.agg(*[F.sum(c).alias(c) for c in ("records", "refused", "accounts", "errors")])
+
+
 @query
 def model_roundtrip(spark, d):
     model, inputs = _fitted(spark, d)
@@ -585,11 +675,10 @@ def lr_optimality(spark, d):
     names = model.preprocessor.outputs
     train = inputs.where("split = 'train'").select(ACCOUNT, TARGET, *names)
     scored = model.probabilities(sample.oversample(train, TARGET, ACCOUNT))
-    fitted = model.classifier.stages[-1]
     error = F.col("p") - F.col(TARGET)
     gradient = [
         (F.avg(error * F.col(name)) + F.lit(float(weight)) / F.count(F.lit(1))).alias(name)
-        for name, weight in zip(names, fitted.coefficients, strict=True)
+        for name, weight in zip(names, model.classifier.coefficients, strict=True)
     ]
     sums = scored.agg(*gradient, F.avg(error).alias("intercept"))
     lines_ = [F.struct(F.lit(c).alias("feature"), F.round(F.abs(F.col(c)), 3).alias("gradient")) for c in sums.columns]

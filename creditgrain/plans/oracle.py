@@ -55,10 +55,11 @@ def with_(parts: dict[str, str], final: str) -> str:
     return "with " + ",\n".join(f"{n} as materialized ({q})" for n, q in parts.items()) + "\n" + final
 
 
-def feature_parts(txns: str, now: str = "(select max(TransactionStartTime) from t)", amount: str = "Value") -> dict[str, str]:
-    """Table expressions ending in ``f``, the unrounded account features."""
-    parts = {"t": txns}
-    parts["m"] = f"""
+def feature_parts(txns: str, now: str | None = None, amount: str = "Value", prefix: str = "") -> dict[str, str]:
+    """Table expressions ending in ``f``, the unrounded account features; their names begin with ``prefix``."""
+    t, now = f"{prefix}t", now or f"(select max(TransactionStartTime) from {prefix}t)"
+    parts = {t: txns}
+    parts[f"{prefix}m"] = f"""
 select AccountId, max(TransactionStartTime) as last_time,
   cast(floor(date_diff('microsecond', max(TransactionStartTime), {now}) / 86400000000) as bigint) as Recency,
   count(TransactionId) as Frequency, coalesce(sum(Value),0) as Monetary,
@@ -73,15 +74,15 @@ select AccountId, max(TransactionStartTime) as last_time,
   avg(year(TransactionStartTime)) as AvgTransactionYear,
   cast(min(hour(TransactionStartTime)) as int) as MinTransactionHour,
   cast(max(hour(TransactionStartTime)) as int) as MaxTransactionHour
-from t where AccountId is not null group by AccountId"""
+from {t} where AccountId is not null group by AccountId"""
     joins = ""
     for column, _, mode in ATTRIBUTES:
-        parts[f"mode_{column}"] = f"""
+        parts[f"{prefix}mode_{column}"] = f"""
 select AccountId, {column} as {mode} from (
   select AccountId, {column}, row_number() over (partition by AccountId order by count(*) desc, {column}) as place
-  from t where {column} is not null group by AccountId, {column}) where place = 1"""
-        joins += f" left join mode_{column} using (AccountId)"
-    parts["f"] = f"select AccountId, {', '.join(FEATURES)} from m{joins}"
+  from {t} where {column} is not null group by AccountId, {column}) where place = 1"""
+        joins += f" left join {prefix}mode_{column} using (AccountId)"
+    parts[f"{prefix}f"] = f"select AccountId, {', '.join(FEATURES)} from {prefix}m{joins}"
     return parts
 
 
@@ -162,9 +163,13 @@ def numeric_stats_parts(source: str, columns) -> dict[str, str]:
     }
 
 
-def scaled(column: str) -> str:
+def scaled_exactly(column: str) -> str:
     one = "(select {} from stats where \"column\" = '" + column + "')"
-    return f"round(3e-7+(coalesce({column}, {one.format('med')}) - {one.format('mean')}) / {one.format('std')}, 4)"
+    return f"(coalesce({column}, {one.format('med')}) - {one.format('mean')}) / {one.format('std')}"
+
+
+def scaled(column: str) -> str:
+    return f"round(3e-7+{scaled_exactly(column)}, 4)"
 
 
 def woe_parts(source: str, columns=MODES) -> dict[str, str]:
@@ -183,11 +188,13 @@ from cats group by feature, category""",
     }
 
 
+def weight_exactly(column: str) -> str:
+    category = f"coalesce(cast(x.{column} as varchar), '{MISSING}')"
+    return f"coalesce((select woe from woe where feature = '{column}' and category = {category}), 0)"
+
+
 def weight(column: str, digits: int = 6) -> str:
-    return (
-        f"round(3e-{digits + 3}+coalesce((select woe from woe where feature = '{column}' "
-        f"and category = coalesce(cast(x.{column} as varchar), '{MISSING}')), 0), {digits})"
-    )
+    return f"round(3e-{digits + 3}+{weight_exactly(column)}, {digits})"
 
 
 SCORE = f"""case when p < 1 then cast(round_even(600 - 20 * ln(
@@ -202,6 +209,59 @@ def terms(position: int) -> str:
     return f"case when credit_score is null then null {whens} else {text(DECLINED[position - 1])} end"
 
 
+NEWTON_STEPS = 10
+#: The inputs of a row of account features ``x`` as a list, with a 1 for the intercept.
+MODEL_INPUTS = (
+    "[" + ", ".join(f"cast({v} as double)" for v in [*map(scaled_exactly, MODEL_NUMERIC), *map(weight_exactly, MODES), "1.0"]) + "]"
+)
+
+
+def logit_parts() -> dict[str, str]:
+    """Table expressions from ``f`` to ``beta``, the coefficients of the penalised logistic
+    regression on the oversampled training rows, by Newton's method.
+
+    ``inputs`` has the model inputs of all accounts with a 1 for the intercept. In each step
+    the Hessian's rows, each with its gradient, are eliminated one after the other in a
+    recursive query; the last number of each row is then the step.
+    """
+    d = len(MODEL_NUMERIC) + len(MODES)
+    parts = {
+        **split_parts(),
+        "train": "select * from s where split = 'train'",
+        **numeric_stats_parts("train", MODEL_NUMERIC),
+        **woe_parts("train"),
+        "inputs": f"select AccountId, HasFraud, split, {MODEL_INPUTS} as v from s x",
+        "fit_rows": "select AccountId, HasFraud, v from inputs where split = 'train'",
+        "fit_sizes": "select HasFraud, count(*) as c from fit_rows group by HasFraud",
+        "fit_pool": f"""select v, HasFraud, row_number() over (order by {hash_sql('AccountId')}, AccountId) - 1 as row_
+  from fit_rows where HasFraud = (select HasFraud from fit_sizes order by c, HasFraud limit 1)""",
+        "fit_draws": f"""select {hash_sql('i')} % (select min(c) from fit_sizes) as row_
+  from (select unnest(range((select max(c) - min(c) from fit_sizes))) as i)""",
+        "fit": "select v, HasFraud as y from fit_rows union all select v, HasFraud from fit_draws join fit_pool using (row_)",
+        "beta0": f"select list_transform(range({d + 1}), lambda i: cast(0 as double)) as b",
+    }
+    for k in range(NEWTON_STEPS):
+        parts[f"fitted{k}"] = f"select v, y, 1 / (1 + exp(-list_dot_product(v, b))) as p from fit, beta{k}"
+        parts[f"hessian{k}"] = f"""
+select i, list(v + case when i = j and i <= {d} then 1 else 0 end order by j) as h from (
+  select i, j, sum(p * (1 - p) * v[i] * v[j]) as v from fitted{k}, range(1, {d + 2}) r(i), range(1, {d + 2}) c(j) group by i, j) group by i"""
+        parts[f"slope{k}"] = f"select i, sum((p - y) * v[i]) as g from fitted{k}, range(1, {d + 2}) r(i) group by i"
+        parts[f"solved{k}"] = f"""
+select 1 as turn, i, list_append(h, -(g + case when i <= {d} then b[i] else 0 end)) as h from hessian{k} join slope{k} using (i), beta{k}
+union all
+select turn + 1, i, case when i = turn then list_transform(h, lambda x: x / h[turn])
+  else list_transform(list_zip(h, top), lambda z: z[1] - z[2] * (h[turn] / top[turn])) end
+from (select *, max(case when i = turn then h end) over () as top from solved{k}) where turn <= {d + 1}"""
+        parts[f"beta{k + 1}"] = f"select list(b[i] + h[{d + 2}] order by i) as b from solved{k}, beta{k} where turn = {d + 2}"
+    parts["beta"] = f"select b from beta{NEWTON_STEPS}"
+    parts["test"] = "select AccountId, HasFraud, 1 / (1 + exp(-list_dot_product(v, b))) as p from inputs, beta where split = 'test'"
+    return parts
+
+
+def with_recursive(parts: dict[str, str], final: str) -> str:
+    return "with recursive " + ",\n".join(f"{n} as materialized ({q})" if "solved" not in n else f"{n} as ({q})" for n, q in parts.items()) + "\n" + final
+
+
 FRAUD_RATE = "select AccountId, TotalFraudTransactions / Frequency as p from f"
 SCORED = {"r": FRAUD_RATE, "k": f"select AccountId, p, {SCORE} as credit_score from r"}
 TERMS = (
@@ -248,6 +308,16 @@ _TXN = ", ".join(f"round(3e-7+{c},4) as {c}" if c in ("Amount", "Value") else c
 ORACLE["txn_validate_accepted"] = f"select {_TXN} from ({EVENTS}) where CurrencyCode is not null"
 ORACLE["csv_transactions"] = f"select {_TXN} from ({EVENTS})"
 ORACLE["json_transactions"] = ORACLE["csv_transactions"]
+ORACLE["csv_rejects"] = f"""
+select cast(TransactionId as varchar) as TransactionId, case when TransactionId % 50 = 0 then 'line: broken'
+  else concat_ws(', ', case when CurrencyCode is null then 'CurrencyCode: missing' end,
+    case when TransactionId % 50 = 1 then 'Value: invalid' end) end as problems,
+  case when TransactionId % 50 = 0 then concat_ws(',', TransactionId, BatchId, AccountId) end as line
+from ({EVENTS}) where TransactionId % 50 in (0, 1) or CurrencyCode is null"""
+ORACLE["json_rejects"] = f"""
+select case when TransactionId % 50 = 0 then 'line: broken' else 'CurrencyCode: missing' end as problems,
+  cast(case when TransactionId % 50 = 0 then 40 end as int) as line_length, count(*) as n
+from ({EVENTS}) where TransactionId % 50 = 0 or CurrencyCode is null group by all"""
 ORACLE["distinct_accounts"] = f"select distinct AccountId from ({LINES})"
 
 ORACLE["account_rfm"] = features_sql(LINES, ["Recency", "Frequency", "Monetary", "HasFraud"])
@@ -255,6 +325,10 @@ ORACLE["account_spend_stats"] = features_sql(
     LINES, ["AvgAmount", "MaxValue", "MinAmount", "StdAmount", "TotalFraudTransactions"]
 )
 ORACLE["account_distincts"] = features_sql(LINES, [c for c in FEATURES if c.startswith("Unique")])
+ORACLE["account_distincts_of_period"] = features_sql(
+    f"select * from ({LINES}) where cast(TransactionStartTime as date) between '1995-01-01' and '1997-12-31'",
+    [c for c in FEATURES if c.startswith("Unique")],
+)
 ORACLE["account_modes"] = features_sql(LINES, [c for c in FEATURES if c.startswith("MostFrequent")])
 ORACLE["account_time_stats"] = features_sql(
     EVENTS, [c for c in FEATURES if "Transaction" in c and c != "TotalFraudTransactions"]
@@ -378,6 +452,10 @@ _DUMMIES = ", ".join(
     f"cast({c} = '{v}' as int) as \"{c}_{v}\"" for c, values in CATEGORIES.items() for v in values
 )
 ORACLE["one_hot_modes"] = with_(feature_parts(LINES), f"select AccountId, Frequency, {_DUMMIES} from f")
+_PLACES = ", ".join(
+    f"(select count(distinct {c}) from f) - (select count(distinct {c}) from f y where y.{c} >= x.{c}) as {c}_place" for c in MODES
+)
+ORACLE["one_hot_places"] = with_(feature_parts(LINES), f"select AccountId, Frequency, {_PLACES} from f x")
 ORACLE["impute_median"] = with_(
     {
         "t": EVENTS,
@@ -521,3 +599,59 @@ ORACLE["confusion_matrix"] = with_(
         for a in (0, 1)
     ),
 )
+
+# --- models ---------------------------------------------------------------
+
+_FITTED = logit_parts()
+ORACLE["lr_scores"] = with_recursive(
+    _FITTED, "select AccountId, HasFraud, round(3e-9+p,6) as p, cast(p > 0.5 as double) as prediction from test"
+)
+_CURVE = {
+    "g": "select round(p, 9) as p, sum(HasFraud) as pos, count(*) - sum(HasFraud) as neg from test group by 1",
+    "c": JUDGED["c"],
+    "e": """select p, tp/(tp+fp) as prec, tp/all_pos as rec from c
+  union all select cast('infinity' as double), 1.0, 0.0""",
+    "w": "select prec, rec, lag(prec) over (order by p desc) as prec_, lag(rec) over (order by p desc) as rec_ from e",
+}
+ORACLE["lr_evaluation"] = with_recursive(
+    {**_FITTED, **_CURVE},
+    """select round(3e-9+(select sum(neg * (tp - pos + pos / 2)) / (max(all_pos) * max(all_neg)) from c), 6) as roc_auc,
+  round(3e-9+(select sum((rec - rec_) * (prec + prec_) / 2) from w where rec_ is not null), 6) as pr_auc""",
+)
+
+
+def scored_sql(features: str) -> str:
+    """Responses for the account features in the table ``features``."""
+    return f"""
+select AccountId, round_even(p, 4) as risk_probability, credit_score, {TERMS}, 'Prediction successful.' as message, 'ok' as status
+from (select AccountId, p, {SCORE} as credit_score from (
+  select AccountId, 1 / (1 + exp(-list_dot_product({MODEL_INPUTS}, b))) as p from {features} x, beta))"""
+
+
+# serving counts recency from the account's own latest transaction
+ORACLE["score_transactions"] = with_recursive({**_FITTED, "own": "select * replace (0 as Recency) from f"}, scored_sql("own"))
+
+
+def batch_sql(records: str) -> str:
+    """Responses for a batch of records, accounts with refused ones among them."""
+    parts = {
+        **_FITTED,
+        "records": records,
+        "refused": "select distinct AccountId from records where CurrencyCode is null",
+        **feature_parts("select * from records where CurrencyCode is not null", now="max(TransactionStartTime)", prefix="e_"),
+        "accepted": "select * from e_f where AccountId not in (select AccountId from refused)",
+    }
+    refused = "select AccountId, null, null, null, null, null, 'record refused: CurrencyCode: missing', 'error' from refused"
+    return with_recursive(parts, f"{scored_sql('accepted')} union all {refused}")
+
+
+ORACLE["score_raw_records"] = batch_sql(EVENTS)
+ORACLE["score_mixed_records"] = batch_sql(
+    f"select * replace (case when AccountId % 3 > 0 then coalesce(CurrencyCode, 'XXX') else CurrencyCode end as CurrencyCode) from ({EVENTS})"
+)
+ORACLE["score_stream"] = ORACLE["score_raw_records"]
+ORACLE["gbt_walk"] = ORACLE["model_roundtrip"]
+ORACLE["stream_quarantine"] = f"select TransactionId, 'CurrencyCode: missing' as problems from ({EVENTS}) where CurrencyCode is null"
+ORACLE["stream_counts"] = f"""
+select count(*) as records, count(*) filter (where CurrencyCode is null) as refused, count(distinct AccountId) as accounts,
+  count(distinct case when CurrencyCode is null then AccountId end) as errors from ({EVENTS})"""

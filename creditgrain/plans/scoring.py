@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -53,26 +53,58 @@ def feature_mismatch(df: DataFrame, expected: Sequence[str]) -> str | None:
     return f"feature mismatch: missing {', '.join(missing)}" if missing else None
 
 
+MISMATCH = ("raise", "status")
+
+
+def refused_rows(accounts: DataFrame, message: Column) -> DataFrame:
+    """A response with status ``error`` and nothing but the message for each account."""
+    kinds = {
+        "risk_probability": "double",
+        "credit_score": "int",
+        "recommended_loan_amount": "double",
+        "recommended_loan_duration": "string",
+        "interest_rate_tier": "string",
+    }
+    return accounts.select(
+        *[F.col(ACCOUNT) if c == ACCOUNT else message.alias(c) if c == "message" else F.lit(None).cast(kinds[c]).alias(c) for c in RESPONSE],
+        F.lit("error").alias("status"),
+    )
+
+
+def _mismatch(problem: str, accounts: DataFrame, on_mismatch: str) -> DataFrame:
+    if on_mismatch not in MISMATCH:
+        raise ValueError(f"on_mismatch must be one of {', '.join(MISMATCH)}, not {on_mismatch!r}")
+    if on_mismatch == "raise":
+        raise ValueError(problem)
+    return refused_rows(accounts, F.lit(problem))
+
+
 def score_features(
     inputs: DataFrame,
     model: CreditModel,
     scaler: Sequence[NumericStats] = (),
     clamp: bool = False,
+    on_mismatch: str = "raise",
 ) -> DataFrame:
     """Score preprocessed inputs, every row of them.
 
     ``scaler`` standardises the inputs once more; they already are standardised,
-    so there is none by default.
+    so there is none by default. Inputs that the model doesn't fit raise, or with
+    ``on_mismatch="status"`` give a response with status ``error`` for each row.
     """
     mismatch = feature_mismatch(inputs, model.preprocessor.outputs)
     if mismatch:
-        raise ValueError(mismatch)
+        return _mismatch(mismatch, inputs, on_mismatch)
     scaled = inputs.withColumns({s.feature: s.standardized(F.col(s.feature)) for s in scaler}) if scaler else inputs
     return score_and_terms(model.probabilities(scaled), clamp=clamp)
 
 
 def score_transactions(
-    txns: DataFrame, model: CreditModel, reference_time: ReferenceTime = "account", clamp: bool = False
+    txns: DataFrame,
+    model: CreditModel,
+    reference_time: ReferenceTime = "account",
+    clamp: bool = False,
+    on_mismatch: str = "raise",
 ) -> DataFrame:
     """One scored row per account from its transactions.
 
@@ -81,6 +113,9 @@ def score_transactions(
     gives the rule used in training.
     """
     features = customer_features(txns, reference_time).drop(TARGET, LEAKAGE)
+    missing = model.preprocessor.missing_columns(features)
+    if missing:
+        return _mismatch(f"feature mismatch: missing {', '.join(missing)}", features, on_mismatch)
     scored = score_features(model.preprocessor.transform(features), model, clamp=clamp)
     return scored.select(*RESPONSE, "status")
 
@@ -91,6 +126,7 @@ def score_records(
     reference_time: ReferenceTime = "account",
     clamp: bool = False,
     schema: StructType = TRANSACTIONS,
+    on_mismatch: str = "raise",
 ) -> DataFrame:
     """Score raw records. An account with refused records gets ``status = 'error'``
     and the first problem as its message; all other accounts are scored.
@@ -104,16 +140,6 @@ def score_records(
         .agg(F.min("problems").alias("_problems"))
     )
     # left out after the aggregation, so that no join moves transactions
-    scored = score_transactions(valid, model, reference_time, clamp).join(bad, ACCOUNT, "left_anti")
-    failed = bad.select(
-        *[
-            F.col(ACCOUNT)
-            if c == ACCOUNT
-            else F.concat(F.lit("record refused: "), "_problems").alias(c)
-            if c == "message"
-            else F.lit(None).cast(scored.schema[c].dataType).alias(c)
-            for c in RESPONSE
-        ],
-        F.lit("error").alias("status"),
-    )
+    scored = score_transactions(valid, model, reference_time, clamp, on_mismatch).join(bad, ACCOUNT, "left_anti")
+    failed = refused_rows(bad, F.concat(F.lit("record refused: "), "_problems"))
     return scored.unionByName(failed)

@@ -1,6 +1,6 @@
 from .adapters import txns_from_events, txns_from_lines
 from .splits import load_splits, save_splits
-from .transactions import conform, from_records, parse_times, read_transactions
+from .transactions import conform, from_records, parse_times, read_transactions, read_with_rejects
 from .validation import validate_transactions
 
 __all__ = [
@@ -9,6 +9,7 @@ __all__ = [
     "load_splits",
     "parse_times",
     "read_transactions",
+    "read_with_rejects",
     "save_splits",
     "txns_from_events",
     "txns_from_lines",

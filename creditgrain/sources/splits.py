@@ -5,13 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .versions import current_version, new_version, publish
+
 
 def save_splits(df: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Write a table that has a ``split`` column, one folder per set."""
-    writer = df.write.partitionBy("split").mode("overwrite")
+    """Write a table that has a ``split`` column, one folder per set, and publish it.
+
+    Readers see the sets of the write before until both new ones are there.
+    """
+    version = new_version(path)
+    writer = df.write.partitionBy("split")
     if fmt == "csv":
         writer = writer.option("header", True)
-    writer.format(fmt).save(path)
+    writer.format(fmt).save(version)
+    publish(df.sparkSession, path, version)
 
 
 def load_splits(
@@ -27,7 +34,7 @@ def load_splits(
         reader = reader.schema(schema)
     if fmt == "csv":
         reader = reader.option("header", True)
-    both = reader.format(fmt).load(path)
+    both = reader.format(fmt).load(current_version(spark, path))
     if target not in both.columns:
         raise ValueError(f"target column {target} is not in {path}")
     return tuple(both.where(F.col("split") == name).drop("split") for name in ("train", "test"))

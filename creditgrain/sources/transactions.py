@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schema import TRANSACTIONS
+from ..session import store
 
 
 def read_transactions(
@@ -28,6 +29,33 @@ def read_transactions(
     return conform(parse_times(reader.format(fmt).load(path)), schema)
 
 
+def read_with_rejects(
+    spark: SparkSession, path: str, fmt: str = "csv", schema: T.StructType = TRANSACTIONS, header: bool = True
+) -> tuple[DataFrame, DataFrame]:
+    """Transactions from CSV or JSON lines, and the records that are none.
+
+    The rejects have the text of every column, ``problems`` as in ``validate_transactions``
+    and ``line``. A line that can't be taken apart (too few or too many fields, broken JSON)
+    is kept whole in ``line`` with the problem ``line: broken``; in other rejects ``line`` is
+    NULL. Nothing raises but a missing path or a header with other names.
+    """
+    from .validation import validate_transactions
+
+    names = schema.names
+    broken = "_broken_line"
+    text = T.StructType([T.StructField(name, T.StringType()) for name in [*names, broken]])
+    reader = spark.read.schema(text).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", broken)
+    if fmt == "csv":
+        reader = reader.option("header", header).option("enforceSchema", not header)
+    # Stored as parsed: both results read it, and Spark refuses to read broken lines alone.
+    raw = store(reader.format(fmt).load(path), "raw-lines")
+    whole = raw.where(F.col(broken).isNull()).select(*names)
+    valid, rejects = validate_transactions(whole, schema)
+    none = [F.when(F.col(broken).isNull(), F.col(name)).alias(name) for name in names]
+    lines = raw.where(F.col(broken).isNotNull()).select(*none, F.lit("line: broken").alias("problems"), F.col(broken).alias("line"))
+    return valid, rejects.withColumn("line", F.lit(None).cast("string")).unionByName(lines)
+
+
 def _text_time(schema: T.StructType) -> T.StructType:
     return T.StructType(
         [

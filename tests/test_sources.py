@@ -1,4 +1,5 @@
 import datetime as dt
+import json
 
 import pytest
 from records import records
@@ -12,8 +13,10 @@ from creditgrain.sources import (
     load_splits,
     parse_times,
     read_transactions,
+    read_with_rejects,
     save_splits,
     validate_transactions,
+    versions,
 )
 
 
@@ -116,3 +119,59 @@ def test_splits_round_trip(spark, tmp_path, fmt):
     assert [(r.y, r.x) for r in test.collect()] == [(1, 2.5)]
     with pytest.raises(ValueError, match="target column z"):
         load_splits(spark, str(tmp_path / "s"), "z", df.schema if fmt == "csv" else None, fmt)
+
+
+def test_failed_write_leaves_the_sets_before(spark, tmp_path):
+    path = str(tmp_path / "sets")
+    rows = spark.range(1000).selectExpr("id", "id % 2 as y", "if(id % 5 = 0, 'test', 'train') as split")
+    save_splits(rows, path)
+    # the last partition's task fails when others have written
+    failing = rows.repartition(4).withColumn("id", F.when(F.col("id") == 777, F.raise_error("broken row").cast("long")).otherwise(F.col("id")))
+    with pytest.raises(Exception, match="broken row"):
+        save_splits(failing, path)
+    train, test = load_splits(spark, path, "y")
+    assert (train.count(), test.count()) == (800, 200)
+    save_splits(rows.where("id < 10"), path)
+    train, test = load_splits(spark, path, "y")
+    assert (train.count(), test.count()) == (8, 2)
+
+
+def test_versions(spark, tmp_path):
+    path = str(tmp_path / "v")
+    assert versions.current_version(spark, path) == path
+    names = []
+    for k in range(4):
+        names.append(versions.new_version(path))
+        spark.range(k + 1).write.parquet(names[-1])
+        assert versions.publish(spark, path, names[-1]) == k + 1
+    (tmp_path / "v" / "_manifests" / "000000000005").write_text("version-unfin")  # a writer that died in the manifest
+    assert versions.current_version(spark, path) == names[-1]
+    versions.drop_old_versions(spark, path, keep=2)
+    assert sorted(p.name for p in (tmp_path / "v").glob("version-*")) == sorted(n.rsplit("/", 1)[1] for n in names[2:])
+    assert spark.read.parquet(versions.current_version(spark, path)).count() == 4
+
+
+def test_rejects_of_broken_files(spark, tmp_path):
+    good = records()[0]
+    names = list(good)
+    lines = [
+        ",".join(names),
+        ",".join(str(good[n]) for n in names),
+        "1,2",
+        ",".join("" if n == "Value" else str(good[n]) for n in names),
+        ",".join(str(good[n]) for n in names) + ",more",
+        ",".join("soon" if n == "TransactionStartTime" else str(good[n]) for n in names),
+    ]
+    (tmp_path / "x.csv").write_text("\n".join(lines) + "\n")
+    valid, rejects = read_with_rejects(spark, str(tmp_path / "x.csv"))
+    assert [(f.name, f.dataType.simpleString()) for f in valid.schema] == TRANSACTIONS_DTYPES and valid.count() == 1
+    got = sorted((r.problems, r.line or "") for r in rejects.collect())
+    assert got == [("TransactionStartTime: invalid", ""), ("Value: missing", ""), ("line: broken", lines[4]), ("line: broken", "1,2")]
+    (tmp_path / "x.json").write_text("\n".join([json.dumps(good), "{\"TransactionId\": 5", "[]x", json.dumps(good | {"Value": "lots"})]) + "\n")
+    valid, rejects = read_with_rejects(spark, str(tmp_path / "x.json"), "json")
+    assert valid.count() == 1
+    assert sorted((r.problems, r.line or "") for r in rejects.collect()) == [
+        ("Value: invalid", ""), ("line: broken", "[]x"), ("line: broken", "{\"TransactionId\": 5"),
+    ]
+    (tmp_path / "empty.json").write_text("")
+    assert [t.count() for t in read_with_rejects(spark, str(tmp_path / "empty.json"), "json")] == [0, 0]
