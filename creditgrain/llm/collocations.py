@@ -44,6 +44,7 @@ TOP = 2000
 UNKNOWN = "und"
 BLOCK = 1 << 21  # bytes of text in a block
 CELL_BITS = 40
+HELD = 1 << 20
 LEAST_BITS, MAX_BITS = 20, 30  # log2 of the filter's size, 128 MB at most
 BITS_EACH = 16
 RANKED = 100_000  # candidates ranked by one task at first
@@ -201,21 +202,35 @@ def _counted_cells(salt: int):
     return run
 
 
+def summed(left: np.ndarray, right: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each different (left, right) once, with the sum of its counts."""
+    order = np.lexsort((right, left))
+    left, right = left[order], right[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (left[1:] != left[:-1]) | (right[1:] != right[:-1])
+    at = np.flatnonzero(new)
+    return left[at], right[at], np.add.reduceat(n[order], at) if len(at) else n
+
+
 def _counted_pairs(shared, salt: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Counts of the task's blocks together, a line for each pair; beyond ``HELD`` lines what there is."""
+
+        def line(left: np.ndarray, right: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            key = joined_key(left, right, salt)
+            return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (left, right, key)] + [pa.array(n)], ["left", "right", "key", "n"])
+
+        none = np.zeros(0, np.uint64)
+        held = (none, none, np.zeros(0, np.int64))
         for position, keys, which in records(batches):
             _, left, right, number = pairs(position, keys, which)
-            key = joined_key(left, right, salt)
-            good = np.flatnonzero(shared.value.holds(key >> np.uint64(64 - CELL_BITS)))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(left[good].view(np.int64)),
-                    pa.array(right[good].view(np.int64)),
-                    pa.array(key[good].view(np.int64)),
-                    pa.array(np.bincount(number, minlength=len(left))[good]),
-                ],
-                ["left", "right", "key", "n"],
-            )
+            good = np.flatnonzero(shared.value.holds(joined_key(left, right, salt) >> np.uint64(64 - CELL_BITS)))
+            found = (left[good], right[good], np.bincount(number, minlength=len(left))[good])
+            held = summed(*[np.concatenate(x) for x in zip(held, found, strict=True)])
+            if len(held[0]) > HELD:
+                yield line(*held)
+                held = (none, none, np.zeros(0, np.int64))
+        yield line(*held)
 
     return run
 
