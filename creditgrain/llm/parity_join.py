@@ -37,12 +37,12 @@ from pyspark.sql import functions as F
 from creditgrain.session import discard, store
 
 from .bloom import bloom_of, may_hold
-from .common import column, fresh, mix, numbered, numbered_texts, shingle_sets, table, text_blocks
+from .common import column, fresh, mix, numbered, numbered_texts, release, shingle_sets, table, text_blocks
 
 WORDS = 5
-LEAST_PLACES, MOST_PLACES = 19, 22  # log2 of the table of part frequencies, by the size of the input
+PLACES = 19  # log2 of the table of part frequencies: a larger one costs each task more lines
 LEAST_PARTS = 1024
-STARS = 3
+STARS = 2
 PROBE = 8  # words of 64 bits of each sketch that a join compares
 LEADING = 20  # bits dropped from a key to see whether it is repeated
 
@@ -110,7 +110,7 @@ def _sets(texts: list[bytes]) -> Iterator[np.ndarray]:
         yield flat[end - size : end]
 
 
-def _frequencies(salt: int, places: int):
+def _frequencies(salt: int, places: int = PLACES):
     """Counts of part keys by place; place -1 counts documents with too few filled parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,7 +132,7 @@ def _frequencies(salt: int, places: int):
     return run
 
 
-def _nodes(shared, salt: int, places: int):
+def _nodes(shared, salt: int, places: int = PLACES):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = shared.value
         for batch, texts in text_blocks(batches):
@@ -165,6 +165,7 @@ def _nodes(shared, salt: int, places: int):
                 ],
                 ["doc_id", "row", "size", "node", "sketch", "probe", "keys"],
             )
+        release()
 
     return run
 
@@ -198,6 +199,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         others = batch.column("text_b").cast(pa.binary()).to_pylist()
         good = [k for k, (x, y) in enumerate(zip(_sets(texts), _sets(others), strict=True)) if linked(x, y)]
         yield batch.select(["a", "b"]).take(pa.array(good, pa.int64()))
+    release()
 
 
 def _picked(shared):
@@ -257,12 +259,10 @@ class _Join:
     def __init__(self, rows: DataFrame, first_salt: int = 0):
         self.rows = rows
         self.context = rows.sparkSession.sparkContext
-        size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-        places = min(MOST_PLACES, max(LEAST_PLACES, (size >> 9).bit_length()))
-        often, salt = self.frequencies(first_salt, places)
+        often, salt = self.frequencies(first_salt)
         sets = store(
             rows.mapInArrow(
-                _nodes(self.context.broadcast(often), salt, places),
+                _nodes(self.context.broadcast(often), salt),
                 "doc_id long, row long, size long, node long, sketch binary, probe array<long>, keys array<long>",
             ),
             "sets",
@@ -291,15 +291,15 @@ class _Join:
         self.sets = store(sets.select("doc_id", "row", "size", "node"), "documents")
         discard(sets)
 
-    def frequencies(self, salt: int, places: int) -> tuple[np.ndarray, int]:
+    def frequencies(self, salt: int) -> tuple[np.ndarray, int]:
         """Counts by place, and a salt for which every document has more filled parts than may differ."""
         while True:
             sums = (
-                self.rows.select("text").mapInArrow(_frequencies(salt, places), "place int, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
-            )  # at most 2**MOST_PLACES rows
+                self.rows.select("text").mapInArrow(_frequencies(salt), "place int, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
+            )  # at most 2**PLACES rows
             place, n = sums["place"].to_numpy(), sums["n"].to_numpy()
             if not n[place < 0].sum():
-                out = np.zeros(1 << places, np.int32)
+                out = np.zeros(1 << PLACES, np.int32)
                 out[place[place >= 0]] = np.minimum(n[place >= 0], np.iinfo(np.int32).max)
                 return out, salt
             salt += 1
