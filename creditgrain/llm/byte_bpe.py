@@ -23,10 +23,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import id_and_text, table, text_blocks
+from .common import id_and_text, release, table, text_blocks
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
-CACHED = 500_000  # pieces a worker remembers before it starts anew
+CACHED_BYTES = 1 << 26  # of encodings, about, that a task remembers of a kind before it starts anew
+KEPT_BYTES = 1 << 24  # and that a worker keeps for its next task
+ENTRY_BYTES = 200  # of an entry besides its texts
 PLAIN_ENDS = (",", ".", "!", "?", ";", ":")
 TWO_SPACES = re.compile(r"\s\s")
 
@@ -59,6 +61,13 @@ class ByteBPE:
         self.pairs, self.pieces = _Pairs(self), _Pieces(self)
         self.after_space, self.alone = _Memo(self, " "), _Memo(self, "")
 
+    def forget(self) -> None:
+        """Drop encodings beyond ``KEPT_BYTES``: workers go on to other tasks."""
+        for memo in (self.pairs, self.pieces, self.after_space, self.alone):
+            if memo.held > KEPT_BYTES:
+                memo.forget()
+        release()
+
     def may_follow(self, left: int, right: int) -> bool:
         """Whether BPE of the two tokens' bytes gives the two tokens again."""
         limit, merged, halves = 1 << 60, self.merged, self.halves
@@ -123,14 +132,22 @@ class _Memo(dict):
     """Encodings already worked out; emptied when full, which changes no result."""
 
     def __init__(self, bpe: ByteBPE, before: str = ""):
-        self.bpe, self.before = bpe, before
+        self.bpe, self.before, self.held = bpe, before, 0
 
     def __missing__(self, key):
-        if len(self) >= CACHED:
-            self.clear()
+        if self.held > CACHED_BYTES:
+            self.forget()
         self[key] = out = self.work(key)
+        self.held += ENTRY_BYTES + self.texts(key, out)
         return out
 
+    def forget(self) -> None:
+        self.clear()
+        self.held = 0
+
+    def texts(self, key: str, out: bytes) -> int:
+        return len(key) + len(out)
+
     def work(self, text: str) -> bytes:
         pieces = self.bpe.pieces
         if text.isalpha():  # letters only: one match
@@ -149,6 +166,9 @@ class _Pairs(_Memo):
     def work(self, pair: int) -> bool:
         return self.bpe.may_follow(pair >> 32, pair & 0xFFFFFFFF)
 
+    def texts(self, pair: int, out: bool) -> int:
+        return 0
+
 
 class PrefixTable:
     """The last token of every prefix of a piece."""
@@ -212,7 +232,7 @@ class PrefixTable:
         return out[::-1]
 
 
-_loaded: dict[str, ByteBPE] = {}
+_loaded: dict[str, ByteBPE] = {}  # a worker's
 
 
 def load(path: str) -> ByteBPE:
@@ -239,6 +259,7 @@ def _encode(path: str, keep: bool):
                 arrays.append(pa.array([np.frombuffer(x, "<u4").astype(np.int32) for x in ids], pa.list_(pa.int32())))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(arrays, names)
+        bpe.forget()
 
     return run
 

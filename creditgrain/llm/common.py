@@ -6,6 +6,8 @@ do no harm, and treats a NULL text as an empty one unless it says otherwise.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import zipfile
 from collections.abc import Iterable, Iterator
@@ -119,6 +121,13 @@ def text_blocks(
             yield batch.slice(start), texts.slice(start).to_pylist()
 
 
+def release() -> None:
+    """Give back what a task's large arrays held: the worker's next task may be of another kind."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def column(batch: pa.RecordBatch, name: str) -> np.ndarray:
     return batch.column(name).to_numpy(zero_copy_only=False)
 

@@ -6,9 +6,9 @@ next bit, doubling the directory whenever a split goes deeper than it. Buckets
 are key ranges: every bucket belongs to one task, which reads its entries in key
 order, chains the different texts of a key and tells them apart by their bytes.
 
-Copies are pre-aggregated before the shuffle (one entry for each text of an
-Arrow batch), so a group with a third of all rows reaches its owner as a few
-entries. The directory is built from at most ``2**max_depth`` counts.
+Copies are pre-aggregated before the shuffle (one entry for each text among
+``HELD_BYTES`` of different ones), so a group with a third of all rows reaches its
+owner as a few entries. The directory is built from at most ``2**max_depth`` counts.
 """
 
 from __future__ import annotations
@@ -23,10 +23,11 @@ from pyspark.sql import functions as F
 
 from creditgrain.session import store
 
-from .common import fresh, numbered, numbered_texts, table, text_blocks
+from .common import fresh, numbered, numbered_texts, release, table, text_blocks
 
 CAPACITY = 2048
 MAX_DEPTH = 16
+HELD_BYTES = 1 << 22  # of different texts among which a task looks for copies
 ENTRY = pa.schema(
     [
         ("bucket", pa.int32()),
@@ -80,33 +81,42 @@ def _entries(slots: np.ndarray):
     shift = np.uint64(64 - max(1, int(len(slots)).bit_length() - 1))
     whole = len(slots) == 1
 
+    def entries(found: dict[bytes, list]) -> pa.RecordBatch:
+        values = list(found.values())
+        key = np.array([v[0] for v in values], np.int64)
+        bucket = np.zeros(len(key), np.int32) if whole else slots[(key.view(np.uint64) >> shift).astype(np.int64)]
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(bucket),
+                pa.array(key),
+                pa.array(list(found), pa.binary()),
+                pa.array([v[1] for v in values], pa.int64()),
+                pa.array([v[2] for v in values], pa.int64()),
+                pa.array([v[3] for v in values], pa.int64()),
+            ],
+            schema=ENTRY,
+        )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in text_blocks(batches, 1 << 24):
+        found: dict[bytes, list] = {}
+        held_bytes = 0
+        for batch, texts in text_blocks(batches):
             keys = batch.column("key").to_pylist()
             ids, rows = batch.column("doc_id").to_pylist(), batch.column("row").to_pylist()
-            found: dict[bytes, list] = {}
             for text, key, doc_id, row in zip(texts, keys, ids, rows, strict=True):
                 held = found.get(text)
                 if held is None:
                     found[text] = [key, doc_id, row, 1]
+                    held_bytes += len(text)
                     continue
                 held[3] += 1
                 if _later(doc_id, row, held[1], held[2]):
                     held[1:3] = doc_id, row
-            values = list(found.values())
-            key = np.array([v[0] for v in values], np.int64)
-            bucket = np.zeros(len(key), np.int32) if whole else slots[(key.view(np.uint64) >> shift).astype(np.int64)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(bucket),
-                    pa.array(key),
-                    pa.array(list(found), pa.binary()),
-                    pa.array([v[1] for v in values], pa.int64()),
-                    pa.array([v[2] for v in values], pa.int64()),
-                    pa.array([v[3] for v in values], pa.int64()),
-                ],
-                schema=ENTRY,
-            )
+            if held_bytes > HELD_BYTES:
+                yield entries(found)
+                found, held_bytes = {}, 0
+        yield entries(found)
+        release()
 
     return run
 
@@ -145,6 +155,7 @@ def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
     if at is not None:
         yield _slots(finish(chain, at))
+    release()
 
 
 def _slots(rows: list[tuple]) -> pa.RecordBatch:
