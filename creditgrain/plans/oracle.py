@@ -5,12 +5,26 @@ Every ``round`` has the nudge that the queries use to settle exact ties.
 
 from __future__ import annotations
 
-from ..functions.credit import DECLINED, EDGE, LOAN_BANDS
-from ..operators.encode import FEW_VALUES, MISSING, SMOOTHING
 from ..operators.features import ATTRIBUTES, FEATURES, RFM_SUMMARY
-from ..operators.profile import HISTOGRAM_BINS, KDE_POINTS
 from ..schema import TRANSACTIONS
 
+# Fixed values, written out here so that a wrong one in the library does not agree with itself:
+# smallest probability distinguished from 0; lowest score, amount, duration and tier of each
+# band, and what is below; the missing category, the smoothing term, the distinct values
+# below which an integer is a category; points of a density.
+EDGE = 1e-9
+LOAN_BANDS = (
+    (750, 50000.0, "6 months", "Lowest"),
+    (650, 20000.0, "3 months", "Low"),
+    (550, 5000.0, "1 month", "Moderate"),
+    (450, 1000.0, "2 weeks", "High"),
+)
+DECLINED = (0.0, "Declined", "N/A")
+MISSING = "__MISSING__"
+SMOOTHING = 0.001
+FEW_VALUES = 50
+KDE_POINTS = 200
+
 LINES = """
 select l_orderkey*10+l_linenumber as TransactionId, l_orderkey as BatchId, o_custkey as AccountId,
   o_custkey as SubscriptionId, o_custkey as CustomerId, r_name as CurrencyCode, s_nationkey as CountryCode,
@@ -412,6 +426,13 @@ ORACLE["profile_missing"] = with_(
     """select "column", count(*)-count(value) as missing_count, round(3e-7+100.0*(count(*)-count(value))/count(*),4) as missing_percent
 from v group by "column" having count(*) > count(value)""",
 )
+_HOLES = f"""
+select * replace (case when TransactionId % 3 > 0 then Value end as Value, case when TransactionId % 5 > 0 then ChannelId end as ChannelId,
+  case when TransactionId % 5 > 0 then AccountId end as AccountId) from ({EVENTS})"""
+ORACLE["profile_missing_order"] = with_(
+    {"t": _HOLES, "v": melted("t", COLUMNS, dtype="varchar")},
+    """select row_number() over (order by count(value), "column") - 1 as position, "column" from v group by "column" having count(*) > count(value)""",
+)
 ORACLE["profile_box_stats"] = box_sql({"t": LINES}, melted("t", PLOTTED))
 ORACLE["profile_outlier_rows"] = with_(
     {"t": EVENTS, "v": melted("t", PLOTTED, keep="TransactionId, "), "q": quartiles()},
