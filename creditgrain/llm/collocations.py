@@ -212,13 +212,19 @@ def summed(left: np.ndarray, right: np.ndarray, n: np.ndarray) -> tuple[np.ndarr
     return left[at], right[at], np.add.reduceat(n[order], at) if len(at) else n
 
 
-def _counted_pairs(shared, salt: int):
+def _counted_pairs(shared, salt: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Counts of the task's blocks together, a line for each pair; beyond ``HELD`` lines what there is."""
-
-        def line(left: np.ndarray, right: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-            key = joined_key(left, right, salt)
-            return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (left, right, key)] + [pa.array(n)], ["left", "right", "key", "n"])
+        """Counts of the task's blocks together, packed into a row for each bucket of phrases;
+        beyond ``HELD`` phrases what there is."""
+
+        def rows(left: np.ndarray, right: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            bucket = (joined_key(left, right, salt) % np.uint64(buckets)).astype(np.int32)
+            order = np.argsort(bucket, kind="stable")
+            cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+            lines = np.column_stack([left, right, n.astype(np.uint64)])[order]
+            return pa.RecordBatch.from_arrays(
+                [pa.array(bucket[order][cuts]), pa.array([part.tobytes() for part in np.split(lines, cuts[1:])][: len(cuts)], pa.binary())], ["bucket", "lines"]
+            )
 
         none = np.zeros(0, np.uint64)
         held = (none, none, np.zeros(0, np.int64))
@@ -228,9 +234,22 @@ def _counted_pairs(shared, salt: int):
             found = (left[good], right[good], np.bincount(number, minlength=len(left))[good])
             held = summed(*[np.concatenate(x) for x in zip(held, found, strict=True)])
             if len(held[0]) > HELD:
-                yield line(*held)
+                yield rows(*held)
                 held = (none, none, np.zeros(0, np.int64))
-        yield line(*held)
+        yield rows(*held)
+
+    return run
+
+
+def _frequent_pairs(salt: int, support: int):
+    def run(bucket: pa.Table) -> pa.Table:
+        """The phrases of a bucket that occur often enough, counted over all tasks."""
+        lines = np.frombuffer(b"".join(bucket.column("lines").to_pylist()), np.uint64).reshape(-1, 3)
+        left, right, n = summed(lines[:, 0], lines[:, 1], lines[:, 2].astype(np.int64))
+        often = n >= support
+        left, right = left[often], right[often]
+        key = joined_key(left, right, salt)
+        return pa.table([*[pa.array(x.view(np.int64)) for x in (left, right, key)], pa.array(n[often])], ["left", "right", "key", "a"])
 
     return run
 
@@ -285,12 +304,14 @@ def _mined(rows: DataFrame, support: int, longest: int, salt: int) -> tuple[list
         relation = following
         cells = relation.mapInArrow(_counted_cells(salt), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
         cells = store(cells.where(F.col("n") >= support).select("key"), "cells")
-        crowded = context.broadcast(Filter.of(cells, cells.count()))
+        many = cells.count()
+        crowded = context.broadcast(Filter.of(cells, many))
+        # Each task has a line for a crowded cell at most, but for false hits: so many lines a bucket.
+        buckets = 1 + many * relation.rdd.getNumPartitions() // HELD
         grouped = (
-            relation.mapInArrow(_counted_pairs(crowded, salt), "left long, right long, key long, n long")
-            .groupBy("left", "right", "key")
-            .agg(F.sum("n").alias("a"))
-            .where(F.col("a") >= support)
+            relation.mapInArrow(_counted_pairs(crowded, salt, buckets), "bucket int, lines binary")
+            .groupBy("bucket")
+            .applyInArrow(_frequent_pairs(salt, support), "left long, right long, key long, a long")
         )
         part = frequent[-1]
         left = part.select(F.col("key").alias("left"), "lang", "words", "begins")
