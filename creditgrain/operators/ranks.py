@@ -56,7 +56,9 @@ def with_sort_key(df: DataFrame, value: str, name: str) -> DataFrame:
         when _power > -1022 then (_power + 1022) * {unit}L + cast((_share * 2 - 1) * {unit}D as bigint)
         else cast(_share * {unit}D as bigint) end"""
     )
-    return parts.withColumn(name, F.when(F.col(value) < 0, -bits).otherwise(bits)).drop("_size", "_power", "_share")
+    key = F.when(F.col(value) < 0, -bits).otherwise(bits)
+    # Generated, so that later uses read the key and don't put it together again.
+    return parts.select(*df.columns, F.explode(F.array(key)).alias(name))
 
 
 def key_value(key: int) -> float:
