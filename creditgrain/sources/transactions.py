@@ -37,7 +37,8 @@ def read_with_rejects(
     The rejects have the text of every column, ``problems`` as in ``validate_transactions``
     and ``line``. A line that can't be taken apart (too few or too many fields, broken JSON)
     is kept whole in ``line`` with the problem ``line: broken``; in other rejects ``line`` is
-    NULL. Nothing raises but a missing path or a header with other names.
+    NULL. A JSON line that is an array counts as the records in it, so an empty one is none.
+    Nothing raises but a missing path or a header with other names.
     """
     from .validation import validate_transactions
 

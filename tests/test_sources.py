@@ -167,11 +167,11 @@ def test_rejects_of_broken_files(spark, tmp_path):
     assert [(f.name, f.dataType.simpleString()) for f in valid.schema] == TRANSACTIONS_DTYPES and valid.count() == 1
     got = sorted((r.problems, r.line or "") for r in rejects.collect())
     assert got == [("TransactionStartTime: invalid", ""), ("Value: missing", ""), ("line: broken", lines[4]), ("line: broken", "1,2")]
-    (tmp_path / "x.json").write_text("\n".join([json.dumps(good), "{\"TransactionId\": 5", "[]x", json.dumps(good | {"Value": "lots"})]) + "\n")
+    (tmp_path / "x.json").write_text("\n".join([json.dumps(good), "{\"TransactionId\": 5", "oops", json.dumps(good | {"Value": "lots"})]) + "\n")
     valid, rejects = read_with_rejects(spark, str(tmp_path / "x.json"), "json")
     assert valid.count() == 1
     assert sorted((r.problems, r.line or "") for r in rejects.collect()) == [
-        ("Value: invalid", ""), ("line: broken", "[]x"), ("line: broken", "{\"TransactionId\": 5"),
+        ("Value: invalid", ""), ("line: broken", "oops"), ("line: broken", "{\"TransactionId\": 5"),
     ]
     (tmp_path / "empty.json").write_text("")
     assert [t.count() for t in read_with_rejects(spark, str(tmp_path / "empty.json"), "json")] == [0, 0]
