@@ -29,12 +29,13 @@ from ..operators.trees import tree_nodes, walked_probability
 from ..schema import ACCOUNT, LEAKAGE, TARGET, TRANSACTIONS
 from ..session import new_shared_path, store
 from ..sources import (
+    line_facts,
     load_splits,
     read_transactions,
     read_with_rejects,
     save_splits,
     txns_from_events,
-    txns_from_lines,
+    txns_from_facts,
     validate_transactions,
 )
 from ..streaming import score_stream
@@ -85,7 +86,7 @@ def rounded(df: DataFrame, digits: int = 4) -> DataFrame:
 @lru_cache(maxsize=8)
 def lines(spark: SparkSession, d: str) -> DataFrame:
     """The transaction table of the order lines, joined and stored once per session."""
-    return store(txns_from_lines(spark, d), "transactions")
+    return txns_from_facts(store(line_facts(spark, d), "transactions", compression="zstd"))
 
 
 def events(spark: SparkSession, d: str) -> DataFrame:

@@ -16,21 +16,34 @@ def _table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{directory}/{name}.parquet")
 
 
-def txns_from_lines(spark: SparkSession, directory: str) -> DataFrame:
-    """One transaction per order line; times are dates, returned lines are debits."""
+def line_facts(spark: SparkSession, directory: str) -> DataFrame:
+    """The order lines with what transactions take from other tables, each value once.
+
+    Lines are narrowed before the joins shuffle them, and nothing that other columns give
+    is in the result: it is what to store.
+    """
+    returned = F.col("l_returnflag") == "R"
+    suspicious = returned & (F.col("l_linestatus") == "F") & (F.col("l_quantity") >= 48)
+    keys = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     joined = (
         _table(spark, directory, "lineitem")
+        .select(*keys, "l_extendedprice", "l_discount", returned.alias("returned"), suspicious.alias("suspicious"))
         .join(_table(spark, directory, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
         .join(_table(spark, directory, "part"), F.col("l_partkey") == F.col("p_partkey"))
         .join(_table(spark, directory, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
         .join(_table(spark, directory, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
         .join(_table(spark, directory, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     )
+    pricing = (F.round(F.col("l_discount") * 100).cast("int") % 5).alias("pricing")
+    taken = ("o_custkey", "o_orderpriority", "o_orderdate", "p_type", "s_nationkey", "r_name")
+    return joined.select(*keys, "l_extendedprice", pricing, "returned", "suspicious", *taken)
+
+
+def txns_from_facts(facts: DataFrame) -> DataFrame:
+    """One transaction per order line; times are dates, returned lines are debits."""
     price = F.col("l_extendedprice")
-    returned = F.col("l_returnflag") == "R"
-    suspicious = returned & (F.col("l_linestatus") == "F") & (F.col("l_quantity") >= 48)
     return conform(
-        joined.select(
+        facts.select(
             (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("TransactionId"),
             F.col("l_orderkey").alias("BatchId"),
             F.col("o_custkey").alias("AccountId"),
@@ -42,15 +55,20 @@ def txns_from_lines(spark: SparkSession, directory: str) -> DataFrame:
             F.col("l_partkey").alias("ProductId"),
             F.col("p_type").alias("ProductCategory"),
             F.col("o_orderpriority").alias("ChannelId"),
-            F.when(returned, -price).otherwise(price).alias("Amount"),
+            F.when(F.col("returned"), -price).otherwise(price).alias("Amount"),
             price.alias("Value"),
             F.col("o_orderdate").alias("TransactionStartTime"),
-            (F.round(F.col("l_discount") * 100).cast("int") % 5).alias("PricingStrategy"),
-            F.when(suspicious, 1).otherwise(0).alias("FraudResult"),
+            F.col("pricing").alias("PricingStrategy"),
+            F.when(F.col("suspicious"), 1).otherwise(0).alias("FraudResult"),
         )
     )
 
 
+def txns_from_lines(spark: SparkSession, directory: str) -> DataFrame:
+    """The order lines as transactions, joined as they are read."""
+    return txns_from_facts(line_facts(spark, directory))
+
+
 def txns_from_events(events: DataFrame) -> DataFrame:
     """One transaction per event, with real times of day and missing currencies."""
     k = F.get_json_object("props", "$.k").cast("int")
