@@ -66,6 +66,13 @@ RFM_SUMMARY = (
 
 ReferenceTime = str | dt.datetime
 
+# Accounts are counted in groups by a hash; those of a group of more rows are spread over tasks.
+GROUPS = 1 << 16
+HEAVY_ROWS = 1 << 20
+SPREAD = 64
+# More measures than this are wider as partial sums than as the columns they come from.
+FEW_MEASURES = 8
+
 
 def _measures(amount_for_average: str) -> dict[str, tuple[str, Column]]:
     """Feature -> (aggregate column, aggregate). Several features share ``_fraud``."""
@@ -115,11 +122,11 @@ def customer_features(
     (``"account"``, so recency is 0) or a given time. A given time saves the
     pass that looks for the latest one.
 
-    Distinct counts and modes come from the counts per (account, attribute,
-    value), which are summed before anything is shuffled by account: an account
-    with a third of all rows shrinks to its distinct values first, and no buffer
-    holds a set or map of values. The two branches read different columns and
-    meet in a join that both sides already are partitioned for.
+    Rows are shuffled once for the measures and once for the attributes, each with
+    the columns it needs. Distinct counts and modes come from the counts per
+    (account, attribute, value), made where an account's rows have met; no buffer
+    holds a set or map of values. Accounts of more than ``HEAVY_ROWS`` rows are
+    spread over ``SPREAD`` tasks (``_heavy``), so none waits for a third of all rows.
     """
     unknown = [c for c in columns if c not in FEATURES]
     if unknown:
@@ -129,10 +136,15 @@ def customer_features(
     # Frequency always: a grouping needs at least one aggregate
     aggregates = dict(m for f, m in measures.items() if f in columns or f == "Frequency")
 
-    rows = with_time_parts(txns).where(F.col(ACCOUNT).isNotNull())
-    grouped = rows.groupBy(ACCOUNT).agg(*[a.alias(n) for n, a in aggregates.items()])
+    plain = txns.where(F.col(ACCOUNT).isNotNull())
+    measured = plain
+    if len(aggregates) > FEW_MEASURES:
+        # Partial sums of so many measures are several times as wide as a transaction.
+        own = F.xxhash64("TransactionId", "TransactionStartTime", "Value")
+        measured = plain.withColumn("_part", _part(_heavy(plain), own)).repartition(ACCOUNT, "_part")
+    grouped = with_time_parts(measured).groupBy(ACCOUNT).agg(*[a.alias(n) for n, a in aggregates.items()])
     if needed:
-        grouped = grouped.join(_attribute_features(rows, needed), ACCOUNT, "left")
+        grouped = grouped.join(_attribute_features(plain, needed), ACCOUNT, "left")
         # an account whose values are all missing has no distinct ones
         counts = [distinct for _, distinct, _ in needed if distinct]
         grouped = grouped.fillna(0, counts)
@@ -147,33 +159,66 @@ def customer_features(
     )
 
 
+def _heavy(rows: DataFrame) -> Column:
+    """Whether an account is in a group of more than ``HEAVY_ROWS`` rows."""
+    group = F.pmod(F.xxhash64(ACCOUNT), F.lit(GROUPS))
+    # a scalar subquery: one extra pass over the accounts, of which a count a group leaves a task
+    groups = rows.groupBy(group.alias("_group")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > HEAVY_ROWS)
+    return F.array_contains(groups.agg(F.collect_list("_group")).scalar(), group)
+
+
+def _part(heavy: Column, own: Column) -> Column:
+    """0, or for heavy accounts one of ``SPREAD`` numbers by the hash ``own``."""
+    return F.when(heavy, F.pmod(own, F.lit(SPREAD)) + 1).otherwise(F.lit(0).cast("bigint"))
+
+
 def _attribute_features(rows: DataFrame, attributes: Sequence[tuple]) -> DataFrame:
-    """Distinct counts and modes (most rows, then smallest value) per account."""
-    types = {name: rows.schema[name].dataType for name, _, _ in attributes}
+    """Distinct counts and modes (most rows, then smallest value) per account.
+
+    A row is shuffled as it is, with all attributes, and becomes a line for each of them
+    after that. Only rows of heavy accounts are taken apart before, so that all lines of
+    a value go to the part that the value says: every count is whole where it is made.
+    """
+    names = [name for name, _, _ in attributes]
+    types = {name: rows.schema[name].dataType for name in names}
     no_text, no_number = F.lit(None).cast("string"), F.lit(None).cast("bigint")
+    every = F.lit(None).cast("int")
+    kinds = [F.lit(None).cast(types[name]) for name in names]
+    taken_apart = [
+        F.struct(F.lit(i).alias("slot"), *[(F.col(n) if n == name else none).alias(n) for n, none in zip(names, kinds, strict=True)])
+        for i, name in enumerate(names)
+    ]
+    whole = F.struct(every.alias("slot"), *names)
+    lines = (
+        rows.select(ACCOUNT, *names)
+        .withColumn("_heavy", _heavy(rows))
+        .select(ACCOUNT, "_heavy", F.explode(F.when(F.col("_heavy"), F.array(*taken_apart)).otherwise(F.array(whole))).alias("_line"))
+        .select(ACCOUNT, "_line.*", _part(F.col("_heavy"), F.xxhash64("_line")).alias("_part"))
+        .repartition(ACCOUNT, "_part")
+    )
     slots: list[Column] = []
-    for i, (name, _, _) in enumerate(attributes):
+    for i, name in enumerate(names):
         if isinstance(types[name], T.StringType):
             slots += [F.lit(i), F.col(name), no_number]
         else:
             slots += [F.lit(i), no_text, F.col(name).cast("bigint")]
     counts = (
-        rows.select(
-            ACCOUNT, F.stack(F.lit(len(attributes)), *slots).alias("_slot", "_text", "_number")
-        )
+        lines.select(ACCOUNT, "_part", F.stack(F.lit(len(names)), *slots).alias("_slot", "_text", "_number"))
         .where("_text is not null or _number is not null")
-        .groupBy(ACCOUNT, "_slot", "_text", "_number")
+        .groupBy(ACCOUNT, "_part", "_slot", "_text", "_number")
         .agg(F.count(F.lit(1)).alias("_n"))
     )
-    features = []
+    found, merged = [], []
     for i, (name, distinct, mode) in enumerate(attributes):
         here = F.col("_slot") == i
         value = F.col("_text") if isinstance(types[name], T.StringType) else F.col("_number")
-        best = F.min(F.when(here, F.struct((-F.col("_n")).alias("order"), value.alias("value"))))
-        features.append(best.getField("value").cast(types[name]).alias(mode))
+        found.append(F.min(F.when(here, F.struct((-F.col("_n")).alias("order"), value.alias("value")))).alias(mode))
+        merged.append(F.min(mode).getField("value").cast(types[name]).alias(mode))
         if distinct:
-            features.append(F.count(F.when(here, F.lit(1))).alias(distinct))
-    return counts.groupBy(ACCOUNT).agg(*features)
+            found.append(F.count(F.when(here, F.lit(1))).alias(distinct))
+            merged.append(F.sum(distinct).alias(distinct))
+    # an account's parts have no value in common
+    return counts.groupBy(ACCOUNT, "_part").agg(*found).groupBy(ACCOUNT).agg(*merged)
 
 
 def rfm_summary(txns: DataFrame, reference_time: ReferenceTime = "global") -> DataFrame:

@@ -7,9 +7,11 @@ import pytest
 from records import by_account
 from pyspark.sql import functions as F
 
+from creditgrain.operators import features
 from creditgrain.operators.features import FEATURES, customer_features, rfm_summary
+from creditgrain.plans import catalog
 from creditgrain.schema import TRANSACTIONS, with_string_ids
-from creditgrain.sources import conform
+from creditgrain.sources import conform, line_facts, txns_from_lines
 
 # The account features of the ten-transaction example.
 GOLDEN = {
@@ -155,3 +157,49 @@ def test_one_account_with_most_rows_matches_brute_force(spark):
         assert got[account]["Frequency"] == len(mine)
         assert math.isclose(got[account]["Monetary"], sum(values))
         assert math.isclose(got[account]["StdAmount"], statistics.stdev(values))
+
+
+def test_spread_accounts_have_the_same_features(make, monkeypatch):
+    """Accounts of many rows are taken apart over several tasks; missing values and ties included."""
+    rows = [
+        {"AccountId": a, "ProviderId": i % 7, "ChannelId": None if i % 5 == 0 else f"c{i % 4}", "CurrencyCode": None, "Value": float(i % 11), "Amount": float(i % 11)}
+        for a, n in ((1, 90), (2, 4), (None, 3))
+        for i in range(n)
+    ]
+    txns = make(*rows)
+    plain = {r.AccountId: r for r in customer_features(txns).collect()}
+    monkeypatch.setattr(features, "HEAVY_ROWS", 10)
+    spread = {r.AccountId: r for r in customer_features(txns).collect()}
+    assert spread.keys() == plain.keys() == {1, 2}
+    for account, row in plain.items():
+        for name, value in row.asDict().items():
+            assert spread[account][name] == (pytest.approx(value) if isinstance(value, float) else value), name
+
+
+def test_a_transaction_is_shuffled_once_for_all_attributes(spark, tmp_path):
+    """Where no rows of an account stand together, before: a shuffled row for each attribute of each row."""
+    n = 2000
+    ids = spark.range(n)
+    txns = ids.select(
+        F.col("id").alias("TransactionId"), (F.col("id") % 500).alias("AccountId"), F.lit(1.0).alias("Value"), F.lit(1.0).alias("Amount"),
+        F.lit("2024-01-01").cast("timestamp_ntz").alias("TransactionStartTime"), F.lit(0).alias("FraudResult"),
+        *[F.concat(F.lit(c), F.col("id")).alias(c) for c in ("ProductCategory", "ChannelId", "CurrencyCode")],
+        *[F.col("id").alias(c) for c in ("ProviderId", "CountryCode", "PricingStrategy")],
+    )
+    txns.write.parquet(str(tmp_path / "t"))
+    found = customer_features(spark.read.parquet(str(tmp_path / "t")), columns=[c for c in FEATURES if c.startswith("MostFrequent")])
+    assert found.count() == 500
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    stacked = plan[plan.index("Generate stack(") :]
+    # the lines of a row are made after the rows of an account have met
+    assert "hashpartitioning(AccountId" in stacked.split("Scan parquet")[0]
+
+
+def test_stored_lines_hold_each_value_once(spark):
+    d = "/root/testdata/sf0.001"
+    txns, stored = txns_from_lines(spark, d), catalog.lines(spark, d)
+    assert [(f.name, f.dataType) for f in stored.schema] == [(f.name, f.dataType) for f in TRANSACTIONS]
+    assert stored.exceptAll(txns).isEmpty() and txns.exceptAll(stored).isEmpty()
+    # before: 16 columns, some of which are others over again
+    names = line_facts(spark, d).columns
+    assert spark.read.parquet(*stored.inputFiles()).columns == names and len(set(names)) == 14
