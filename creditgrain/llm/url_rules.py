@@ -2,15 +2,18 @@
 
 A url becomes a set of tokens (scheme, host, its last two labels, its first label,
 path words, query keys). FP-growth mines the token combinations of the blocked pages,
-so only sets with the label are listed: of tokens that always stand together on them one,
-and of a page its ``TELLING`` tokens of the highest confidence. That bounds the sets that
-a page can add, however long its url, and is a limit of what a rule may combine, not of
-pages: every combination found is counted again over all labelled pages. Those on
-``SUPPORT`` blocked pages, of which the share ``CONFIDENCE`` is blocked and, by the lower
-end of its interval, more than of all pages, become rules. Support is a number of pages,
-so more labels only add rules. A page is matched through an inverted index: every rule is
-filed under its rarest token, so a page looks up only the rules of its own tokens and
-checks the other tokens of each.
+so only sets with the label are listed, and every combination found is counted again over
+all labelled pages. Those on ``SUPPORT`` blocked pages, of which the share ``CONFIDENCE``
+is blocked and, by the lower end of its interval, more than of all pages, become rules.
+Support is a number of pages, so more labels only add rules. A page is matched through an
+inverted index: every rule is filed under its rarest token, so a page looks up only the
+rules of its own tokens and checks the other tokens of each.
+
+No token of a page is left out. What keeps the listing short changes no verdict: tokens on
+the same labelled pages are one item, which a url has if it has any of them; and a token
+that is a rule by itself is in no longer one, as a page with that is matched already. What
+is left are combinations of tokens of which none tells enough alone; urls that share many
+such tokens in many mixtures take time that grows with the number of those mixtures.
 
 Pages are labelled by the row of ``labels`` with their number: bad quality or toxic
 text means block. Explicit (host, path) rules come first, the longest one winning.
@@ -19,7 +22,7 @@ text means block. Explicit (host, path) rules come first, the longest one winnin
 from __future__ import annotations
 
 from pyspark.ml.fpm import FPGrowth
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from creditgrain.session import store
@@ -28,7 +31,6 @@ from .common import table
 
 SUPPORT = 4
 CONFIDENCE = 0.6
-TELLING = 10
 Z = 1.64  # standard errors below the share of blocked pages
 # Fixed values: (host, path, verdict).
 RULES = (
@@ -101,18 +103,34 @@ def held_rules(sets: DataFrame, rules: DataFrame) -> DataFrame:
     )
 
 
-def mine(labelled: DataFrame, support: int = SUPPORT, confidence: float = CONFIDENCE, telling: int = TELLING) -> DataFrame:
-    """Rules (rule, pages, blocked) that imply block: their tokens, and the labelled and blocked pages that hold them.
+def stand_ins(labelled: DataFrame, support: int = SUPPORT) -> DataFrame:
+    """token, item: the tokens on ``support`` blocked pages, and the first of all that are on the same labelled pages.
 
-    ``labelled`` has ``tokens``, a boolean ``block`` and ``page``, an integer of its own for
-    each page. It is read several times and had better be stored. Empty input: no rules. Ties
-    between tokens go to the first by their text.
+    Pages are compared by sums of the halves of a hash, which count repeated pages too.
     """
-    none = labelled.sparkSession.createDataFrame([], "rule array<string>, pages long, blocked long")
-    total, blocked = labelled.agg(F.count(F.lit(1)), F.count_if("block")).first()
-    if blocked < support:
-        return none
-    words = labelled.select("page", "block", F.explode("tokens").alias("token"))
+    mark = F.xxhash64("page")
+    stats = (
+        labelled.select("block", mark.alias("mark"), F.explode("tokens").alias("token"))
+        .groupBy("token")
+        .agg(
+            F.count(F.lit(1)).alias("pages"),
+            F.count_if("block").alias("blocked"),
+            F.sum(F.shiftright("mark", 32)).alias("high"),
+            F.sum(F.col("mark").bitwiseAND(F.lit((1 << 32) - 1))).alias("low"),
+        )
+        .where(F.col("blocked") >= support)
+    )
+    return stats.select("token", F.min("token").over(Window.partitionBy("pages", "blocked", "high", "low")).alias("item"))
+
+
+def with_items(sets: DataFrame, stands: DataFrame) -> DataFrame:
+    """The distinct token sets (``tokens``) that have any item, with their ``items``."""
+    words = sets.select("tokens").distinct().select("tokens", F.explode("tokens").alias("token"))
+    return words.join(stands, "token").groupBy("tokens").agg(F.sort_array(F.collect_set("item")).alias("items"))
+
+
+def _telling_items(words: DataFrame, support: int, telling: int) -> DataFrame:
+    """The ``telling`` tokens of the highest confidence of each blocked page, one of those that always stand together."""
     bad = F.when(F.col("block"), F.col("page"))
     stats = words.groupBy("token").agg(
         F.count(F.lit(1)).alias("pages"), F.count(bad).alias("blocked"), F.bit_xor(bad).alias("mark"), F.sum(bad % (1 << 31)).alias("sum")
@@ -120,23 +138,50 @@ def mine(labelled: DataFrame, support: int = SUPPORT, confidence: float = CONFID
     # Tokens with equal marks are on the same blocked pages: the one on the fewest others stands for them.
     alone = stats.where(F.col("blocked") >= support).groupBy("blocked", "mark", "sum").agg(F.min(F.struct("pages", "token")).alias("least"))
     share = (F.col("blocked") / F.col("least.pages")).alias("share")
-    items = (
+    return (
         words.where("block")
         .join(alone.select(F.col("least.token").alias("token"), share), "token")
         .groupBy("page")
         .agg(F.sort_array(F.collect_list(F.struct((-F.col("share")).alias("order"), "token"))).alias("all"))
         .select(F.slice("all.token", 1, telling).alias("items"))
     )
-    if not items.limit(1).count():
+
+
+def mine(labelled: DataFrame, support: int = SUPPORT, confidence: float = CONFIDENCE, telling: int | None = None) -> DataFrame:
+    """Rules (rule, pages, blocked) that imply block: their tokens, and the labelled and blocked pages that hold them.
+
+    ``labelled`` has ``tokens``, a boolean ``block`` and ``page``, an integer of its own for
+    each page. It is read several times and had better be stored. Empty input: no rules.
+    Of rules that hold a token which is one by itself only that token is listed. A caller may
+    ask for less, rules among each page's ``telling`` tokens of the highest confidence, which
+    lists all of those; ties between tokens go to the first by their text.
+    """
+    none = labelled.sparkSession.createDataFrame([], "rule array<string>, pages long, blocked long")
+    total, blocked = labelled.agg(F.count(F.lit(1)), F.count_if("block")).first()
+    if blocked < support:
         return none
+    n, p = F.col("pages"), F.col("blocked") / F.col("pages")
+    low = (p + Z * Z / (2 * n) - Z * F.sqrt((p * (1 - p) + Z * Z / (4 * n)) / n)) / (1 + Z * Z / n)
+    tells = (F.col("blocked") >= support) & (p >= confidence) & (low > blocked / total)
+    words = labelled.select("page", "block", F.explode("tokens").alias("token"))
+    alone = none
+    if telling is not None:
+        items = _telling_items(words, support, telling)
+    else:
+        bad = F.when(F.col("block"), F.col("page"))
+        stats = words.groupBy("token").agg(F.count(F.lit(1)).alias("pages"), F.count(bad).alias("blocked"), F.count_distinct(bad).alias("apart"))
+        stats = store(stats.where(F.col("apart") >= support).withColumn("tells", tells), "url-tokens")
+        alone = stats.where("tells").select(F.array("token").alias("rule"), "pages", "blocked")
+        items = words.where("block").join(stats.where("not tells").select("token"), "token").groupBy("page").agg(F.collect_set("token").alias("items"))
+        items = store(items.where(F.size("items") > 1).select("items"), "url-items")
+    if not items.limit(1).count():
+        return alone
     wanted = (support - 0.5) / max(1, items.count())
     found = FPGrowth(itemsCol="items", minSupport=min(1.0, wanted)).fit(items).freqItemsets
     candidates = found.select(F.array_sort("items").alias("rule"))
     sets = labelled.groupBy("tokens").agg(F.count(F.lit(1)).alias("pages"), F.count_if("block").alias("blocked"))
     counted = held_rules(sets, candidates).groupBy("rule").agg(F.sum("pages").alias("pages"), F.sum("blocked").alias("blocked"))
-    n, p = F.col("pages"), F.col("blocked") / F.col("pages")
-    low = (p + Z * Z / (2 * n) - Z * F.sqrt((p * (1 - p) + Z * Z / (4 * n)) / n)) / (1 + Z * Z / n)
-    return counted.where((F.col("blocked") >= support) & (p >= confidence) & (low > blocked / total))
+    return alone.unionByName(counted.where(tells))
 
 
 def match(sets: DataFrame, rules: DataFrame) -> DataFrame:
@@ -165,9 +210,12 @@ def filter_urls(
     )
     page = F.xxhash64("page_id", "url").alias("page")
     labelled = store(tokenised.join(marks, "page_id").select("tokens", "block", page), "labelled-pages")
-    mined = store(mine(labelled, support, confidence), "url-rules")
-    sets = tokenised.select("tokens").distinct()
-    matched = match(sets, mined).withColumn("mined", F.lit(True))
+    sets = store(with_items(tokenised, stand_ins(labelled, support)), "token-sets")
+    # Pages without an item count among all pages.
+    itemised = labelled.join(sets, "tokens", "left").select(F.coalesce("items", F.array().cast("array<string>")).alias("tokens"), "block", "page")
+    mined = store(mine(store(itemised, "labelled-items"), support, confidence), "url-rules")
+    held = held_rules(sets.withColumnsRenamed({"tokens": "url_tokens", "items": "tokens"}), mined)
+    matched = held.select(F.col("url_tokens").alias("tokens")).distinct().withColumn("mined", F.lit(True))
     name, says = rule_of(F.col("host"), F.col("path"), rules)
     return (
         tokenised.join(matched, "tokens", "left")

@@ -116,3 +116,61 @@ def test_long_urls_end(spark):
     labels = spark.createDataFrame([(i, int(i >= 100), 0) for i, _ in urls], "doc_id long, quality int, toxic int")
     got = {r.page_id: r.verdict for r in url_rules.filter_urls(pages, labels).collect()}
     assert all((got[i] == "block") == (i < 100) for i, _ in urls)
+
+
+def whole_rules(rows, support, confidence):
+    """All telling combinations, without those that hold a token which tells alone."""
+    total, blocked = len(rows), sum(b for _, b in rows)
+    seen = collections.defaultdict(lambda: [0, 0])
+    for tokens, block in rows:
+        for k in range(1, len(tokens) + 1):
+            for rule in itertools.combinations(sorted(tokens), k):
+                seen[rule][0] += 1
+                seen[rule][1] += block
+    z, out = url_rules.Z, {}
+    for rule, (n, hits) in seen.items():
+        p = hits / n
+        low = (p + z * z / (2 * n) - z * math.sqrt((p * (1 - p) + z * z / (4 * n)) / n)) / (1 + z * z / n)
+        if hits >= support and p >= confidence and low > blocked / total:
+            out[rule] = (n, hits)
+    return {(r, *c) for r, c in out.items() if len(r) == 1 or not any((t,) in out for t in r)}
+
+
+def test_rules_of_all_tokens_are_those_of_brute_force(spark):
+    draw = random.Random(6)
+    rows = []
+    for _ in range(300):
+        tokens = sorted(set(draw.choices("abcdefgh", k=draw.randint(0, 5))))
+        rows.append((tokens, ("a" in tokens and "b" in tokens) or "h" in tokens or draw.random() < 0.05))
+    labelled = spark.createDataFrame([(t, b, 7919 * k + 1) for k, (t, b) in enumerate(rows)], "tokens array<string>, block boolean, page long").cache()
+    got = {(tuple(r.rule), r.pages, r.blocked) for r in url_rules.mine(labelled).collect()}
+    assert got == whole_rules(rows, url_rules.SUPPORT, url_rules.CONFIDENCE) and any(len(r) > 1 for r, _, _ in got)
+
+
+def test_a_pair_behind_many_more_telling_tokens_is_found(spark):
+    """Two words block only together, on urls of 14 words each of which says more (before: left out after 10)."""
+    others = [f"w{chr(97 + k)}" for k in range(14)]
+    urls = [f"http://a{i}.net/x{chr(97 + i)}/" + "/".join(w for k, w in enumerate(others) if k % 6 != i) + "/spam/mails" for i in range(6)]
+    labels = [0] * 6
+    for k in range(60):
+        urls += [f"http://b{k}.net/spam/only", f"http://c{k}.net/mails/only"]
+        labels += [1, 1]
+    for w in others:  # on five blocked pages and four others: not telling enough by itself
+        urls += [f"http://d{k}.net/{w}" for k in range(4)]
+        labels += [1] * 4
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate([*urls, "http://z.net/spam/mails"])], "page_id long, url string")
+    marks = spark.createDataFrame([(i, q, 0) for i, q in enumerate(labels)], "doc_id long, quality int, toxic int")
+    got = {r.page_id: r.verdict for r in url_rules.filter_urls(pages, marks).collect()}
+    assert got[len(urls)] == "block"
+    assert all(got[i] == ("allow" if q else "block") for i, q in enumerate(labels))
+
+
+def test_tokens_of_the_same_pages_are_one_item(spark):
+    """Long urls, blocked and not, whose words always stand together; a url with some of the words counts too."""
+    words = "/".join(f"w{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(60))
+    urls = [f"http://bad.net/{words}/odd" for _ in range(6)] + [f"http://good.net/{words}" for _ in range(6)] + [f"http://good.net/{i}/odd" for i in range(20)]
+    pages = spark.createDataFrame([*enumerate(urls), (90, "http://new.net/waf/odd"), (91, "http://new.net/waf")], "page_id long, url string")
+    labels = spark.createDataFrame([(i, int(i >= 6), 0) for i in range(len(urls))], "doc_id long, quality int, toxic int")
+    got = {r.page_id: r.verdict for r in url_rules.filter_urls(pages, labels).collect()}
+    assert all((got[i] == "block") == (i < 6) for i in range(len(urls)))
+    assert got[90] == "block" and got[91] == "allow"
