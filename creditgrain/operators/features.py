@@ -122,11 +122,12 @@ def customer_features(
     (``"account"``, so recency is 0) or a given time. A given time saves the
     pass that looks for the latest one.
 
-    Rows are shuffled once for the measures and once for the attributes, each with
-    the columns it needs. Distinct counts and modes come from the counts per
-    (account, attribute, value), made where an account's rows have met; no buffer
-    holds a set or map of values. Accounts of more than ``HEAVY_ROWS`` rows are
-    spread over ``SPREAD`` tasks (``_heavy``), so none waits for a third of all rows.
+    Rows are shuffled once, with the columns that the features need, and all features
+    of an account are made where its rows have met. Accounts in a hash group of more
+    than ``HEAVY_ROWS`` rows (``_heavy``) are kept apart: they are spread over ``SPREAD``
+    tasks, so none waits for a third of all rows, and their distinct counts and modes
+    come from counts per (account, attribute, value). So a buffer holds the values of
+    ``HEAVY_ROWS`` rows at most.
     """
     unknown = [c for c in columns if c not in FEATURES]
     if unknown:
@@ -137,17 +138,15 @@ def customer_features(
     aggregates = dict(m for f, m in measures.items() if f in columns or f == "Frequency")
 
     plain = txns.where(F.col(ACCOUNT).isNotNull())
-    measured = plain
-    if len(aggregates) > FEW_MEASURES:
-        # Partial sums of so many measures are several times as wide as a transaction.
-        own = F.xxhash64("TransactionId", "TransactionStartTime", "Value")
-        measured = plain.withColumn("_part", _part(_heavy(plain), own)).repartition(ACCOUNT, "_part")
-    grouped = with_time_parts(measured).groupBy(ACCOUNT).agg(*[a.alias(n) for n, a in aggregates.items()])
+    measured = [a.alias(n) for n, a in aggregates.items()]
     if needed:
-        grouped = grouped.join(_attribute_features(plain, needed), ACCOUNT, "left")
-        # an account whose values are all missing has no distinct ones
-        counts = [distinct for _, distinct, _ in needed if distinct]
-        grouped = grouped.fillna(0, counts)
+        heavy = _heavy(plain)
+        grouped = _light_features(plain.where(~heavy), measured, needed)
+        grouped = grouped.unionByName(_heavy_features(plain.where(heavy), measured, needed))
+    elif len(aggregates) > FEW_MEASURES:
+        grouped = with_time_parts(_spread(plain, _heavy(plain))).groupBy(ACCOUNT).agg(*measured)
+    else:
+        grouped = with_time_parts(plain).groupBy(ACCOUNT).agg(*measured)
 
     final = {
         "Recency": lambda: _recency(txns, reference_time, F.col("_last")),
@@ -172,28 +171,51 @@ def _part(heavy: Column, own: Column) -> Column:
     return F.when(heavy, F.pmod(own, F.lit(SPREAD)) + 1).otherwise(F.lit(0).cast("bigint"))
 
 
+def _spread(rows: DataFrame, heavy: Column) -> DataFrame:
+    """Rows of an account in one task, those of heavy accounts in ``SPREAD``: partial sums of
+    many measures are several times as wide as a transaction."""
+    own = F.xxhash64("TransactionId", "TransactionStartTime", "Value")
+    return rows.withColumn("_part", _part(heavy, own)).repartition(ACCOUNT, "_part")
+
+
+def _light_features(rows: DataFrame, measured: Sequence[Column], attributes: Sequence[tuple]) -> DataFrame:
+    """Measures, distinct counts and modes (most rows, then smallest value) of accounts of few
+    rows, which meet in one task. They are sorted by account there, not by its values."""
+    found = []
+    for name, distinct, mode in attributes:
+        found.append(F.mode(name, True).alias(mode))
+        if distinct:
+            found.append(F.size(F.collect_set(name)).cast("bigint").alias(distinct))
+    # of the id, only whether there is one is counted
+    met = rows.withColumn("TransactionId", F.when(F.col("TransactionId").isNotNull(), F.lit(True))).repartition(ACCOUNT)
+    return with_time_parts(met).groupBy(ACCOUNT).agg(*measured, *found)
+
+
+def _heavy_features(rows: DataFrame, measured: Sequence[Column], attributes: Sequence[tuple]) -> DataFrame:
+    """The same for accounts of many rows, each spread over several tasks."""
+    grouped = with_time_parts(_spread(rows, F.lit(True))).groupBy(ACCOUNT).agg(*measured)
+    grouped = grouped.join(_attribute_features(rows, attributes), ACCOUNT, "left")
+    # an account whose values are all missing has no distinct ones
+    return grouped.fillna(0, [distinct for _, distinct, _ in attributes if distinct])
+
+
 def _attribute_features(rows: DataFrame, attributes: Sequence[tuple]) -> DataFrame:
-    """Distinct counts and modes (most rows, then smallest value) per account.
+    """Distinct counts and modes per account, from counts of its values.
 
-    A row is shuffled as it is, with all attributes, and becomes a line for each of them
-    after that. Only rows of heavy accounts are taken apart before, so that all lines of
-    a value go to the part that the value says: every count is whole where it is made.
+    A row becomes a line for each attribute before it is shuffled, so that all lines of a
+    value go to the part that the value says: every count is whole where it is made.
     """
     names = [name for name, _, _ in attributes]
     types = {name: rows.schema[name].dataType for name in names}
     no_text, no_number = F.lit(None).cast("string"), F.lit(None).cast("bigint")
-    every = F.lit(None).cast("int")
     kinds = [F.lit(None).cast(types[name]) for name in names]
     taken_apart = [
         F.struct(F.lit(i).alias("slot"), *[(F.col(n) if n == name else none).alias(n) for n, none in zip(names, kinds, strict=True)])
         for i, name in enumerate(names)
     ]
-    whole = F.struct(every.alias("slot"), *names)
     lines = (
-        rows.select(ACCOUNT, *names)
-        .withColumn("_heavy", _heavy(rows))
-        .select(ACCOUNT, "_heavy", F.explode(F.when(F.col("_heavy"), F.array(*taken_apart)).otherwise(F.array(whole))).alias("_line"))
-        .select(ACCOUNT, "_line.*", _part(F.col("_heavy"), F.xxhash64("_line")).alias("_part"))
+        rows.select(ACCOUNT, F.explode(F.array(*taken_apart)).alias("_line"))
+        .select(ACCOUNT, "_line.*", _part(F.lit(True), F.xxhash64("_line")).alias("_part"))
         .repartition(ACCOUNT, "_part")
     )
     slots: list[Column] = []

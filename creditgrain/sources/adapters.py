@@ -24,19 +24,19 @@ def line_facts(spark: SparkSession, directory: str) -> DataFrame:
     """
     returned = F.col("l_returnflag") == "R"
     suspicious = returned & (F.col("l_linestatus") == "F") & (F.col("l_quantity") >= 48)
+    pricing = F.round(F.col("l_discount") * 100).cast("int") % 5
     keys = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     joined = (
         _table(spark, directory, "lineitem")
-        .select(*keys, "l_extendedprice", "l_discount", returned.alias("returned"), suspicious.alias("suspicious"))
+        .select(*keys, "l_extendedprice", pricing.alias("pricing"), returned.alias("returned"), suspicious.alias("suspicious"))
         .join(_table(spark, directory, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
         .join(_table(spark, directory, "part"), F.col("l_partkey") == F.col("p_partkey"))
         .join(_table(spark, directory, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
         .join(_table(spark, directory, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
         .join(_table(spark, directory, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     )
-    pricing = (F.round(F.col("l_discount") * 100).cast("int") % 5).alias("pricing")
     taken = ("o_custkey", "o_orderpriority", "o_orderdate", "p_type", "s_nationkey", "r_name")
-    return joined.select(*keys, "l_extendedprice", pricing, "returned", "suspicious", *taken)
+    return joined.select(*keys, "l_extendedprice", "pricing", "returned", "suspicious", *taken)
 
 
 def txns_from_facts(facts: DataFrame) -> DataFrame:

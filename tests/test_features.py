@@ -203,3 +203,28 @@ def test_stored_lines_hold_each_value_once(spark):
     # before: 16 columns, some of which are others over again
     names = line_facts(spark, d).columns
     assert spark.read.parquet(*stored.inputFiles()).columns == names and len(set(names)) == 14
+
+
+def test_a_transaction_is_shuffled_once_for_all_features(spark):
+    """Before: once for the measures, once for the attributes, and the counts of values were sorted."""
+    plan = customer_features(catalog.lines(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().sparkPlan().toString()
+    branches = plan[plan.index("Union") :].split("\n+- ")
+    light = branches[0]
+    assert light.count("AccountId") and light.count("hashpartitioning") <= 1
+    assert "ObjectHashAggregate" in light and "Generate" not in light and "Join" not in light
+
+
+def test_of_a_discount_only_the_price_step_is_shuffled(spark):
+    plan = line_facts(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("l_discount")
+
+
+def test_modes_and_distinct_counts_of_odd_values(make):
+    """Text in the order of its bytes, extreme numbers, repeated rows, missing values outnumbering others."""
+    rows = [
+        {"AccountId": 1, "ChannelId": c, "ProviderId": p}
+        for c, p in (("é", 2**63 - 1), ("z", -(2**63)), ("", 0), ("é", -(2**63)), ("z", 2**63 - 1), (None, None), (None, None), (None, None))
+    ]
+    row = customer_features(make(*rows)).first()
+    assert row.MostFrequentChannel == "z" and row.UniqueChannels == 3
+    assert row.MostFrequentProviderId == -(2**63) and row.UniqueProviders == 3
