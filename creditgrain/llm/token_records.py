@@ -16,6 +16,7 @@ tasks are never read.
 
 from __future__ import annotations
 
+import string
 import struct
 import uuid
 import zlib
@@ -38,7 +39,7 @@ VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
 CACHED = 800_000
 TOGETHER = 20_000  # words encoded as one text
-MARKS = {b",", b".", b"!", b"?", b";", b":"}
+MARKS = string.punctuation.encode()
 HEAD = struct.Struct("<QI")
 START = struct.Struct("<?qB")  # the id is missing, the id, bytes of a token
 MANIFEST = "part long, first_id long, path string, records long, tokens long, bytes long"
@@ -71,14 +72,17 @@ class _Words(dict):
         self.ends_word = np.zeros(max(kinds.values()) + 1, bool)
         self.ends_word[[i for token, i in kinds.items() if token.endswith("</w>")]] = True
 
-    def learn(self, words: Iterable[bytes]) -> None:
-        """Encode words that aren't known yet.
+    def learn(self, words: Iterable[bytes]) -> list[bytes]:
+        """Ids of the words; those that aren't known yet are encoded.
 
         A word of letters is one run of merges and ends with the one token that ends
-        a word, so such words are encoded together; one mark after it is a run of its own.
+        a word, so such words are encoded together; ASCII marks after it are a run of their own.
         """
-        new = [w for w in words if w not in self]
-        bodies = [w[:-1] if w[-1:] in MARKS else w for w in new]
+        words = list(words)
+        known = [*map(self.get, words)]
+        missing = [k for k, ids in enumerate(known) if ids is None]
+        new = [words[k] for k in missing]
+        bodies = [w.rstrip(MARKS) for w in new]
         plain = [b.decode("utf-8", "replace").isalpha() for b in bodies]
         letters = list({b for b, alone in zip(bodies, plain, strict=True) if alone and b not in self})
         if letters:
@@ -90,17 +94,21 @@ class _Words(dict):
                 data, width = ids.tobytes(), ids.itemsize
                 bounds = [0, *(cuts * width).tolist()]
                 self.update(zip(letters, [data[a:b] for a, b in zip(bounds, bounds[1:], strict=False)], strict=True))
-        for mark in MARKS - self.keys():
-            self[mark] = self.one_by_one([mark])[0]
         rest = []
-        for word, body, alone in zip(new, bodies, plain, strict=True):
-            if word in self:
+        for k, word, body, alone in zip(missing, new, bodies, plain, strict=True):
+            ids = self.get(body) if alone else None
+            if ids is None:
+                rest.append(k)
                 continue
-            if alone and body in self and len(body) < len(word):
-                self[word] = self[body] + self[word[-1:]]
-            else:
-                rest.append(word)
-        self.update(zip(rest, self.one_by_one(rest), strict=True))
+            if len(body) < len(word):
+                run = word[len(body) :]
+                if run not in self:
+                    self[run] = self.one_by_one([run])[0]
+                ids = self[word] = ids + self[run]
+            known[k] = ids
+        for k, ids in zip(rest, self.one_by_one([words[k] for k in rest]), strict=True):
+            known[k] = self[words[k]] = ids
+        return known
 
     def one_by_one(self, words: list[bytes]) -> list[bytes]:
         texts = [w.decode("utf-8", "replace") for w in words]
@@ -133,14 +141,13 @@ def encode(texts: list[bytes], path: str, end_id: int = END_ID) -> tuple[list[by
     lower = pa.array(lower, pa.binary()).view(pa.string())
     split = pc.ascii_split_whitespace(lower)
     coded = split.flatten().view(pa.binary()).dictionary_encode()
-    words = coded.dictionary.to_pylist()
+    words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
     if len(memo) + len(words) > CACHED:
         memo.clear()
     memo[b""] = b""  # before and after white space at the ends of a text
-    memo.learn(words)
     # Ids of each distinct word, and of the end, one after the other; then those of the texts.
     width = np.dtype(memo.kind).itemsize
-    known = [*map(memo.__getitem__, words), np.array([end_id], memo.kind).tobytes()]
+    known = [*memo.learn(words), np.array([end_id], memo.kind).tobytes()]
     lengths = np.fromiter(map(len, known), np.int64, len(known)) // width
     first = np.cumsum(lengths) - lengths
     bounds = split.offsets.to_numpy()

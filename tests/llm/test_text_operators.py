@@ -212,6 +212,23 @@ def test_token_records(odd, odd_rows, empty):
     assert token_records.read_records(token_records.write_records(empty)).count() == 0
 
 
+def test_marks_after_a_word_are_no_new_word(monkeypatch):
+    """Before: only one mark of six was told from its word; others were encoded with each word."""
+    from tokenizers import Tokenizer
+
+    words = [b + m for b in ("heat", "ñandú", "straße", "don't", "a1", "x—", "e\u0301", "") for m in ("", ".", "***", "$$$", ".***", "'", "'s", "_", "%,%", "§", "!é")]
+    path = public_tokenizers.path(token_records.VOCABULARY)
+    known = Tokenizer.from_file(path)
+    asked = []
+    whole = token_records._Words.one_by_one
+    monkeypatch.setattr(token_records, "_loaded", {})
+    monkeypatch.setattr(token_records._Words, "one_by_one", lambda self, words: asked.extend(words) or whole(self, words))
+    packed, kind = token_records.encode([" ".join(words).encode(), *[w.encode() for w in words]], path)
+    expected = [known.encode(t, add_special_tokens=False).ids + [token_records.END_ID] for t in (" ".join(words), *words)]
+    assert [np.frombuffer(p, kind).tolist() for p in packed] == expected
+    assert b"***" in asked and b"heat***" not in asked and "ñandú.***".encode() not in asked and b"don't***" in asked
+
+
 def test_token_records_of_added_tokens(build):
     from tokenizers import Tokenizer
 
