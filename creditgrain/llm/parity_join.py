@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creditgrain.session import discard, store
+from creditgrain.session import discard, store, sweep
 
 from .bloom import bloom_of, may_hold
 from .common import column, fresh, mix, numbered, numbered_texts, release, shingle_sets, table, text_blocks
@@ -260,6 +260,7 @@ class _Join:
         self.rows = rows
         self.context = rows.sparkSession.sparkContext
         often, salt = self.frequencies(first_salt)
+        sweep(rows.sparkSession)  # here and below: the next step shuffles as much again
         sets = store(
             rows.mapInArrow(
                 _nodes(self.context.broadcast(often), salt),
@@ -277,9 +278,11 @@ class _Join:
             .select("key")
         )
         held = self.context.broadcast(bloom_of(repeated, "key"))
+        sweep(rows.sparkSession)
         self.members = store(
             filled.select("keys", "node", "size").mapInArrow(_members(held), "key long, node long, size long").distinct(), "members"
         )
+        sweep(rows.sparkSession)
         #: A row for each node; of its copies, the one with the smallest row.
         self.nodes = store(
             filled.groupBy("node").agg(

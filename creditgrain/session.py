@@ -72,12 +72,19 @@ def store(df: DataFrame, name: str = "table", **options: str | int) -> DataFrame
 def discard(*tables: DataFrame) -> None:
     """Delete tables that ``store`` wrote and nothing will read again.
 
-    Spark removes the shuffle files of finished jobs when the driver collects its garbage,
-    which may be half an hour later; here they go too.
+    The shuffle files of finished jobs go too (``sweep``).
     """
     for table in tables:
         spark = table.sparkSession
         path = spark._jvm.org.apache.hadoop.fs.Path(table.stored_at)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
     if tables:
-        tables[0].sparkSession._jvm.System.gc()
+        sweep(tables[0].sparkSession)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Have the shuffle files of finished jobs removed.
+
+    Spark does so when the driver collects its garbage, which may be half an hour later.
+    """
+    spark._jvm.System.gc()

@@ -377,3 +377,13 @@ def test_quality_sample_ranks_few_rows(spark, build):
         got = sorted(r.hash for r in left if r.quality == label)
         assert got[:30] == first and len(got) < 40
     assert pairwise_quality.smallest_hashes(ids.limit(0), 30).count() == 0
+
+
+def test_shuffle_files_of_a_finished_step_go_before_the_next(odd, monkeypatch):
+    """Before: those of the part counts and of the repeated keys lay beside the members'."""
+    done = []
+    monkeypatch.setattr(parity_join, "sweep", lambda spark: done.append("sweep"))
+    stored = parity_join.store
+    monkeypatch.setattr(parity_join, "store", lambda df, name: done.append(name) or stored(df, name))
+    parity_join._Join(parity_join.numbered_texts(odd))
+    assert done[-7:] == ["sweep", "sets", "sweep", "members", "sweep", "nodes", "documents"]
