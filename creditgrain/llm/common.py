@@ -42,9 +42,9 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(context.applicationId)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def table(spark: SparkSession, sf_dir: str, name: str, batch_bytes: int = ARROW_BYTES) -> DataFrame:
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)  # long texts: fewer rows a batch
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", batch_bytes)  # long texts: fewer rows a batch
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -29,12 +29,13 @@ from pyspark.sql import functions as F
 
 from creditgrain.session import store
 
-from .common import column, id_and_text, table, text_blocks
+from .common import column, id_and_text, release, table, text_blocks
 from .token_records import VOCABULARY, encode
 
 SIZE = 2048
 END_ID = 0
 BLOCK_ROWS = 200_000  # pieces numbered by one task at a time
+TEXT_BYTES = 1 << 22  # a batch that an executor hands to Python; it is held several times over there
 
 
 # ------------------------------------------------------------------ the plan
@@ -130,6 +131,7 @@ def _pieces(tokenizer: str, end_id: int, size: int):
                 ],
                 ["doc_id", "piece", "start", "length", "ids_crc32"],
             )
+        release()
 
     return run
 
@@ -174,7 +176,8 @@ def pack(pieces: DataFrame, size: int = SIZE, block_rows: int = BLOCK_ROWS) -> D
     total = pieces.count()
     blocks = 1 << max(0, (total // block_rows).bit_length())
     block = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(blocks)).cast("int").alias("block")
-    cells = pieces.groupBy("length", block).agg(F.count(F.lit(1)).alias("n"))
+    # counted once, for the plan and for the places: a row a length and block
+    cells = store(pieces.groupBy("length", block).agg(F.count(F.lit(1)).alias("n")), "cells")
     counts = {r.length: r.n for r in cells.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most ``size``
     shared = spark.sparkContext.broadcast(places(plan(counts, size), size))
     before = Window.partitionBy("length").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # of one row a block
@@ -201,4 +204,4 @@ def pack_documents(docs: DataFrame, size: int = SIZE, tokenizer: str | None = No
 
 
 def op12_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(table(spark, sf_dir, "documents"))
+    return pack_documents(table(spark, sf_dir, "documents", TEXT_BYTES))

@@ -77,6 +77,13 @@ def test_one_length_for_all(spark):
     assert len(rows) == 5000 and check(rows, 10) == -(-5000 // 3)
 
 
+def test_lengths_are_counted_once_and_batches_are_small(spark):
+    """Before: once for the plan and again for the places, with batches of 16 MB of text in every executor."""
+    packed = sp.op12_slack_packing(spark, "/root/testdata/sf0.001")
+    assert "HashAggregate" not in packed._jdf.queryExecution().sparkPlan().toString()
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 1 << 22
+
+
 def test_fullest_is_exact():
     draw = random.Random(5)
     for _ in range(300):
