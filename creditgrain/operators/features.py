@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -70,6 +71,10 @@ ReferenceTime = str | dt.datetime
 GROUPS = 1 << 16
 HEAVY_ROWS = 1 << 20
 SPREAD = 64
+# Rows of a task that sorts accounts, so that its sort stays in memory whatever the input's size;
+# below the second number a task is not worth its start.
+TASK_ROWS = 1 << 18
+LEAST_ROWS = 1 << 14
 # More measures than this are wider as partial sums than as the columns they come from.
 FEW_MEASURES = 8
 
@@ -127,7 +132,8 @@ def customer_features(
     than ``HEAVY_ROWS`` rows (``_heavy``) are kept apart: they are spread over ``SPREAD``
     tasks, so none waits for a third of all rows, and their distinct counts and modes
     come from counts per (account, attribute, value). So a buffer holds the values of
-    ``HEAVY_ROWS`` rows at most.
+    ``HEAVY_ROWS`` rows at most. The accounts are counted when this is called: there are as
+    many tasks as ``TASK_ROWS`` rows each ask for.
     """
     unknown = [c for c in columns if c not in FEATURES]
     if unknown:
@@ -140,11 +146,12 @@ def customer_features(
     plain = txns.where(F.col(ACCOUNT).isNotNull())
     measured = [a.alias(n) for n, a in aggregates.items()]
     if needed:
-        heavy = _heavy(plain)
-        grouped = _light_features(plain.where(~heavy), measured, needed)
-        grouped = grouped.unionByName(_heavy_features(plain.where(heavy), measured, needed))
+        heavy, light_tasks, heavy_tasks = _heavy(plain)
+        grouped = _light_features(plain.where(~heavy), measured, needed, light_tasks)
+        grouped = grouped.unionByName(_heavy_features(plain.where(heavy), measured, needed, heavy_tasks))
     elif len(aggregates) > FEW_MEASURES:
-        grouped = with_time_parts(_spread(plain, _heavy(plain))).groupBy(ACCOUNT).agg(*measured)
+        heavy, light_tasks, heavy_tasks = _heavy(plain)
+        grouped = with_time_parts(_spread(plain, heavy, light_tasks + heavy_tasks)).groupBy(ACCOUNT).agg(*measured)
     else:
         grouped = with_time_parts(plain).groupBy(ACCOUNT).agg(*measured)
 
@@ -158,12 +165,22 @@ def customer_features(
     )
 
 
-def _heavy(rows: DataFrame) -> Column:
-    """Whether an account is in a group of more than ``HEAVY_ROWS`` rows."""
+def _heavy(rows: DataFrame) -> tuple[Column, int, int]:
+    """Whether an account is in a group of more than ``HEAVY_ROWS`` rows, and the tasks for the
+    rows of other accounts and of such."""
     group = F.pmod(F.xxhash64(ACCOUNT), F.lit(GROUPS))
-    # a scalar subquery: one extra pass over the accounts, of which a count a group leaves a task
-    groups = rows.groupBy(group.alias("_group")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > HEAVY_ROWS)
-    return F.array_contains(groups.agg(F.collect_list("_group")).scalar(), group)
+    # one extra pass over the accounts, of which a count a group leaves a task
+    many = F.col("_n") > HEAVY_ROWS
+    found = (
+        rows.groupBy(group.alias("_group"))
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .agg(*[F.coalesce(F.sum(F.when(own, F.col("_n"))), F.lit(0)) for own in (~many, many)], F.collect_list(F.when(many, F.col("_group"))))
+        .first()
+    )
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    light, heavy = (max(1, math.ceil(n / TASK_ROWS), min(cores, math.ceil(n / LEAST_ROWS))) for n in found[:2])
+    # no group has the number -1
+    return group.isin(-1, *found[2]), light, heavy
 
 
 def _part(heavy: Column, own: Column) -> Column:
@@ -171,14 +188,14 @@ def _part(heavy: Column, own: Column) -> Column:
     return F.when(heavy, F.pmod(own, F.lit(SPREAD)) + 1).otherwise(F.lit(0).cast("bigint"))
 
 
-def _spread(rows: DataFrame, heavy: Column) -> DataFrame:
+def _spread(rows: DataFrame, heavy: Column, tasks: int) -> DataFrame:
     """Rows of an account in one task, those of heavy accounts in ``SPREAD``: partial sums of
     many measures are several times as wide as a transaction."""
     own = F.xxhash64("TransactionId", "TransactionStartTime", "Value")
-    return rows.withColumn("_part", _part(heavy, own)).repartition(ACCOUNT, "_part")
+    return rows.withColumn("_part", _part(heavy, own)).repartition(tasks, ACCOUNT, "_part")
 
 
-def _light_features(rows: DataFrame, measured: Sequence[Column], attributes: Sequence[tuple]) -> DataFrame:
+def _light_features(rows: DataFrame, measured: Sequence[Column], attributes: Sequence[tuple], tasks: int) -> DataFrame:
     """Measures, distinct counts and modes (most rows, then smallest value) of accounts of few
     rows, which meet in one task. They are sorted by account there, not by its values."""
     found = []
@@ -187,19 +204,19 @@ def _light_features(rows: DataFrame, measured: Sequence[Column], attributes: Seq
         if distinct:
             found.append(F.size(F.collect_set(name)).cast("bigint").alias(distinct))
     # of the id, only whether there is one is counted
-    met = rows.withColumn("TransactionId", F.when(F.col("TransactionId").isNotNull(), F.lit(True))).repartition(ACCOUNT)
+    met = rows.withColumn("TransactionId", F.when(F.col("TransactionId").isNotNull(), F.lit(True))).repartition(tasks, ACCOUNT)
     return with_time_parts(met).groupBy(ACCOUNT).agg(*measured, *found)
 
 
-def _heavy_features(rows: DataFrame, measured: Sequence[Column], attributes: Sequence[tuple]) -> DataFrame:
+def _heavy_features(rows: DataFrame, measured: Sequence[Column], attributes: Sequence[tuple], tasks: int) -> DataFrame:
     """The same for accounts of many rows, each spread over several tasks."""
-    grouped = with_time_parts(_spread(rows, F.lit(True))).groupBy(ACCOUNT).agg(*measured)
-    grouped = grouped.join(_attribute_features(rows, attributes), ACCOUNT, "left")
+    grouped = with_time_parts(_spread(rows, F.lit(True), tasks)).groupBy(ACCOUNT).agg(*measured)
+    grouped = grouped.join(_attribute_features(rows, attributes, tasks), ACCOUNT, "left")
     # an account whose values are all missing has no distinct ones
     return grouped.fillna(0, [distinct for _, distinct, _ in attributes if distinct])
 
 
-def _attribute_features(rows: DataFrame, attributes: Sequence[tuple]) -> DataFrame:
+def _attribute_features(rows: DataFrame, attributes: Sequence[tuple], tasks: int) -> DataFrame:
     """Distinct counts and modes per account, from counts of its values.
 
     A row becomes a line for each attribute before it is shuffled, so that all lines of a
@@ -216,7 +233,7 @@ def _attribute_features(rows: DataFrame, attributes: Sequence[tuple]) -> DataFra
     lines = (
         rows.select(ACCOUNT, F.explode(F.array(*taken_apart)).alias("_line"))
         .select(ACCOUNT, "_line.*", _part(F.lit(True), F.xxhash64("_line")).alias("_part"))
-        .repartition(ACCOUNT, "_part")
+        .repartition(tasks * len(names), ACCOUNT, "_part")
     )
     slots: list[Column] = []
     for i, name in enumerate(names):

@@ -6,11 +6,18 @@ measures as small and shuffles the rest, splitting skewed partitions.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .transactions import conform
 
+# Lines that a task of their join with the orders sorts, so that the sort stays in memory whatever
+# the input's size; up to so many tasks the number is left to Spark, which may broadcast the orders.
+TASK_ROWS = 1 << 18
+FEW_TASKS = 16
+
 
 def _table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{directory}/{name}.parquet")
@@ -26,10 +33,14 @@ def line_facts(spark: SparkSession, directory: str) -> DataFrame:
     suspicious = returned & (F.col("l_linestatus") == "F") & (F.col("l_quantity") >= 48)
     pricing = F.round(F.col("l_discount") * 100).cast("int") % 5
     keys = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    lines = _table(spark, directory, "lineitem")
+    orders = _table(spark, directory, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderdate")
+    tasks = math.ceil(lines.count() / TASK_ROWS)
+    lines = lines.select(*keys, "l_extendedprice", pricing.alias("pricing"), returned.alias("returned"), suspicious.alias("suspicious"))
+    if tasks > FEW_TASKS:
+        lines, orders = lines.repartition(tasks, "l_orderkey"), orders.repartition(tasks, "o_orderkey")
     joined = (
-        _table(spark, directory, "lineitem")
-        .select(*keys, "l_extendedprice", pricing.alias("pricing"), returned.alias("returned"), suspicious.alias("suspicious"))
-        .join(_table(spark, directory, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+        lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         .join(_table(spark, directory, "part"), F.col("l_partkey") == F.col("p_partkey"))
         .join(_table(spark, directory, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
         .join(_table(spark, directory, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))

@@ -11,7 +11,7 @@ from creditgrain.operators import features
 from creditgrain.operators.features import FEATURES, customer_features, rfm_summary
 from creditgrain.plans import catalog
 from creditgrain.schema import TRANSACTIONS, with_string_ids
-from creditgrain.sources import conform, line_facts, txns_from_lines
+from creditgrain.sources import adapters, conform, line_facts, txns_from_lines
 
 # The account features of the ten-transaction example.
 GOLDEN = {
@@ -214,6 +214,27 @@ def test_a_transaction_is_shuffled_once_for_all_features(spark):
     assert "ObjectHashAggregate" in light and "Generate" not in light and "Join" not in light
 
 
+def test_tasks_grow_with_the_rows(make, monkeypatch):
+    """Before: as many as shuffle partitions, or fewer, however many rows each had to sort."""
+    monkeypatch.setattr(features, "TASK_ROWS", 10)
+    txns = make(*[{"AccountId": i % 50, "Value": 1.0, "Amount": 1.0} for i in range(400)])
+    shuffles = customer_features(txns)._jdf.queryExecution().sparkPlan().toString()
+    assert "REPARTITION_BY_NUM, " in shuffles and "hashpartitioning(AccountId" in shuffles
+    assert f"{-(-400 // 10)}), REPARTITION_BY_NUM" in shuffles and "REPARTITION_BY_COL" not in shuffles
+
+
+def test_tasks_of_the_line_join_grow_with_the_lines(spark, monkeypatch):
+    d = "/root/testdata/sf0.001"
+    plain = line_facts(spark, d)
+    monkeypatch.setattr(adapters, "TASK_ROWS", 100)
+    cut = line_facts(spark, d)
+    plan = cut._jdf.queryExecution().sparkPlan().toString()
+    tasks = -(-spark.read.parquet(f"{d}/lineitem.parquet").count() // 100)
+    for key in ("l_orderkey", "o_orderkey"):
+        assert any(f"hashpartitioning({key}" in line and f"{tasks}), REPARTITION_BY_NUM" in line for line in plan.split("\n"))
+    assert cut.exceptAll(plain).isEmpty() and plain.exceptAll(cut).isEmpty()
+
+
 def test_of_a_discount_only_the_price_step_is_shuffled(spark):
     plan = line_facts(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Join") < plan.index("l_discount")
