@@ -30,12 +30,11 @@ from pyspark.sql import functions as F
 from creditgrain.session import store
 
 from .common import column, id_and_text, release, table, text_blocks
-from .token_records import VOCABULARY, encode
+from .token_records import TEXT_BYTES, VOCABULARY, encode
 
 SIZE = 2048
 END_ID = 0
 BLOCK_ROWS = 200_000  # pieces numbered by one task at a time
-TEXT_BYTES = 1 << 22  # a batch that an executor hands to Python; it is held several times over there
 
 
 # ------------------------------------------------------------------ the plan

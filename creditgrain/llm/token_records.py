@@ -33,12 +33,14 @@ from pyspark.sql.window import Window
 
 from creditgrain.session import new_shared_path, store
 
-from .common import id_and_text, table, text_blocks
+from .common import id_and_text, release, table, text_blocks
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
-CACHED = 800_000
-TOGETHER = 20_000  # words encoded as one text
+CACHED_BYTES = 1 << 27  # of words and their ids, about, that a worker remembers before it starts anew
+ENTRY_BYTES = 200  # of a word besides its text and ids
+TOGETHER = 20_000  # words encoded as one text, or in one call
+TEXT_BYTES = 1 << 22  # a batch that an executor hands to Python; it is held several times over there
 MARKS = string.punctuation.encode()
 HEAD = struct.Struct("<QI")
 START = struct.Struct("<?qB")  # the id is missing, the id, bytes of a token
@@ -64,6 +66,7 @@ class _Words(dict):
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        self.held = 0
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [token.content.encode() for token in self.tokenizer.get_added_tokens_decoder().values()]
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
@@ -79,6 +82,7 @@ class _Words(dict):
         a word, so such words are encoded together; ASCII marks after it are a run of their own.
         """
         words = list(words)
+        had = len(self)
         known = [*map(self.get, words)]
         missing = [k for k, ids in enumerate(known) if ids is None]
         new = [words[k] for k in missing]
@@ -108,11 +112,19 @@ class _Words(dict):
             known[k] = ids
         for k, ids in zip(rest, self.one_by_one([words[k] for k in rest]), strict=True):
             known[k] = self[words[k]] = ids
+        self.held += ENTRY_BYTES * (len(self) - had) + sum(len(words[k]) + len(known[k]) for k in missing)
         return known
 
     def one_by_one(self, words: list[bytes]) -> list[bytes]:
-        texts = [w.decode("utf-8", "replace") for w in words]
-        return [np.array(found.ids, self.kind).tobytes() for found in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        out = []
+        for k in range(0, len(words), TOGETHER):  # what the tokenizer tells of a word is far larger than its ids
+            texts = [w.decode("utf-8", "replace") for w in words[k : k + TOGETHER]]
+            out += [np.array(found.ids, self.kind).tobytes() for found in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return out
+
+    def forget(self) -> None:
+        self.clear()
+        self.held = 0
 
 
 _loaded: dict[str, _Words] = {}
@@ -142,8 +154,8 @@ def encode(texts: list[bytes], path: str, end_id: int = END_ID) -> tuple[list[by
     split = pc.ascii_split_whitespace(lower)
     coded = split.flatten().view(pa.binary()).dictionary_encode()
     words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-    if len(memo) + len(words) > CACHED:
-        memo.clear()
+    if memo.held > CACHED_BYTES:
+        memo.forget()
     memo[b""] = b""  # before and after white space at the ends of a text
     # Ids of each distinct word, and of the end, one after the other; then those of the texts.
     width = np.dtype(memo.kind).itemsize
@@ -202,6 +214,7 @@ def _write(folder: str, tokenizer: str, end_id: int):
                 tokens += sum(map(len, packed)) // width
                 if first is None and any(i is not None for i in ids):
                     first = next(i for i in ids if i is not None)
+        release()
         if records:
             yield pa.RecordBatch.from_pydict(
                 {"part": [part], "first_id": pa.array([first], pa.int64()), "path": [f"{name}.rec"], "records": [records], "tokens": [tokens], "bytes": [at]}
@@ -293,6 +306,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     )
                     start += int(counts.sum())
                     k = stop
+    release()
 
 
 def read_records(manifest: DataFrame) -> DataFrame:
@@ -306,4 +320,4 @@ def read_records(manifest: DataFrame) -> DataFrame:
 
 
 def op8_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_records(write_records(table(spark, sf_dir, "documents")))
+    return read_records(write_records(table(spark, sf_dir, "documents", TEXT_BYTES)))

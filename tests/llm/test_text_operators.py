@@ -229,6 +229,23 @@ def test_marks_after_a_word_are_no_new_word(monkeypatch):
     assert b"***" in asked and b"heat***" not in asked and "ñandú.***".encode() not in asked and b"don't***" in asked
 
 
+def test_words_are_remembered_up_to_a_size_in_bytes(monkeypatch):
+    """Not up to a number of words, which may be long."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(token_records.VOCABULARY)
+    known = Tokenizer.from_file(path)
+    monkeypatch.setattr(token_records, "_loaded", {})
+    monkeypatch.setattr(token_records, "CACHED_BYTES", 100_000)
+    for block in range(20):
+        texts = [f"{block}-{k}-" + "x1y" * 500 for k in range(20)]
+        packed, kind = token_records.encode([t.encode() for t in texts], path)
+        assert [np.frombuffer(p, kind).tolist() for p in packed] == [known.encode(t, add_special_tokens=False).ids + [token_records.END_ID] for t in texts]
+        memo = token_records._loaded[path]
+        held = sum(len(word) + len(ids) for word, ids in memo.items())
+        assert held <= memo.held <= 100_000 + sum(map(len, texts)) + sum(map(len, packed)) + token_records.ENTRY_BYTES * len(texts)
+
+
 def test_token_records_of_added_tokens(build):
     from tokenizers import Tokenizer
 
