@@ -26,9 +26,11 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import id_and_text, release, table, text_blocks
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
-CACHED_BYTES = 1 << 26  # of encodings, about, that a task remembers of a kind before it starts anew
-KEPT_BYTES = 1 << 24  # and that a worker keeps for its next task
+CACHED_BYTES = 1 << 27  # of encodings, about, that a task remembers of a kind before it drops those met once
+KEPT_BYTES = 1 << 25  # and that a worker keeps for its next task
 ENTRY_BYTES = 200  # of an entry besides its texts
+TOGETHER_BYTES = 64  # of pieces whose tables are made together
+KNOWN_PLACES = 20  # log2 of the entries that they look up as arrays
 PLAIN_ENDS = (",", ".", "!", "?", ";", ":")
 TWO_SPACES = re.compile(r"\s\s")
 
@@ -60,12 +62,15 @@ class ByteBPE:
         self.step = _Steps(self)
         self.pairs, self.pieces = _Pairs(self), _Pieces(self)
         self.after_space, self.alone = _Memo(self, " "), _Memo(self, "")
+        self.tables = _Tables(self)
 
     def forget(self) -> None:
         """Drop encodings beyond ``KEPT_BYTES``: workers go on to other tasks."""
         for memo in (self.pairs, self.pieces, self.after_space, self.alone):
             if memo.held > KEPT_BYTES:
                 memo.forget()
+            if memo.held > KEPT_BYTES:
+                memo.forget()  # nothing was met again since
         release()
 
     def may_follow(self, left: int, right: int) -> bool:
@@ -93,11 +98,58 @@ class ByteBPE:
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
-        if TWO_SPACES.search(text):
-            return b"".join(map(self.pieces.__getitem__, self.split.findall(text)))
-        # No run of white space: the pattern never matches across the front of a space.
-        first, *rest = text.split(" ")
-        return self.alone[first] + b"".join(map(self.after_space.__getitem__, rest))
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The same for each of the texts, whose new words are encoded together."""
+        # Without a run of white space the pattern never matches across the front of a space.
+        taken = [(True, self.split.findall(t)) if TWO_SPACES.search(t) else (False, t.split(" ")) for t in texts]
+        self.learn(
+            {w for by_pattern, words in taken if not by_pattern for w in words[1:]},
+            {p for by_pattern, found in taken if by_pattern for p in found},
+        )
+        out = []
+        for by_pattern, words in taken:
+            if by_pattern:
+                out.append(b"".join(map(self.pieces.__getitem__, words)))
+            else:
+                out.append(self.alone[words[0]] + b"".join(map(self.after_space.__getitem__, words[1:])))
+        return out
+
+    def learn(self, words: set[str], pieces: set[str]) -> None:
+        """Have the memos know these words after a space, and these matches of the pattern."""
+        for memo in (self.after_space, self.pieces):
+            if memo.held > CACHED_BYTES:
+                memo.forget()
+        asked, words = words, words.difference(self.after_space)
+        self.after_space.met |= asked - words
+        letters = {w for w in words if w.isalpha()}  # one match
+        marked = {w for w in words if w[-1:] in PLAIN_ENDS and w[:-1].isalpha()}  # two matches
+        taken = {w: self.split.findall(" " + w) for w in words.difference(letters, marked)}
+        letters |= {w[:-1] for w in marked}.difference(self.after_space)
+        pieces = pieces.union(*taken.values()).difference(self.pieces)
+        new = list({*[(" " + w).encode() for w in letters], *[p.encode() for p in pieces]})
+        ids = dict(zip(new, self.encode_together(new), strict=True))
+        self.pieces.keep({p: ids[p.encode()] for p in pieces})
+        self.after_space.keep({w: ids[(" " + w).encode()] for w in letters})
+        self.after_space.keep({w: self.after_space[w[:-1]] + self.pieces[w[-1]] for w in marked})
+        self.after_space.keep({w: b"".join([self.pieces[p] for p in found]) for w, found in taken.items()})
+
+    def encode_together(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of each piece, from tables that go on byte by byte together."""
+        out: dict[bytes, bytes] = {}
+        groups: dict[int, list[bytes]] = {}
+        for piece in pieces:
+            whole = self.ranks.get(piece)
+            if whole is not None:
+                out[piece] = pack("<I", whole)
+            elif len(piece) > TOGETHER_BYTES:
+                out[piece] = pack(f"<{len(ids := self.encode_piece(piece))}I", *ids)
+            else:
+                groups.setdefault(len(piece), []).append(piece)
+        for group in groups.values():
+            out.update(zip(group, self.tables.encode(group), strict=True))
+        return [out[piece] for piece in pieces]
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.token.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -129,10 +181,11 @@ class _Steps(dict):
 
 
 class _Memo(dict):
-    """Encodings already worked out; emptied when full, which changes no result."""
+    """Encodings already worked out. When full, only those ``met`` again stay, if they are not
+    too many themselves, which changes no result."""
 
     def __init__(self, bpe: ByteBPE, before: str = ""):
-        self.bpe, self.before, self.held = bpe, before, 0
+        self.bpe, self.before, self.held, self.met = bpe, before, 0, set()
 
     def __missing__(self, key):
         if self.held > CACHED_BYTES:
@@ -141,9 +194,18 @@ class _Memo(dict):
         self.held += ENTRY_BYTES + self.texts(key, out)
         return out
 
+    def keep(self, found: dict) -> None:
+        self.update(found)
+        self.held += ENTRY_BYTES * len(found) + sum(map(len, found)) + sum(map(len, found.values()))
+
     def forget(self) -> None:
-        self.clear()
-        self.held = 0
+        kept = {key: self[key] for key in self.met if key in self}
+        for entries in (kept, {}):
+            self.clear()
+            self.held, self.met = 0, set()
+            self.keep(entries)
+            if 2 * self.held <= CACHED_BYTES:
+                break
 
     def texts(self, key: str, out: bytes) -> int:
         return len(key) + len(out)
@@ -170,20 +232,97 @@ class _Pairs(_Memo):
         return 0
 
 
+class _Known:
+    """Values of a memo with integer keys, as arrays: each key has one place, which it may lose to another."""
+
+    def __init__(self, memo: dict, kind: type):
+        self.memo = memo
+        self.keys, self.values = np.full(1 << KNOWN_PLACES, -1, np.int64), np.zeros(1 << KNOWN_PLACES, kind)
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        place = (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - KNOWN_PLACES)).astype(np.int64)
+        values = self.values[place]
+        missing = np.flatnonzero(self.keys[place] != keys)
+        if len(missing):
+            new = keys[missing]
+            values[missing] = [self.memo[key] for key in new.tolist()]
+            self.keys[place[missing]] = new
+            # of keys with one place the last one has it, key and value alike
+            self.values[place[missing]] = values[missing]
+        return values
+
+
+class _Tables:
+    """Prefix tables of pieces of one length, a row each."""
+
+    def __init__(self, bpe: ByteBPE):
+        self.bpe = bpe
+        self.step, self.pairs = _Known(bpe.step, np.int64), _Known(bpe.pairs, bool)
+        self.sizes = np.zeros(max(bpe.token) + 1, np.int64)
+        self.sizes[list(bpe.token)] = [len(body) for body in bpe.token.values()]
+        self.first = np.zeros(1, np.int64)  # of a state's tokens, in ``ranks``
+        self.counts = np.zeros(0, np.int64)
+        self.ranks = np.zeros(0, np.int64)
+
+    def _states(self) -> None:
+        """Know the states that were made since the last time."""
+        new = self.bpe.ending_here[len(self.counts) :]
+        if new:
+            counts = np.array([len(ends) for ends in new], np.int64)
+            self.ranks = np.append(self.ranks, np.array([rank for ends in new for _, rank in ends], np.int64))
+            self.first = np.append(self.first, self.first[-1] + np.cumsum(counts))
+            self.counts = np.append(self.counts, counts)
+
+    def encode(self, pieces: list[bytes]) -> list[bytes]:
+        n, size = len(pieces), len(pieces[0])
+        given = np.frombuffer(b"".join(pieces), np.uint8).reshape(n, size)
+        last = np.full((size + 1, n), -1, np.int64)
+        state = np.zeros(n, np.int64)
+        for end in range(1, size + 1):
+            state = self.step(state << 8 | given[:, end - 1])
+            self._states()
+            left, tried = np.arange(n), 0
+            while len(left):  # the rows without an entry yet
+                own = state[left]
+                if (self.counts[own] <= tried).any():
+                    raise ValueError("the vocabulary lacks a byte")
+                rank = self.ranks[self.first[own] + tried]
+                begins = end - self.sizes[rank]
+                before = last[begins, left]
+                fits = begins == 0
+                later = np.flatnonzero(~fits)
+                fits[later] = self.pairs(before[later] << 32 | rank[later])
+                last[end, left[fits]] = rank[fits]
+                left, tried = left[~fits], tried + 1
+        # Backwards: the tokens of each row, its last one first.
+        rows, at, found = np.arange(n), np.full(n, size), []
+        while len(rows):
+            rank = last[at, rows]
+            found.append((rows, rank))
+            at = at - self.sizes[rank]
+            rows, at = rows[at > 0], at[at > 0]
+        row, ids = (np.concatenate([f[k] for f in found[::-1]]) for k in (0, 1))
+        order = np.argsort(row, kind="stable")
+        data = ids[order].astype("<u4").tobytes()
+        ends = (np.cumsum(np.bincount(row, minlength=n)) * 4).tolist()
+        return [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+
 class PrefixTable:
     """The last token of every prefix of a piece."""
 
     def __init__(self, bpe: ByteBPE, piece: bytes = b""):
-        self.bpe, self.bytes, self.last, self.state = bpe, b"", [-1], 0
+        self.bpe, self.bytes, self.last, self.states = bpe, b"", [-1], [0]
         self.append(piece)
 
     def append(self, more: bytes) -> None:
         """Exact: the entries of the present prefixes stay as they are."""
         self.bytes += more
-        step, ending, pairs, last = self.bpe.step, self.bpe.ending_here, self.bpe.pairs, self.last
-        state, end = self.state, len(last)
+        step, ending, pairs, last, states = self.bpe.step, self.bpe.ending_here, self.bpe.pairs, self.last, self.states
+        state, end = states[-1], len(last)
         for byte in more:
             state = step[state << 8 | byte]
+            states.append(state)
             for length, rank in ending[state]:
                 before = last[end - length]
                 if before < 0 or pairs[before << 32 | rank]:
@@ -192,13 +331,6 @@ class PrefixTable:
             else:
                 raise ValueError("the vocabulary lacks a byte")
             end += 1
-        self.state = state
-
-    def _state_at(self, end: int) -> int:
-        state = 0
-        for byte in self.bytes[max(0, end - self.bpe.longest) : end]:
-            state = self.bpe.step[state << 8 | byte]
-        return state
 
     def edit(self, start: int, stop: int, new: bytes) -> int:
         """Replace ``bytes[start:stop]``; returns how many entries were computed anew.
@@ -206,10 +338,9 @@ class PrefixTable:
         An entry depends on the entries and bytes of the ``longest`` positions
         before it, so once that many agree with the old table the rest does.
         """
-        old, rest = self.last, self.bytes[stop:]
+        old, states, rest = self.last, self.states, self.bytes[stop:]
         shift = len(new) - (stop - start)
-        self.bytes, self.last = self.bytes[:start], old[: start + 1]
-        self.state = self._state_at(start)
+        self.bytes, self.last, self.states = self.bytes[:start], old[: start + 1], states[: start + 1]
         self.append(new)
         agreeing = 0
         for k in range(len(rest)):
@@ -219,7 +350,7 @@ class PrefixTable:
             if agreeing >= self.bpe.longest:
                 self.bytes += rest[k + 1 :]
                 self.last += old[end - shift + 1 :]
-                self.state = self._state_at(len(self.bytes))
+                self.states += states[end - shift + 1 :]
                 return end - start
         return len(self.bytes) - start
 
@@ -246,7 +377,7 @@ def _encode(path: str, keep: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
         for batch, texts in text_blocks(batches):
-            ids = [bpe.encode(t.decode("utf-8", "replace")) for t in texts]
+            ids = bpe.encode_all([t.decode("utf-8", "replace") for t in texts])
             back = [hashlib.sha256(bpe.decode(x)).hexdigest() for x in ids]
             arrays = [
                 batch.column("doc_id"),

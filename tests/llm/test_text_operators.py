@@ -198,6 +198,24 @@ def test_byte_bpe_random_strings_and_edits():
         assert known.tokens() == byte_bpe.PrefixTable(bpe, known.bytes).tokens()
 
 
+def test_new_words_of_a_block_are_encoded_together(monkeypatch):
+    """None goes through a table of its own; words met again outlive a full memo."""
+    bpe = byte_bpe.ByteBPE(public_tokenizers.path(byte_bpe.RANKS))
+    rng = np.random.default_rng(3)
+    words = ["".join(rng.choice([*"abdeghilnorstuwáßñ日"], rng.integers(1, 14))) + ("", ",", ".", "$$$", "'s", "7")[k % 6] for k in range(600)]
+    texts = [" ".join(words[k : k + 30]) for k in range(0, 600, 20)] + ["  ".join(words[:40]), "", " ", "x" * 200]
+    parts = [bpe.split.findall(t) for t in texts]
+    expected = [b"".join(np.array(bpe.encode_piece(p.encode()), "<u4").tobytes() for p in found) for found in parts]
+    asked, one = [], byte_bpe.ByteBPE.encode_piece
+    monkeypatch.setattr(byte_bpe.ByteBPE, "encode_piece", lambda self, piece: asked.append(piece) or one(self, piece))
+    assert bpe.encode_all(texts) == expected
+    assert not [p for p in asked if p.startswith(b" ")]  # but first words of a text, and very long ones
+    bpe.encode_all(texts[:1])
+    bpe.after_space.forget()
+    assert set(bpe.after_space) == set(words[1:30])
+    assert bpe.encode_all(texts) == expected
+
+
 def test_token_records(odd, odd_rows, empty):
     from tokenizers import Tokenizer
 
